@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fertility import op3_fertility_rules
 from .media import op2_media_tiles
+from .line_dedup import op5_line_dedup
+from .simhash import op8_simhash_near_dedup
 from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_tiles, op3_fertility_rules, op7_token_counts)}
+    return {f.__name__: f for f in (op2_media_tiles, op3_fertility_rules, op5_line_dedup, op7_token_counts, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
