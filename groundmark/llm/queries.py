@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fertility import op3_fertility_rules
 from .media import op2_media_tiles
+from .html_text import op4_html_text
+from .language import op9_language_id
 from .line_dedup import op5_line_dedup
+from .packing import op10_config_lp_packing
 from .simhash import op8_simhash_near_dedup
 from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_tiles, op3_fertility_rules, op5_line_dedup, op7_token_counts, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op2_media_tiles, op3_fertility_rules, op4_html_text, op5_line_dedup, op7_token_counts, op8_simhash_near_dedup, op9_language_id, op10_config_lp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
