@@ -11,13 +11,15 @@ from .media import op2_media_tiles
 from .html_text import op4_html_text
 from .language import op9_language_id
 from .line_dedup import op5_line_dedup
+from .mixing import op6_domain_mixing
 from .packing import op10_config_lp_packing
+from .repair import op1_repair_shards
 from .simhash import op8_simhash_near_dedup
 from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_tiles, op3_fertility_rules, op4_html_text, op5_line_dedup, op7_token_counts, op8_simhash_near_dedup, op9_language_id, op10_config_lp_packing)}
+    return {f.__name__: f for f in (op1_repair_shards, op2_media_tiles, op3_fertility_rules, op4_html_text, op5_line_dedup, op6_domain_mixing, op7_token_counts, op8_simhash_near_dedup, op9_language_id, op10_config_lp_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
