@@ -50,7 +50,7 @@ def _pieces(path: str, size: int, end_id: int):
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             texts = strings(batch.column("text"))
-            for begin, end in slices(texts, 1_000_000):
+            for begin, end in slices(texts, 3_000_000):
                 ids, counts = with_end(*encode(texts[begin:end]), end_id)
                 raw = memoryview(ids).cast("B")
                 n = -(-counts // size)

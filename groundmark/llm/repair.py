@@ -32,37 +32,41 @@ from .tokens import byte_table, vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Characters of a shard, about four ids to ten of them.
-SHARD = 2_000_000
-ROUNDS, RULES, LEAST = 4, 3500, 12
-SLOT_BITS = 20
+SHARD = 4_000_000
+ROUNDS, RULES, LEAST = 3, 4500, 8
+SLOT_BITS = 18
 HEAD = struct.Struct("<4sIIIIII")
 MAGIC = b"GRP1"
 
 
 def _replace(seq: np.ndarray, first: int, rules: int, least: int, end: int) -> tuple[np.ndarray, np.ndarray]:
     """One round: the pairs that became rules `first`, `first` + 1, ..., and the sequence after their replacement."""
-    left, right = seq[:-1], seq[1:]
-    slot = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77) + (left >> np.uint32(3)))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - SLOT_BITS)
-    owner = np.zeros(1 << SLOT_BITS, np.int64)
-    owner[slot] = np.arange(len(slot))  # the last pair of a slot owns it
-    at = owner[slot]
-    own = (left[at] == left) & (right[at] == right) & (left != end) & (right != end)
-    counts = np.bincount(slot[own], minlength=1 << SLOT_BITS)
+    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+    slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    owner = np.zeros(1 << SLOT_BITS, np.uint64)
+    owner[slot] = pair  # the last pair of a slot owns it
+    own = np.flatnonzero(owner[slot] == pair)
+    mine = slot[own]
+    counts = np.bincount(mine, minlength=1 << SLOT_BITS)
+    counts[(owner >> np.uint64(32) == end) | ((owner & np.uint64(0xFFFFFFFF)) == end)] = 0
     top = np.flatnonzero(counts >= least)
     if len(top) > rules:
         top = top[np.argpartition(counts[top], len(top) - rules)[-rules:]]
     if not len(top):
         return np.empty((0, 2), np.uint32), seq
-    pairs = np.stack((left[owner[top]], right[owner[top]]), axis=1)
+    pairs = np.stack((owner[top] >> np.uint64(32), owner[top] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32)
     symbol = np.zeros(1 << SLOT_BITS, np.uint32)
     symbol[top] = first + np.arange(len(top), dtype=np.uint32)
-    hit = np.flatnonzero(own & (symbol[slot] > 0))
+    names = symbol[mine]
+    chosen = names > 0
+    hit, names = own[chosen], names[chosen]
     # of occurrences that overlap in a run, every second one from the first on
-    new_run = np.diff(hit, prepend=-2) != 1
-    run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hit)), 0))
-    hit = hit[(np.arange(len(hit)) - run_start) % 2 == 0]
+    order = np.arange(len(hit))
+    run_start = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, order, 0))
+    every = (order - run_start) % 2 == 0
+    hit, names = hit[every], names[every]
     out = seq.copy()
-    out[hit] = symbol[slot[hit]]
+    out[hit] = names
     keep = np.ones(len(seq), bool)
     keep[hit + 1] = False
     return pairs, out[keep]

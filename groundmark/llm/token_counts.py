@@ -49,17 +49,12 @@ def _frequencies(path: str, buckets: int, chars: int):
     """Frames of each block of about `chars` characters, and a row with the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = piece_table(path).keys
+        cut = piece_table(path).distinct
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = strings(batch.column("text"))
             for begin, end in slices(texts, chars):
-                numbers: dict = {}
-                lists = [cut(x) for x in texts[begin:end]]
-                counts = np.array([len(x) for x in lists], np.int64)
-                codes = np.fromiter((numbers.setdefault(k, len(numbers)) for keys in lists for k in keys), np.int64, int(counts.sum()))
-                # a key that is a text by itself is marked
-                names = [k if isinstance(k, str) else "\0" + k[0] for k in numbers]
+                names, codes, counts = cut(texts[begin:end])
                 own = np.fromiter((zlib.crc32(k.encode()) % buckets for k in names), np.int64, len(names))
                 place = np.argsort(own, kind="stable")
                 rank = np.empty_like(place)
@@ -97,7 +92,7 @@ def _lookup(path: str):
     """The sums of each frame by document of its block; each pre-token is encoded at its first frame only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, plain = piece_table(path).encode, path.endswith(".model")
+        encode = piece_table(path).encode
         known: dict[str, int] = {}
         for batch in batches:
             found = []
@@ -109,8 +104,7 @@ def _lookup(path: str):
                 names = part.column(0).flatten().to_pylist()
                 fresh = [x for x in names if x not in known]
                 if fresh:
-                    keys = fresh if plain else [x if x[:1] != "\0" else (x[1:],) for x in fresh]
-                    known.update(zip(fresh, encode(keys)[1].tolist()))
+                    known.update(zip(fresh, encode(fresh)[1].tolist()))
                 pieces = np.fromiter(map(known.__getitem__, names), np.int64, len(names))
                 documents, docs, times = (part.column(k).flatten().to_numpy() for k in (1, 2, 3))
                 found.append(np.bincount(docs, np.repeat(pieces, documents) * times).astype(np.int64))

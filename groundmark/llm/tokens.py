@@ -8,10 +8,15 @@ character. Texts with other or adjoining white space, and texts with a special s
 from __future__ import annotations
 
 import os
+import re
 from functools import cache
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import ragged, sums
 
 #: White space other than the space and the line feed, as Unicode and Python define it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -43,7 +48,10 @@ class _Slots(dict):
 class PieceTable:
     """Ids by pre-token. A cache only: it starts anew when it holds `limit` pre-tokens or eight times as many ids."""
 
-    def __init__(self, limit: int = 1_000_000):
+    #: Texts that match are not cut at every space.
+    unusual = ""
+
+    def __init__(self, limit: int = 2_000_000):
         self.limit = limit
         self._reset()
 
@@ -54,28 +62,54 @@ class PieceTable:
         self.lengths = np.empty(1 << 14, np.int64)
         self.used = 0
 
-    def keys(self, text: str) -> list:
-        """The pre-tokens of a text, in order."""
+    def prepare(self, texts: pa.Array) -> pa.Array:
+        """Usual texts so that the pieces between single spaces are their keys."""
+        return texts
+
+    def keys(self, text: str) -> list[str]:
+        """The keys of the pre-tokens of any text, in order."""
         raise NotImplementedError
 
-    def encode(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the keys one after the other, and how many each has."""
         raise NotImplementedError
 
+    def _found(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+
+    def distinct(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Keys, the numbers in them of all pre-tokens of the texts, and how many each text has."""
+        whole = pa.array(texts, pa.string())
+        odd = pc.or_(pc.equal(whole, ""), pc.match_substring_regex(whole, self.unusual)).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(self.prepare(whole.filter(pa.array(~odd))), " ")
+        flat = parts.flatten().dictionary_encode()
+        names, numbers = flat.dictionary.to_pylist(), flat.indices.to_numpy().astype(np.int64)
+        counts = np.empty(len(texts), np.int64)
+        counts[~odd] = np.diff(parts.offsets.to_numpy())
+        lists = [self.keys(texts[i]) for i in np.flatnonzero(odd)]
+        counts[odd] = [len(x) for x in lists]
+        if not odd.any():
+            return names, numbers, counts
+        place = {k: i for i, k in enumerate(names)}
+        others = np.fromiter((place.setdefault(k, len(place)) for x in lists for k in x), np.int64)
+        out = np.empty(int(counts.sum()), np.int64)
+        starts = np.cumsum(counts) - counts
+        out[ragged(starts[~odd], counts[~odd])] = numbers
+        out[ragged(starts[odd], counts[odd])] = others
+        return list(place), out, counts
+
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Slots of all pre-tokens of the texts, and how many each text has. Valid until the next call."""
         if len(self.slots) > self.limit or self.used > 8 * self.limit:
             self._reset()
-        lists = [self.keys(x) for x in texts]
-        counts = np.array([len(x) for x in lists], np.int64)
-        look = self.slots.__getitem__
-        out = np.fromiter(map(look, chain.from_iterable(lists)), np.int64, int(counts.sum()))
+        names, numbers, counts = self.distinct(texts)
+        slots = self._found(names)
         if self.slots.fresh:
             ids, lengths = self.encode(self.slots.fresh)
             n = len(self.slots)
             self._append(ids, lengths, n - len(lengths), n)
             self.slots.fresh = []
-        return out, counts
+        return slots[numbers], counts
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray, first: int, end: int) -> None:
         while end > len(self.starts):
@@ -90,17 +124,21 @@ class PieceTable:
 
     def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has."""
-        from .common import ragged, sums
-
         codes, counts = self.codes(texts)
         lengths = self.lengths[codes]
         return self.ids[ragged(self.starts[codes], lengths)], sums(lengths, counts)
 
 
 class ByteTable(PieceTable):
-    """Byte-level BPE by the tokenizers library. Key ``p``: a space and p; key ``(t,)``: t itself."""
+    """Byte-level BPE by the tokenizers library.
+
+    A key that begins with `EXACT` stands for what follows, one that begins with a line feed for itself, and any other for
+    itself behind a space.
+    """
+
+    EXACT = "\x02"
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -110,62 +148,46 @@ class ByteTable(PieceTable):
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # each character of a byte-level token stands for one byte
             self.bytes_of[i] = len(token)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unusual = "|".join(["  ", "\n ", " \n", "\n\n", "^ ", " $", f"[{OTHER_SPACE}{self.EXACT}]", *special])
 
-    def keys(self, text: str) -> list:
-        if not text:
-            return []
-        if (
-            "  " in text or "\n " in text or " \n" in text or text[0] == " " or text[-1] == " "
-            or any(x in text for x in OTHER_SPACE) or any(x in text for x in self.special)
-        ):
-            return [(text,)]
-        out = text.split(" ")
-        out[0] = (out[0],)
-        return out
+    def prepare(self, texts: pa.Array) -> pa.Array:
+        return pc.replace_substring(pc.binary_join_element_wise(self.EXACT, texts, ""), "\n", " \n")
+
+    def keys(self, text: str) -> list[str]:
+        return [self.EXACT + text] if text else []
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        exact = np.fromiter((k[:1] == self.EXACT for k in keys), bool, len(keys))
+        places, alone = np.flatnonzero(~exact).tolist(), np.flatnonzero(exact).tolist()
+        names = [keys[i] if keys[i][:1] == "\n" else " " + keys[i] for i in places]
         lengths = np.empty(len(keys), np.int64)
-        ids: list[np.ndarray] = []
-        run: list[str] = []
-        size = begin = 0
-
-        single = iter(self._whole([x[0] for x in keys if not isinstance(x, str)]))
-
-        def flush(end: int) -> None:
-            if run:  # as one text: every key starts where a pre-token starts
-                got = self._whole(["".join(run)])[0]
-                ends = np.cumsum([len(x.encode()) for x in run])
-                places = np.searchsorted(np.cumsum(self.bytes_of[got]), ends, "left") + 1
-                lengths[begin:end] = np.diff(places, prepend=0)
-                ids.append(got)
-                run.clear()
-
-        for i, key in enumerate(keys):
-            if isinstance(key, str):
-                run.append(" " + key)
-                size += len(key)
-                if size < 100_000:
-                    continue
-                flush(i + 1)
-                begin, size = i + 1, 0
+        lists: list[np.ndarray] = [None] * len(keys)
+        for i, got in zip(alone, self._whole([keys[i][1:] for i in alone])):
+            lists[i], lengths[i] = got, len(got)
+        runs = [slice(a, a + 10_000) for a in range(0, len(names), 10_000)]
+        for run, got in zip(runs, self._whole(["".join(names[r]) for r in runs])):  # as one text: every key starts where a pre-token does
+            ends = np.cumsum([len(x.encode()) for x in names[run]])
+            cuts = np.searchsorted(np.cumsum(self.bytes_of[got]), ends, "left") + 1
+            lengths[places[run]] = np.diff(cuts, prepend=0)
+            if not alone:
+                lists[run.start] = got
             else:
-                flush(i)
-                got = next(single)
-                lengths[i] = len(got)
-                ids.append(got)
-                begin, size = i + 1, 0
-        flush(len(keys))
-        return (np.concatenate(ids) if ids else np.empty(0, np.int32)), lengths
+                for i, part in zip(places[run], np.split(got, cuts[:-1])):
+                    lists[i] = part
+        lists = [x for x in lists if x is not None]
+        return (np.concatenate(lists) if lists else np.empty(0, np.int32)), lengths
 
 
 class SentenceTable(PieceTable):
     """BPE with byte fallback by sentencepiece. A key is what follows one space mark; the library puts that mark first."""
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    unusual = f"  |^ | $|{SPACE_MARK}"
+
+    def __init__(self, path: str, limit: int = 2_000_000):
         import sentencepiece
 
         super().__init__(limit)
@@ -174,31 +196,25 @@ class SentenceTable(PieceTable):
         size = self.processor.get_piece_size()
         self.is_byte = np.array([self.processor.is_byte(i) for i in range(size)])
 
-    def keys(self, text: str) -> list:
+    def keys(self, text: str) -> list[str]:
         if not text:
             return []
-        if SPACE_MARK in text:
-            text = text.replace(SPACE_MARK, " ")
-        out = text.split(" ")
-        if "" in out:  # adjoining spaces belong to the word behind them; at the end they stand alone
-            joined, held = [], 0
-            for part in out[:-1]:
-                if part:
-                    joined.append(" " * held + part)
-                    held = 0
-                else:
-                    held += 1
-            joined.append(" " * held + out[-1])
-            out = joined
-        return out
-
-    def encode(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        *parts, last = text.replace(SPACE_MARK, " ").split(" ")
+        out, held = [], 0  # adjoining spaces belong to the word behind them; at the end they stand alone
+        for part in parts:
+            if part:
+                out.append(" " * held + part)
+                held = 0
+            else:
+                held += 1
+        return [*out, " " * held + last]
+
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = self.processor.encode(keys, num_threads=1)
         lengths = np.array([len(x) for x in got], np.int64)
         for i in np.flatnonzero(lengths == 0):  # the key of a lone space mark
             got[i], lengths[i] = [self.mark], 1
-        flat = np.fromiter((i for x in got for i in x), np.int32, int(lengths.sum()))
-        return flat, lengths
+        return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
 
 
 @cache
