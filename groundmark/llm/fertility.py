@@ -33,6 +33,9 @@ MAX_REPEAT_PERCENT = 50
 PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
 
+#: Pre-tokens that each of the two tables of a worker keeps.
+CACHE = 400_000
+
 METRICS = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_share")
 #: Bins per unit of each metric; bands are quantiles of these bins.
 SCALE = {"chars_per_piece": 50, "chars_per_byte_token": 50, "fallback_share": 500, "entropy_share": 500}
@@ -107,7 +110,7 @@ def _entropy(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _features(pieces: str, bytes_: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_piece, by_byte = sentence_table(pieces), byte_table(bytes_)
+        by_piece, by_byte = sentence_table(pieces, CACHE), byte_table(bytes_, CACHE)
         for batch in batches:
             texts, langs = strings(batch.column("text")), batch.column("lang").to_pylist()
             for begin, end in slices(texts, 2_000_000):

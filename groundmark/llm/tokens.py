@@ -21,6 +21,8 @@ from .common import ragged, sums
 #: White space other than the space and the line feed, as Unicode and Python define it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 SPACE_MARK = "▁"
+#: Pre-tokens that one cache holds; about 200 bytes each.
+LIMIT = 1_200_000
 
 
 def vocabulary(name: str) -> str:
@@ -51,7 +53,7 @@ class PieceTable:
     #: Texts that match are not cut at every space.
     unusual = ""
 
-    def __init__(self, limit: int = 2_000_000):
+    def __init__(self, limit: int = LIMIT):
         self.limit = limit
         self._reset()
 
@@ -138,7 +140,7 @@ class ByteTable(PieceTable):
 
     EXACT = "\x02"
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -187,7 +189,7 @@ class SentenceTable(PieceTable):
 
     unusual = f"  |^ | $|{SPACE_MARK}"
 
-    def __init__(self, path: str, limit: int = 2_000_000):
+    def __init__(self, path: str, limit: int = LIMIT):
         import sentencepiece
 
         super().__init__(limit)
@@ -218,10 +220,10 @@ class SentenceTable(PieceTable):
 
 
 @cache
-def byte_table(path: str) -> ByteTable:
-    return ByteTable(path)
+def byte_table(path: str, limit: int = LIMIT) -> ByteTable:
+    return ByteTable(path, limit)
 
 
 @cache
-def sentence_table(path: str) -> SentenceTable:
-    return SentenceTable(path)
+def sentence_table(path: str, limit: int = LIMIT) -> SentenceTable:
+    return SentenceTable(path, limit)
