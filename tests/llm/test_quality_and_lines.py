@@ -156,3 +156,10 @@ def test_line_dedup_of_odd_and_no_rows(spark, docs, no_docs):
     out = line_dedup.stage_line_dedup(spark, docs, "")
     assert out.columns == docs.columns and out.count() == docs.count()
     assert line_dedup.dedup_lines(no_docs).collect() == []
+
+
+def test_long_lines_count_all_words(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50))), (2, "a b c"), (3, "a b c d")], "doc_id long, text string")
+    want = {r["doc_id"]: r["fp"] for r in line_dedup.fingerprints(docs).collect()}
+    monkeypatch.setattr(line_dedup, "LANE_WORDS", 3)
+    assert {r["doc_id"]: r["fp"] for r in line_dedup.fingerprints(docs).collect()} == want
