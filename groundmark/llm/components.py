@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+#: Links that one task writes.
+LINKS_A_TASK = 500_000
+
+
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """Each node's larger (or smaller) neighbours linked to the least of its neighbourhood.
 
@@ -40,7 +44,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = digest(links)
     while before[0]:
-        links = materialise(_star(_star(links, True), False), name)
+        # no more tasks and files than the links of the round before need
+        tasks = -(-before[0] // LINKS_A_TASK)
+        links = materialise(_star(_star(links, True), False).coalesce(tasks), name)
         after = digest(links)
         if after == before:
             break
