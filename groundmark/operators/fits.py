@@ -7,7 +7,7 @@ their product, all in windows and arithmetic. Times count from a track's first s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import uncertainty_m
@@ -84,20 +84,18 @@ def hinges(samples: DataFrame, key: str, t: str = "t", y: str = "world_y") -> Da
 
 
 def floor_hinges(samples: DataFrame, key: str, t: str, y: str) -> DataFrame:
-    """For each track the best corner between a level and a leg, for landings (falling) and departures (rising).
+    """(key, model, tc, floor, slope, sse, n, first_t): the best corner between a level and a leg of positive slope.
 
-    (key, model, tc, floor, slope, sse, span): the slope of the leg is positive, and spans end at the track's ends.
+    Landings fall to the level, departures rise from it.
     """
     rows = _corners(_tracks(samples, key, t, y), key)
     c, n = F.col("c"), F.col("n")
-    last_t = F.col("a_t")  # placeholder of the sum; the track's last time is found below
     nb, na = F.col("place"), n - F.col("place")
     after = lambda k: F.col(f"a_{k}") - F.col(f"b_{k}")
     legs = {
         "landing": (c * nb - F.col("b_t"), F.col("b_tt") - 2 * c * F.col("b_t") + c * c * nb, c * F.col("b_y") - F.col("b_ty")),
         "departure": (after("t") - c * na, after("tt") - 2 * c * after("t") + c * c * na, after("ty") - c * after("y")),
     }
-    del last_t
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), l1.alias("l1"), l2.alias("l2"), ly.alias("ly")) for m, (l1, l2, ly) in legs.items())))
     rows = rows.withColumn("_leg", each).select(key, "c", "k", "n", "first_t", "mean_y", "a_y", "a_yy", "_leg.*")
     rows = rows.withColumn("den", n * F.col("l2") - F.col("l1") * F.col("l1")).filter("den > 0")
@@ -271,7 +269,3 @@ def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float
         F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in flags))).alias("flags"),
     )
 
-
-def grid_corner(samples: Column) -> Column:  # pragma: no cover - kept for column users
-    """How many corners a track of that many evenly spaced samples has."""
-    return F.greatest(F.lit(0), SUBSTEPS * (samples - 2 * SIDE + 1) + 1)

@@ -69,8 +69,6 @@ def assign_tracks(blobs: DataFrame, by: str = "session", gate_px: float = GATE_P
     times = blobs.select(by, "t").distinct()
     seen = neighbours(times, [by], F.struct("t"), bucket, following=False, name="_prev")
     change = F.when(F.col("t") - F.col("_prev.t") > flush_s, 1).otherwise(0)
-    pieces = running_sum(seen.drop("_prev"), [by], [F.col("t")], bucket, change, "_piece") if change is not None else None
-    # the pause is judged on the row before, so it is computed before the previous row is dropped
     pieces = running_sum(seen, [by], [F.col("t")], bucket, change, "_piece").select(by, "t", "_piece")
     rows = blobs.join(pieces, [by, "t"])
 
