@@ -10,7 +10,7 @@ from __future__ import annotations
 import os
 import re
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +34,6 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Slots(dict):
-    """Numbers keys in order of first sight; `fresh` lists those not yet encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.fresh = []
-
-    def __missing__(self, key):
-        slot = self[key] = len(self)
-        self.fresh.append(key)
-        return slot
-
-
 class PieceTable:
     """Ids by pre-token. A cache only: it starts anew when it holds `limit` pre-tokens or eight times as many ids."""
 
@@ -58,7 +45,7 @@ class PieceTable:
         self._reset()
 
     def _reset(self) -> None:
-        self.slots = _Slots()
+        self.slots: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
         self.starts = np.empty(1 << 14, np.int64)
         self.lengths = np.empty(1 << 14, np.int64)
@@ -76,8 +63,14 @@ class PieceTable:
         """Ids of the keys one after the other, and how many each has."""
         raise NotImplementedError
 
-    def _found(self, keys: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+    def _found(self, keys: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Slots of distinct keys, and those keys that are new; new ones are numbered on in order."""
+        slots = np.fromiter(map(self.slots.get, keys, repeat(-1)), np.int64, len(keys))
+        new, first = np.flatnonzero(slots < 0), len(self.slots)
+        fresh = [keys[i] for i in new.tolist()]
+        slots[new] = np.arange(first, first + len(fresh))
+        self.slots.update(zip(fresh, range(first, first + len(fresh))))
+        return slots, fresh
 
     def distinct(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Keys, the numbers in them of all pre-tokens of the texts, and how many each text has."""
@@ -105,12 +98,11 @@ class PieceTable:
         if len(self.slots) > self.limit or self.used > 8 * self.limit:
             self._reset()
         names, numbers, counts = self.distinct(texts)
-        slots = self._found(names)
-        if self.slots.fresh:
-            ids, lengths = self.encode(self.slots.fresh)
+        slots, fresh = self._found(names)
+        if fresh:
+            ids, lengths = self.encode(fresh)
             n = len(self.slots)
             self._append(ids, lengths, n - len(lengths), n)
-            self.slots.fresh = []
         return slots[numbers], counts
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray, first: int, end: int) -> None:
@@ -164,24 +156,22 @@ class ByteTable(PieceTable):
 
     def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         exact = np.fromiter((k[:1] == self.EXACT for k in keys), bool, len(keys))
-        places, alone = np.flatnonzero(~exact).tolist(), np.flatnonzero(exact).tolist()
-        names = [keys[i] if keys[i][:1] == "\n" else " " + keys[i] for i in places]
-        lengths = np.empty(len(keys), np.int64)
-        lists: list[np.ndarray] = [None] * len(keys)
-        for i, got in zip(alone, self._whole([keys[i][1:] for i in alone])):
-            lists[i], lengths[i] = got, len(got)
+        places, alone = np.flatnonzero(~exact), np.flatnonzero(exact)
+        names = [keys[i] if keys[i][:1] == "\n" else " " + keys[i] for i in places.tolist()]
+        lengths = np.zeros(len(keys), np.int64)
+        whole = self._whole([keys[i][1:] for i in alone.tolist()])
+        lengths[alone] = [len(x) for x in whole]
         runs = [slice(a, a + 10_000) for a in range(0, len(names), 10_000)]
-        for run, got in zip(runs, self._whole(["".join(names[r]) for r in runs])):  # as one text: every key starts where a pre-token does
-            ends = np.cumsum([len(x.encode()) for x in names[run]])
+        joined = self._whole(["".join(names[r]) for r in runs])
+        for run, got in zip(runs, joined):  # as one text: every key starts where a pre-token does
+            ends = np.cumsum(pc.binary_length(pa.array(names[run], pa.string())).to_numpy(), dtype=np.int64)
             cuts = np.searchsorted(np.cumsum(self.bytes_of[got]), ends, "left") + 1
             lengths[places[run]] = np.diff(cuts, prepend=0)
-            if not alone:
-                lists[run.start] = got
-            else:
-                for i, part in zip(places[run], np.split(got, cuts[:-1])):
-                    lists[i] = part
-        lists = [x for x in lists if x is not None]
-        return (np.concatenate(lists) if lists else np.empty(0, np.int32)), lengths
+        ids, starts = np.empty(int(lengths.sum()), np.int32), np.cumsum(lengths) - lengths
+        for where, lists in ((places, joined), (alone, whole)):
+            if lists:
+                ids[ragged(starts[where], lengths[where])] = np.concatenate(lists)
+        return ids, lengths
 
 
 class SentenceTable(PieceTable):
