@@ -82,8 +82,8 @@ def assign_tracks(blobs: DataFrame, by: str = "session", gate_px: float = GATE_P
         return group[has].drop(columns="_piece")
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blobs.schema) + ", track string"
-    columns = [*blobs.columns, "_piece"]
-    return rows.select(*columns).groupBy(by, "_piece").applyInPandas(lambda g: run(g)[[*blobs.columns, "track"]], schema)
+    names = [*blobs.columns, "track"]
+    return rows.select(*blobs.columns, "_piece").groupBy(by, "_piece").applyInPandas(lambda g: run(g)[names], schema)
 
 
 def _with_empty(frames: pd.Series, centres: np.ndarray, has: np.ndarray, gate: float, misses: int) -> np.ndarray:
