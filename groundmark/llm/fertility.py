@@ -34,7 +34,7 @@ PIECES = "piece_bpe_32k.model"
 BYTES = "byte_bpe_50k.json"
 
 #: Pre-tokens that each of the two tables of a worker keeps.
-CACHE = 400_000
+CACHE = 300_000
 
 METRICS = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_share")
 #: Bins per unit of each metric; bands are quantiles of these bins.

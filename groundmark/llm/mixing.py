@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, strings, sums, table
 from .language import Ftrl, softmax
-from .tokens import SentenceTable, vocabulary
+from .tokens import SentenceTable, held, vocabulary
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Hashed features: first the words, then the shapes.
@@ -88,13 +88,8 @@ class WordTable(SentenceTable):
         return sums(self.lengths[codes], counts), owner, feature, value
 
 
-_tables: dict[str, WordTable] = {}
-
-
 def word_table(path: str) -> WordTable:
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
+    return held(WordTable, path)
 
 
 def _sparse(path: str):

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 import re
-from functools import cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -21,8 +20,8 @@ from .common import ragged, sums
 #: White space other than the space and the line feed, as Unicode and Python define it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 SPACE_MARK = "▁"
-#: Pre-tokens that one cache holds; about 200 bytes each.
-LIMIT = 1_200_000
+#: Pre-tokens that the caches of a process hold; about 200 bytes each.
+LIMIT = 600_000
 
 
 def vocabulary(name: str) -> str:
@@ -209,11 +208,22 @@ class SentenceTable(PieceTable):
         return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
 
 
-@cache
+_held: dict[tuple, PieceTable] = {}
+
+
+def held(kind: type[PieceTable], path: str, limit: int = LIMIT) -> PieceTable:
+    """This process's table of that kind. A worker lives through many stages, so older tables go once all may hold over `LIMIT`."""
+    key = (kind, path, limit)
+    if key not in _held:
+        while _held and limit + sum(x[2] for x in _held) > LIMIT:
+            del _held[next(iter(_held))]
+        _held[key] = kind(path, limit)
+    return _held[key]
+
+
 def byte_table(path: str, limit: int = LIMIT) -> ByteTable:
-    return ByteTable(path, limit)
+    return held(ByteTable, path, limit)
 
 
-@cache
 def sentence_table(path: str, limit: int = LIMIT) -> SentenceTable:
-    return SentenceTable(path, limit)
+    return held(SentenceTable, path, limit)
