@@ -163,3 +163,11 @@ def test_long_lines_count_all_words(spark, monkeypatch):
     want = {r["doc_id"]: r["fp"] for r in line_dedup.fingerprints(docs).collect()}
     monkeypatch.setattr(line_dedup, "LANE_WORDS", 3)
     assert {r["doc_id"]: r["fp"] for r in line_dedup.fingerprints(docs).collect()} == want
+
+
+def test_fingerprints_of_repeated_rows(spark):
+    line = " ".join(f"w{i}" for i in range(23))
+    docs = spark.createDataFrame([(1, line), (2, line), (2, line), (2, line), (3, None), (4, " ")], "doc_id long, text string")
+    found = line_dedup.fingerprints(docs).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 2]
+    assert len({r["fp"] for r in found}) == 1
