@@ -171,3 +171,25 @@ def test_fingerprints_of_repeated_rows(spark):
     found = line_dedup.fingerprints(docs).collect()
     assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 2]
     assert len({r["fp"] for r in found}) == 1
+
+
+def test_edited_lines_are_found_as_by_brute_force(spark):
+    import itertools
+
+    rng = random.Random(6)
+    lines = []
+    for n in (6, 10, 20, 27, 50):
+        for _ in range(8):
+            line = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(6)) for _ in range(n)]
+            edited = list(line)
+            for k in rng.sample(range(n), max(1, n // 10)):
+                edited[k] = "".join(rng.choice("xyz") for _ in range(6))
+            lines += [" ".join(line), " ".join(edited)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    close = {(i, j) for i, j in itertools.combinations(range(len(lines)), 2) if 5 * abs(len(lines[i]) - len(lines[j])) <= max(len(lines[i]), len(lines[j])) and similar(lines[i], lines[j])}
+    want = {(i, i + 1) for i in range(0, len(lines), 2)}
+    assert close == want
+    lost = {r["doc_id"] for r in line_dedup.dedup_lines(docs).filter("n_lost > 0").collect()}
+    assert lost <= {j for _, j in want}
+    recall = {n: sum(16 * k + 2 * i + 1 in lost for i in range(8)) for k, n in enumerate((6, 10, 20, 27, 50))}
+    assert min(recall[n] for n in (10, 20, 27, 50)) == 8 and recall[6] >= 6
