@@ -47,6 +47,9 @@ SCHEMA = (
     "chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_share double"
 )
 
+#: Name of a column that stands beside those of the documents for a while: a hash of what a row's verdict depends on.
+ROW = "_quality_row"
+
 #: First code points of common scripts' blocks, for documents without a language.
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"),
@@ -181,6 +184,8 @@ def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents whose verdict is `kept`, with their columns."""
-    kept = judge(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: the rows whose own verdict is `kept`, with their columns; doc_ids may be null or repeated."""
+    named = [F.col(c).isNull() for c in ("doc_id", "text", "lang")]
+    marked = docs.withColumn(ROW, F.xxhash64("doc_id", "text", "lang", *named))
+    kept = judge(marked.select(F.col(ROW).alias("doc_id"), "text", "lang")).filter("kept").select(F.col("doc_id").alias(ROW)).distinct()
+    return marked.join(kept, ROW, "left_semi").select(*docs.columns)

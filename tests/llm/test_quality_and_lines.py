@@ -193,3 +193,10 @@ def test_edited_lines_are_found_as_by_brute_force(spark):
     assert lost <= {j for _, j in want}
     recall = {n: sum(16 * k + 2 * i + 1 in lost for i in range(8)) for k, n in enumerate((6, 10, 20, 27, 50))}
     assert min(recall[n] for n in (10, 20, 27, 50)) == 8 and recall[6] >= 6
+
+
+def test_rows_without_or_with_one_doc_id_follow_their_own_verdict(spark):
+    rng = random.Random(9)
+    good = [prose(rng, 120) for _ in range(6)]
+    docs = spark.createDataFrame([*((i, t, "en") for i, t in enumerate(good[:4])), (None, good[4], "en"), (None, "too short", "en"), (0, "too short", "en"), (9, good[5], None)], "doc_id long, text string, lang string")
+    assert sorted(r["text"] for r in fertility.stage_quality(spark, docs, "").collect()) == sorted(good)
