@@ -147,7 +147,7 @@ def blocks(html: str) -> list[Block]:
                     break
             links = 0
             block = Block(bad, article, scope)
-        elif tag in ENDS:
+        elif tag in ENDS and not (tag in ("svg", "math") and m[3].endswith("/")):  # only these two close themselves
             end = ENDS[tag].search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID and not m[3].endswith("/"):

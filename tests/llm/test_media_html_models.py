@@ -188,3 +188,10 @@ def test_mixing_without_labels_or_documents(spark, docs, no_docs):
     found = mixing.mix(docs, none, {}).collect()
     assert len(found) == docs.count() and all(r["rate"] == pytest.approx(1.0) for r in found)
     assert mixing.mix(no_docs, none, {"a": 1.0}).collect() == []
+
+
+def test_self_closed_drawings_and_formulas_swallow_nothing():
+    line = "The text that is in this block and that was there before it is as long as it has to be for the rules to keep it."
+    for tag in ('<svg class="x"/>', "<math />", "<svg><path/></svg>"):
+        assert html_text.main_text(f"<body><article><p>{line}</p>{tag}<p>{line}</p></article></body>").count("The text") == 2
+    assert html_text.main_text(f"<article><p>{line}</p><script/><p>{line}</p></article>").count("The text") == 1
