@@ -111,7 +111,8 @@ def test_equal_and_similar_lines_stay_once(spark):
     assert by_id[7] == "last line of its own"
 
 
-def test_links_are_similar_and_find_all_candidates(spark):
+def test_links_are_all_pairs_that_share_a_key_and_are_similar(spark):
+    """Against brute force over all pairs: groups are joined by similar lines, and hold all similar lines within the blocks' guarantee."""
     import itertools
 
     rng = random.Random(4)
@@ -124,32 +125,105 @@ def test_links_are_similar_and_find_all_candidates(spark):
                 line[k] = "changed" + str(rng.randrange(5))
             lines.append(" ".join(line))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
-    marks = {r["doc_id"]: r for r in line_dedup.fingerprints(docs).collect()}
-    keys = {r["doc_id"]: set(r["k"]) for r in line_dedup.fingerprints(docs).select("doc_id", line_dedup._keys(F.col("fp")).alias("k")).collect()}
-    parent = {x: x for x in lines}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, j in itertools.combinations(range(len(lines)), 2):
-        near = ((marks[i]["fp"] ^ marks[j]["fp"]) % 2**64).bit_count()
-        if near <= 3:
-            assert keys[i] & keys[j]
-        if keys[i] & keys[j] and near <= line_dedup.MOST_BITS and similar(lines[i], lines[j]):
-            a, b = sorted((find(lines[i]), find(lines[j])), key=lines.index)
-            parent[b] = a
-    want = [i for i, x in enumerate(lines) if x in lines[:i] or any(find(x) == find(y) for y in lines[:i])]
-    lost = sorted(r["doc_id"] for r in line_dedup.removals(docs).collect())
-    assert lost == want
+    known = {r["doc_id"]: r for r in line_dedup.classes(docs).withColumn("k", line_dedup._keys(F.col("fp"))).collect()}
+    place = {t: min(i for i, x in enumerate(lines) if x == t) for t in lines}
+    pairs = list(itertools.combinations(sorted(place.values()), 2))
+    near = {(i, j) for i, j in pairs if similar(lines[i], lines[j])}
+    for i, j in pairs:
+        if ((known[i]["fp"] ^ known[j]["fp"]) % 2**64).bit_count() <= line_dedup.BLOCKS - line_dedup.EQUAL:
+            assert set(known[i]["k"]) & set(known[j]["k"])
+    found = {tuple(sorted((r["a"]["doc_id"], r["b"]["doc_id"]))) for r in line_dedup.links(docs, line_dedup.classes(docs)).collect()}
+    assert found and found <= near
+    groups = lambda links: {frozenset(x) for x in joined(links, place.values())}
+    assert groups(found) == groups(near)
+
+
+def joined(links, nodes):
+    group = {x: {x} for x in nodes}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for x in group[b]:
+                group[x] = group[a]
+    return group.values()
+
+
+def test_recall_over_all_pairs_of_the_documents(spark):
+    """Of all pairs of distinct lines of the smallest table with an edit similarity of 0.8, at least nine in ten end in one group."""
+    import duckdb
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = line_dedup.classes(docs)
+    texts = {(r["h1"], r["h2"]): r["norm"] for r in line_dedup.lines(docs).collect()}
+    keys, norms = list(texts), list(texts.values())
+    letters = sorted({c for x in norms for c in x})
+    counts = np.array([[x.count(c) for c in letters] for x in norms])
+    size = counts.sum(axis=1)
+    maybe = []
+    for i in range(len(norms) - 1):  # no edit distance is below the letters that one line has more of
+        more = np.maximum(counts[i + 1 :] - counts[i], 0).sum(axis=1)
+        less = np.maximum(counts[i] - counts[i + 1 :], 0).sum(axis=1)
+        maybe += [(i, i + 1 + j) for j in np.flatnonzero(5 * np.maximum(more, less) <= np.maximum(size[i + 1 :], size[i]))]
+    con = duckdb.connect()
+    import pyarrow as pa
+
+    pairs = pa.table({"i": [i for i, _ in maybe], "j": [j for _, j in maybe], "x": [norms[i] for i, _ in maybe], "y": [norms[j] for _, j in maybe]})  # noqa: F841
+    near = con.execute("select i, j from pairs where 5 * levenshtein(x, y) <= greatest(length(x), length(y))").fetchall()
+    assert len(near) >= 20
+    links = [((r["a"]["h1"], r["a"]["h2"]), (r["b"]["h1"], r["b"]["h2"])) for r in line_dedup.links(docs, known).collect()]
+    group = {}
+    for g in joined(links, keys):
+        group |= dict.fromkeys(g, id(g))
+    assert sum(group[keys[i]] == group[keys[j]] for i, j in near) >= 0.9 * len(near)
 
 
 def test_majority_of_word_hashes(spark):
     docs = spark.createDataFrame([(1, "One two  two three")], "doc_id long, text string")
     hashes = [r[0] % 2**64 for r in spark.sql("select xxhash64(w) from values ('one'), ('two'), ('two'), ('three') t(w)").collect()]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in set(hashes)) > 3)
-    assert line_dedup.fingerprints(docs).first()["fp"] % 2**64 == want
+    assert line_dedup.classes(docs).first()["fp"] % 2**64 == want
+
+
+def test_bands_are_the_least_hashes_of_word_pairs(spark):
+    """A line of each length around the seven words of a row, against the same by array functions of one row."""
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 6, 7, 8, 13, 14, 15, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = F.transform(F.expr("concat(array(null), split(text, ' '), array(null))"), lambda w: F.xxhash64(w))
+    pairs = F.zip_with(F.slice(hashes, 1, F.size(hashes) - 1), F.slice(hashes, 2, F.size(hashes) - 1), lambda a, b: F.xxhash64(a, b))
+    ordered = lambda mask: F.transform(pairs, lambda h: h.bitwiseXOR(F.lit(mask)))
+    least = [F.array_min(ordered(mask)) for mask in line_dedup.MASKS]
+    bands = [F.xxhash64(F.lit(b), *least[b * line_dedup.ORDERS : (b + 1) * line_dedup.ORDERS]) for b in range(line_dedup.BANDS_OF_PAIRS)]
+    want = {r["doc_id"]: r["bands"] for r in docs.select("doc_id", F.array(*bands).alias("bands")).collect()}
+    assert {r["doc_id"]: r["bands"] for r in line_dedup.classes(docs).collect()} == want
+
+
+def test_alignment_never_costs_less_than_the_edit_distance(spark):
+    rng = random.Random(7)
+    words = [rng.choice(LONG.split()) for _ in range(40)] + ["x" * 70]
+    rows = []
+    for _ in range(60):
+        x = [rng.choice(words) for _ in range(rng.randrange(1, 15))]
+        y = [w for w in x if rng.random() > 0.1]
+        for _ in range(rng.randrange(4)):
+            y.insert(rng.randrange(len(y) + 1), rng.choice(words))
+        rows.append((" ".join(x), " ".join(y)))
+    found = spark.createDataFrame(rows, "x string, y string").select("*", F.split("x", " ").alias("xw"), F.split("y", " ").alias("yw"), F.levenshtein("x", "y").alias("d"))
+    found = found.select("x", "y", "d", line_dedup._aligned().alias("cost")).collect()
+    assert all(r["cost"] >= r["d"] for r in found)
+    assert sum(r["cost"] <= r["d"] + 3 for r in found) > len(found) // 2
+
+
+def test_tabs_and_returns_at_the_ends_of_lines(spark):
+    docs = spark.createDataFrame([(1, "Some line\r\nother"), (2, "\tsome line\nother \x0b"), (3, "\r\n\t")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == {1: "Some line\r\nother", 2: "", 3: "\r\n\t"}
+
+
+def test_a_line_of_many_documents_and_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "OFTEN", 5)
+    rows = [(i, "the same line in all of them\n" + f"{LONG} with number {i}") for i in range(40)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: t if i == 0 else "" for i, t in rows}
 
 
 def test_line_dedup_of_odd_and_no_rows(spark, docs, no_docs):
@@ -160,17 +234,16 @@ def test_line_dedup_of_odd_and_no_rows(spark, docs, no_docs):
 
 def test_long_lines_count_all_words(spark, monkeypatch):
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(50))), (2, "a b c"), (3, "a b c d")], "doc_id long, text string")
-    want = {r["doc_id"]: r["fp"] for r in line_dedup.fingerprints(docs).collect()}
+    want = {r["doc_id"]: r["fp"] for r in line_dedup.classes(docs).collect()}
     monkeypatch.setattr(line_dedup, "LANE_WORDS", 3)
-    assert {r["doc_id"]: r["fp"] for r in line_dedup.fingerprints(docs).collect()} == want
+    assert {r["doc_id"]: r["fp"] for r in line_dedup.classes(docs).collect()} == want
 
 
-def test_fingerprints_of_repeated_rows(spark):
+def test_classes_of_repeated_rows(spark):
     line = " ".join(f"w{i}" for i in range(23))
     docs = spark.createDataFrame([(1, line), (2, line), (2, line), (2, line), (3, None), (4, " ")], "doc_id long, text string")
-    found = line_dedup.fingerprints(docs).collect()
-    assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 2]
-    assert len({r["fp"] for r in found}) == 1
+    found = line_dedup.classes(docs).collect()
+    assert [(r["doc_id"], r["pos"], r["n"], r["size"]) for r in found] == [(1, 0, 4, len(line))]
 
 
 def test_edited_lines_are_found_as_by_brute_force(spark):
