@@ -2,11 +2,12 @@
 
 Texts are tokenised once, cut into pieces of at most `size` tokens, and written with each piece's rank among the pieces
 of its length and input partition. All else works on the histogram of lengths, which has at most `size` bins whatever
-the corpus: multiplicative weights price the lengths, a knapsack dynamic program finds the best configuration for those
-prices, the configurations found are rounded down to whole numbers, and the pieces left over are packed best fit
-decreasing, again by length and multiplicity. If that needs more sequences than best fit decreasing alone, the latter's
-configurations are used. A piece then finds its sequence and offset from its length and rank by a binary search in the
-list of slots, so no group of pieces ever meets in one task.
+the corpus: multiplicative weights price the lengths, a knapsack dynamic program finds the best configurations for those
+prices, and the amounts taken, over the least coverage of a length, solve the configuration program to within `GAP` of a
+lower bound. They are rounded to whole numbers, and the pieces that these leave are put by best fit decreasing, again by
+length and multiplicity, into the room left or new sequences; those still not full are packed anew where that takes
+fewer. A piece then finds its sequence and offset from its length
+and rank by a binary search in the list of slots, so no group of pieces ever meets in one task.
 
 A document is its ids and an end id; longer ones are cut so that only the first piece may be shorter than `size`.
 Nulls: a null text is an empty one (the end id only); a null or repeated doc_id is carried through, and repeated rows
@@ -30,6 +31,10 @@ from .tokens import byte_table, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 1024, 2
+#: The program is solved until its solution is within this share of a lower bound, or for so many rounds.
+GAP, ROUNDS = 0.02, 2000
+#: A configuration is taken if its value is within this share of the best one; prices fall at this rate.
+SLACK, RATE = 0.02, 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -74,59 +79,85 @@ def _pieces(path: str, size: int, end_id: int):
     return run
 
 
-def knapsack(values: np.ndarray, size: int) -> Counter:
-    """The configuration of most value: lengths (with repeats) of at most `size` together. values[l] is that of length l."""
+def knapsack(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most value that each room of up to `size` can hold, and a length that begins such a filling (0: room is left).
+
+    values[l] is that of length l; a length may be taken many times.
+    """
     best = np.zeros(size + 1)
     pick = np.zeros(size + 1, np.int64)
     lengths = np.flatnonzero(values > 0)
     worth = values[lengths]
+    fitting = np.searchsorted(lengths, np.arange(size + 1), "right").tolist()
     for room in range(1, size + 1):
-        n = np.searchsorted(lengths, room, "right")
+        n = fitting[room]
         best[room] = best[room - 1]
         if n:
             total = best[room - lengths[:n]] + worth[:n]
             k = int(total.argmax())
             if total[k] > best[room]:
                 best[room], pick[room] = total[k], lengths[k]
+    return best, pick
+
+
+def filling(pick: np.ndarray, room: int) -> Counter:
+    """The lengths of a best filling of `room`, from the picks of `knapsack`."""
     out: Counter = Counter()
-    room = size
     while room > 0:
-        if pick[room]:
-            out[int(pick[room])] += 1
-            room -= int(pick[room])
-        else:
-            room -= 1
+        length = int(pick[room])
+        out.update([length] if length else [])
+        room -= length or 1
     return out
 
 
-def configurations(demand: np.ndarray, size: int, rounds: int = 250, rate: float = 0.5) -> dict[tuple, float]:
-    """Fractional solution of the configuration program by multiplicative weights: amounts by configuration.
+def configurations(demand: np.ndarray, size: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """A feasible solution of the configuration program, amounts by configuration, and a lower bound of its optimum.
 
-    demand[l] pieces of length l are to be covered. Each round takes the configuration that the prices favour, as often
-    as its scarcest length allows, and lowers the prices of what it covers.
+    The program covers demand[l] pieces of each length l by the least amount of configurations. Prices start from the room
+    that a piece takes, which no configuration exceeds. Each round the dynamic program prices all rooms once; for each
+    length, the least covered first, the best configuration that holds it is taken if its value is still within
+    `SLACK` of the best, as often as its scarcest length is wanted, and what it covers gets cheaper by the share covered.
+    The amounts over the least coverage of a length are a solution. Prices over the best value are a solution of the
+    dual, so the search ends once the two are within `gap`, or after `rounds`.
     """
-    active = demand > 0
-    # prices start from the room that a piece takes, the optimal dual where no room is wasted
-    weights = np.where(active, np.arange(len(demand)) / size * demand, 0.0)
+    active = np.flatnonzero(demand)
+    wanted = demand.astype(float)
+    price = np.zeros(size + 1)
+    price[active] = active / size
+    covered = np.zeros(size + 1)
     found: dict[tuple, float] = defaultdict(float)
-    covered = np.zeros(len(demand))
-    for _ in range(rounds):
-        prices = np.divide(weights, demand, out=np.zeros(len(demand)), where=active)
-        config = knapsack(prices, size)
-        if not config:
+    total, bound = 0.0, float(wanted @ price)
+    noise = np.random.default_rng(1)
+    for _ in range(rounds if len(active) else 0):
+        # many fillings are worth the same: a little noise takes another one each round
+        best, pick = knapsack(price * (1 + SLACK / 4 * noise.random(size + 1)), size)
+        top = best[size]
+        bound = max(bound, float(wanted @ price) / top)
+        for length in active[np.argsort(covered[active], kind="stable")].tolist():
+            if price[length] + best[size - length] < (1 - SLACK) * top:
+                continue
+            config = filling(pick, size - length)
+            config[length] += 1
+            if sum(n * price[x] for x, n in config.items()) < (1 - SLACK) * top:
+                continue
+            amount = min(wanted[x] / n for x, n in config.items())
+            found[tuple(sorted(config.items(), reverse=True))] += amount
+            total += amount
+            for x, n in config.items():
+                share = n * amount / wanted[x]
+                covered[x] += share
+                price[x] *= np.exp(-RATE * share)
+        least = covered[active].min()
+        if total <= (1 + gap) * bound * least:
             break
-        amount = min(demand[length] / n for length, n in config.items())
-        found[tuple(sorted(config.items(), reverse=True))] += amount
-        for length, n in config.items():
-            gain = n * amount / demand[length]
-            covered[length] += gain
-            weights[length] *= np.exp(-rate * gain)
-    return found
+    return {config: amount / least for config, amount in found.items()} if found else {}, bound
 
 
-def best_fit(demand: np.ndarray, size: int) -> list[tuple[tuple, int]]:
-    """Best fit decreasing of demand[l] pieces of each length l, by multiplicity: (configuration, times)."""
+def best_fit(demand: np.ndarray, size: int, begun: list[tuple[tuple, int]] = ()) -> list[tuple[tuple, int]]:
+    """Best fit decreasing of demand[l] pieces of each length l, by multiplicity, into the room that `begun` leaves and new sequences: (configuration, times)."""
     open_: dict[int, list[list]] = defaultdict(list)  # room left: [configuration, times]
+    for config, times in begun:
+        open_[size - sum(length * n for length, n in config)].append([config, times])
     for length in np.flatnonzero(demand)[::-1].tolist():
         left = int(demand[length])
         while left:
@@ -150,27 +181,54 @@ def best_fit(demand: np.ndarray, size: int) -> list[tuple[tuple, int]]:
     return [(config, times) for x in open_.values() for config, times in x]
 
 
-def plan(demand: np.ndarray, size: int) -> list[tuple[tuple, int]]:
-    """Whole numbers of configurations that hold demand[l] pieces of each length l exactly."""
-    left = demand.copy()
+def rounded(demand: np.ndarray, size: int) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """Whole numbers of the program's configurations, and the pieces of each length that they leave.
+
+    Every amount is rounded down; then the fractions are added up in order of the configurations, and each time that
+    they pass a whole number the configuration at hand is taken once more, so about as many are taken as the program has.
+    """
+    rest = demand.copy()
     chosen: list[tuple[tuple, int]] = []
-    full = int(left[size])  # a whole sequence each
-    if full:
-        chosen.append((((size, 1),), full))
-        left[size] = 0
-    rest = left.copy()
-    rounded: list[tuple[tuple, int]] = []
-    found = configurations(left, size) if left.any() else {}
-    tight = sorted(found.items(), key=lambda x: (size - sum(a * b for a, b in x[0]), -x[1], x[0]))
-    for config, amount in tight:
-        times = min([int(amount), *(int(rest[length]) // n for length, n in config)])
-        if times > 0 and sum(a * b for a, b in config) == size:
-            rounded.append((config, times))
+
+    def take(config: tuple, times: int) -> None:
+        times = min([times, *(int(rest[length]) // n for length, n in config)])
+        if times > 0:
+            chosen.append((config, times))
             for length, n in config:
                 rest[length] -= n * times
-    alone, mixed = best_fit(left, size), rounded + best_fit(rest, size)
-    count = lambda x: sum(n for _, n in x)
-    return chosen + (mixed if count(mixed) <= count(alone) else alone)
+
+    amounts, _ = configurations(demand, size)
+    fullest = sorted(amounts.items(), key=lambda x: (size - sum(a * b for a, b in x[0]), -x[1], x[0]))
+    for config, amount in fullest:
+        take(config, int(amount))
+    carry = 0.5
+    for config, amount in fullest:
+        carry += amount - int(amount)
+        if carry >= 1:
+            carry -= 1
+            take(config, 1)
+    return chosen, rest
+
+
+def plan(demand: np.ndarray, size: int) -> list[tuple[tuple, int]]:
+    """Whole numbers of configurations that hold demand[l] pieces of each length l exactly.
+
+    The sequences that are not full in the end are packed anew, best fit decreasing, if that takes fewer.
+    """
+    left = demand.copy()
+    left[size] = 0  # a whole sequence each
+    chosen, rest = rounded(left, size)
+    packed = best_fit(rest, size, chosen)
+    room = [size - sum(length * n for length, n in config) for config, _ in packed]
+    loose = [x for x, r in zip(packed, room) if r]
+    pieces = np.zeros_like(demand)
+    for config, times in loose:
+        for length, n in config:
+            pieces[length] += n * times
+    anew = best_fit(pieces, size)
+    if sum(t for _, t in anew) < sum(t for _, t in loose):
+        loose = anew
+    return [(((size, 1),), int(demand[size]))] * bool(demand[size]) + [x for x, r in zip(packed, room) if not r] + loose
 
 
 def slots(chosen: list[tuple[tuple, int]], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
