@@ -1,16 +1,15 @@
 """Token ids of whole texts in grammar-compressed shards, by Re-Pair, with random access.
 
-Documents are range-partitioned and sorted by doc_id; each partition writes shards of about `SHARD` ids in order. A shard
-replaces frequent pairs of neighbouring symbols by new symbols, round after round: the pairs are counted in a table by
-hash (a slot counts one pair exactly; its rivals wait for a later round), the most frequent become rules, and all their
-occurrences that do not overlap are replaced at once. No rule holds the end id of a document, so every document
-starts at a symbol of its own. A shard holds the rules as pairs of symbols, how many ids each rule expands to, the
-symbols, and for each document where its symbols and its ids begin. `decode` expands a document, `token` one id of it,
-without touching the rest of the shard.
+Documents are range-partitioned and sorted by doc_id; each partition writes shards of about `SHARD` characters in order. A
+shard replaces frequent pairs of neighbouring symbols by new symbols, round after round, until no pair occurs `LEAST` times:
+the pairs are counted exactly, the most frequent become rules, and all their occurrences that do not overlap are replaced
+at once. No rule holds the end id of a document, so every document starts at a symbol of its own. A shard holds the rules
+as pairs of symbols, how many ids each rule expands to, the symbols, and for each document where its symbols and its ids
+begin. `decode` expands a document, `token` one id of it, without touching the rest of the shard.
 
 Shards are rows of a Parquet table (partition, number in it, first doc_ids, blob); their order is that of the ids.
 Nulls: a null text is empty (its end id only); a null doc_id comes before all others, rows with one doc_id are ordered by
-text, and each row is a document. An empty table gives an empty table. Only doc_id and text are read.
+a hash of their text, over more than one partition if they are many, and each row is a document. An empty table gives an empty table. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -33,56 +32,85 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Characters of a shard, about four ids to ten of them.
 SHARD = 4_000_000
-ROUNDS, RULES, LEAST = 3, 4500, 8
+#: Rules of a round at most, and how often a pair occurs at least to become one.
+RULES, LEAST = 4500, 8
 SLOT_BITS = 18
 HEAD = struct.Struct("<4sIIIIII")
 MAGIC = b"GRP1"
 
 
-def _replace(seq: np.ndarray, first: int, rules: int, least: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round: the pairs that became rules `first`, `first` + 1, ..., and the sequence after their replacement."""
-    pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-    slot = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-    owner = np.zeros(1 << SLOT_BITS, np.uint64)
-    owner[slot] = pair  # the last pair of a slot owns it
-    own = np.flatnonzero(owner[slot] == pair)
-    mine = slot[own]
-    counts = np.bincount(mine, minlength=1 << SLOT_BITS)
-    counts[(owner >> np.uint64(32) == end) | ((owner & np.uint64(0xFFFFFFFF)) == end)] = 0
-    top = np.flatnonzero(counts >= least)
-    if len(top) > rules:
-        top = top[np.argpartition(counts[top], len(top) - rules)[-rules:]]
-    if not len(top):
-        return np.empty((0, 2), np.uint32), seq
-    pairs = np.stack((owner[top] >> np.uint64(32), owner[top] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32)
-    symbol = np.zeros(1 << SLOT_BITS, np.uint32)
-    symbol[top] = first + np.arange(len(top), dtype=np.uint32)
-    names = symbol[mine]
-    chosen = names > 0
-    hit, names = own[chosen], names[chosen]
-    # of occurrences that overlap in a run, every second one from the first on
-    order = np.arange(len(hit))
-    run_start = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, order, 0))
-    every = (order - run_start) % 2 == 0
-    hit, names = hit[every], names[every]
-    out = seq.copy()
-    out[hit] = names
-    keep = np.ones(len(seq), bool)
-    keep[hit + 1] = False
-    return pairs, out[keep]
-
-
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, end: int = END, rounds: int = ROUNDS, rules: int = RULES, least: int = LEAST) -> bytes:
-    """A shard of documents: `ids` one after the other, each document's last one being `end`; ids are below `base`."""
+def _count(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each occurs."""
+    ordered = np.sort(pairs)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    return ordered[first], np.diff(np.append(first, len(ordered)))
+
+
+def _slot(pairs: np.ndarray) -> np.ndarray:
+    return (pairs * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+
+
+def grammar_of(ids: np.ndarray, base: int, end: int, rules: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Rules as pairs of symbols, and the symbols that are left, in which no pair without `end` occurs `least` times.
+
+    Each round counts the pairs exactly and replaces up to `rules` of the most frequent at once; of two that would share
+    a slot of the table by which their occurrences are found, one waits for the next round. A pair that is rare stays
+    rare unless it holds a new symbol, so each round looks only at frequent pairs and at those beside new symbols.
+    """
     seq = ids.astype(np.uint32)
-    grammar = np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
+    grammar: list[np.ndarray] = []
+    size = base
+    may = np.ones(max(0, len(seq) - 1), bool)  # pairs, by their first place, that may be frequent
+    while may.any():
+        may &= (seq[:-1] != end) & (seq[1:] != end)
+        at = np.flatnonzero(may)
+        if not len(at):
             break
-        pairs, seq = _replace(seq, base + len(grammar), rules, least, end)
-        if not len(pairs):
+        pairs = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        narrow = size <= 1 << 16
+        names, counts = _count((seq[at] << np.uint32(16)) | seq[at + 1] if narrow else pairs)
+        often = counts >= least
+        names, counts = names[often].astype(np.uint64), counts[often]
+        if narrow:
+            names = (names >> np.uint64(16)) << np.uint64(32) | (names & np.uint64(0xFFFF))
+        if not len(names):
             break
-        grammar = np.concatenate((grammar, pairs))
+        top = names if len(names) <= rules else names[np.argpartition(counts, len(names) - rules)[-rules:]]
+        slots = _slot(pairs)
+        frequent = np.zeros(1 << SLOT_BITS, bool)
+        frequent[_slot(names)] = True
+        owner = np.zeros(1 << SLOT_BITS, np.uint64)
+        owner[_slot(top)] = top
+        symbol = np.zeros(1 << SLOT_BITS, np.uint32)
+        top = np.sort(owner[owner > 0])
+        symbol[_slot(top)] = size + np.arange(len(top), dtype=np.uint32)
+        hit = np.flatnonzero(owner[slots] == pairs)
+        new = symbol[slots[hit]]
+        still = frequent[slots]
+        hit = at[hit]
+        # of occurrences that overlap in a run, every second one from the first on
+        order = np.arange(len(hit))
+        run_start = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) != 1, order, 0))
+        every = (order - run_start) % 2 == 0
+        hit, new = hit[every], new[every]
+        may[at] = still
+        fresh = np.zeros(len(seq), bool)
+        fresh[hit] = True
+        seq[hit] = new
+        keep = np.ones(len(seq), bool)
+        keep[hit + 1] = False
+        # the pair behind a replaced one begins at its new symbol
+        may = np.append(may, False)[keep][:-1]
+        seq, fresh = seq[keep], fresh[keep]
+        may |= fresh[:-1] | fresh[1:]
+        grammar.append(np.stack((top >> np.uint64(32), top & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+        size += len(top)
+    return np.concatenate(grammar) if grammar else np.empty((0, 2), np.uint32), seq
+
+
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, end: int = END, rules: int = RULES, least: int = LEAST) -> bytes:
+    """A shard of documents: `ids` one after the other, each document's last one being `end`; ids are below `base`."""
+    grammar, seq = grammar_of(ids, base, end, rules, least)
     lengths = expansions(grammar, base)
     ends = np.concatenate(([0], np.cumsum(lengths[seq])))
     starts = np.cumsum(counts) - counts
@@ -193,8 +221,8 @@ def _write(path: str, end: int):
 
 def write_shards(docs: DataFrame, vocabulary_file: str = VOCABULARY, end: int = END) -> DataFrame:
     """The shards of the documents' ids in order of doc_id, written to the shared folder."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("tie"))
+    ordered = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     return materialise(ordered.mapInArrow(_write(vocabulary(vocabulary_file), end), "part int, number int, doc_ids array<long>, n_ids long, blob binary"), "shards")
 
 

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -67,12 +68,32 @@ def test_shards_read_back_as_written(docs, rows, no_docs):
     assert repair.read_shards(repair.write_shards(no_docs)).collect() == []
 
 
+def pairs_of(symbols):
+    """Neighbouring symbols without the end id of the document."""
+    return list(zip(symbols[:-1], symbols[1:-1]))
+
+
+def test_no_frequent_pair_is_left_in_a_large_shard():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(3, 50_000, 400)
+    documents = [np.concatenate((rng.zipf(1.3, 300) % 50_000 + 3, passage)) for _ in range(60)]
+    ids = np.concatenate([np.append(x, 2) for x in documents]).astype(np.uint32)
+    counts = np.array([len(x) + 1 for x in documents])
+    shard = repair.Shard(repair.compress(ids, counts, 60_000))
+    assert (shard.decode_all() == ids).all()
+    left = [p for i in range(len(shard)) for p in pairs_of(shard.symbols[shard.places[i] : shard.places[i + 1]].tolist())]
+    assert max(Counter(left).values()) < repair.LEAST
+    assert shard.lengths.max() >= 200  # the passage became a few symbols
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.integers(3, 9), max_size=60), min_size=1, max_size=8), st.integers(1, 6), st.integers(2, 5))
-def test_grammar_round_trip_and_random_access(documents, rounds, least):
+def test_grammar_round_trip_and_random_access(documents, rules, least):
     documents = [[*x, 2] for x in documents]
     ids = np.array([i for x in documents for i in x], np.uint32)
-    shard = repair.Shard(repair.compress(ids, np.array([len(x) for x in documents]), 10, rounds=rounds, least=least))
+    shard = repair.Shard(repair.compress(ids, np.array([len(x) for x in documents]), 10, rules=rules, least=least))
+    left = [p for i in range(len(shard)) for p in pairs_of(shard.symbols[shard.places[i] : shard.places[i + 1]].tolist())]
+    assert max(Counter(left).values(), default=0) < least
     assert shard.decode_all().tolist() == ids.tolist()
     for k, x in enumerate(documents):
         assert shard.decode(k).tolist() == x
