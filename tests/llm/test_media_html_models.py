@@ -195,3 +195,44 @@ def test_self_closed_drawings_and_formulas_swallow_nothing():
     for tag in ('<svg class="x"/>', "<math />", "<svg><path/></svg>"):
         assert html_text.main_text(f"<body><article><p>{line}</p>{tag}<p>{line}</p></article></body>").count("The text") == 2
     assert html_text.main_text(f"<article><p>{line}</p><script/><p>{line}</p></article>").count("The text") == 1
+
+
+HILL = "When the wind came up from the west and over the hill we had to go home by another way than that which we took before, and it was late. "
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div class='page with-sidebar'><nav><a>x</a></nav><article><h1>Title</h1><p>{HILL}</p></article><div class=sidebar>{HILL}</div></div>", "Title " + HILL),
+    (f"<div class='layout has-sidebar sidebar-layout'><article><p>{HILL}</p></article></div>", HILL),
+    (f"<form id=aspnetForm><div>{HILL}</div></form>", HILL),
+    (f"<div id=nav-wrapper><p>{HILL}</p><p>short one</p></div>", HILL + "short one"),
+    (f"<article><p>{HILL}</p><section class=comments><article class=comment>{HILL * 3}</article></section></article>", HILL),
+    (f"<div class=sidebar><article><p>A teaser of forty signs and the rest of it.</p></article></div><main><p>{HILL * 2}</p></main>", HILL * 2),
+])
+def test_a_wrapper_never_empties_an_article(page, want):
+    assert html_text.main_text(page) == want.strip()
+
+
+def test_without_an_article_the_rules_and_both_neighbours_decide():
+    links = "<li><a href=a>one link of a menu</a></li><li><a href=b>another link of it</a></li>"
+    noise = "x7 q9 " * 40
+    page = f"<ul>{links}</ul><div>Home</div><ul>{links}</ul><p>Heading</p><p>{HILL}</p><p>Then.</p><p>{HILL}</p><p>{noise}</p><p>Imprint</p>"
+    assert html_text.main_text(page) == f"Heading {HILL}Then. {HILL}".strip()
+    labels = [html_text.first_pass(b, False, False, True) for b in html_text.measure(html_text.blocks(page))]
+    assert labels == [0, 0, None, 0, 0, None, 1, None, 1, 0, None]
+
+
+def test_a_language_without_a_list_keeps_its_long_blocks():
+    text = "Слово дня было сказано и записано. " * 6
+    assert html_text.main_text(f"<ul><li><a>меню</a></li></ul><div>{text}</div>") == text.strip()
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<p x='", "<div>", "</x>", "<div></x>", "<script>", "<!--x", "< ", "<svg>", "<![CDATA[", "<div class='ad'>t"])
+def test_a_megabyte_of_unclosed_markup_takes_linear_time(piece):
+    import time
+
+    took = []
+    for size in (100_000, 1_000_000):
+        began = time.process_time()
+        html_text.main_text(piece * (size // len(piece)))
+        took.append(time.process_time() - began)
+    assert took[1] < 40 * max(took[0], 0.02) and took[1] < 6
