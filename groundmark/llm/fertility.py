@@ -47,6 +47,8 @@ SCHEMA = (
     "chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_share double"
 )
 
+#: Most groups whose bands are broadcast, about 150 bytes each; more are joined by a shuffle.
+FEW_GROUPS = 50_000
 #: Name of a column that stands beside those of the documents for a while: a hash of what a row's verdict depends on.
 ROW = "_quality_row"
 
@@ -167,7 +169,8 @@ def verdicts(rows: DataFrame, limits: DataFrame) -> DataFrame:
     outside = F.lit(False)
     for m in METRICS:
         outside = outside | F.coalesce((F.col(m) < F.col(f"band_{m}.low")) | (F.col(m) > F.col(f"band_{m}.high")), F.lit(False))
-    joined = rows.join(wide, "grp", "left")
+    wide = materialise(wide, "bands")  # one row a group; few unless languages are many
+    joined = rows.join(F.broadcast(wide) if wide.count() <= FEW_GROUPS else wide, "grp", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~outside).drop(*(f"band_{m}" for m in METRICS))
 
 

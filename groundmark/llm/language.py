@@ -27,8 +27,8 @@ from .common import slices, strings, table
 
 FEATURES = 1 << 16
 LONGEST = 3
-#: Bounds of the sample that the classifier is fitted on: rows of each language, and languages.
-PER_LANGUAGE, MOST_LANGUAGES = 1500, 500
+#: Bounds of the sample that the classifier is fitted on: about so many rows of each language, and of all languages.
+PER_LANGUAGE, SAMPLE = 1500, 60_000
 CHARS = 400_000
 
 
@@ -145,7 +145,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 3) -> t
     idf = np.zeros(FEATURES)
     for slot, n in df.items():
         idf[slot] = np.log((1 + documents) / (1 + n)) + 1
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    per_language = max(1, min(per_language, SAMPLE // max(1, counts.count())))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = docs.join(F.broadcast(counts), "lang").filter(chance < F.lit(float(per_language)) / F.col("n"))
     rows = sample.select("doc_id", "text", "lang").mapInArrow(_rows, "doc_id long, lang string, slots array<int>, shares array<float>").collect()

@@ -1,10 +1,10 @@
 """Media columns: Netpbm and BMP files decoded to arrays, area-resized by integral images, kept as NPY tiles.
 
-`decode` reads P1 to P6 with up to 8 bits a sample and uncompressed BMP of 8, 24 and 32 bits. `area_resize` averages
+`decode` reads P1 to P6, samples of up to 16 bits as 8 bits, and uncompressed BMP of 8, 24 and 32 bits. `area_resize` averages
 the exact area that each output pixel covers, from a two-dimensional prefix sum. `tiles` adds to a table of files their
 size, the tile as an NPY file and a difference hash of the tile.
 
-Nulls: a null or unreadable file gives null in every derived column, and its row stays. Repeated rows give repeated
+Nulls: a null or unreadable file, or one without pixels, gives null in every derived column, and its row stays. Repeated rows give repeated
 rows; an empty table gives an empty table. Only the columns named are read.
 """
 
@@ -46,13 +46,20 @@ def _header(data: bytes, numbers: int) -> tuple[list[int], int]:
     return found, at + 1
 
 
+def _check(data: bytes, width: int, height: int) -> None:
+    """No image is empty, and none has more pixels than its file has bits."""
+    if width < 1 or height < 1 or width * height > 8 * len(data):
+        raise ValueError("size and data do not agree")
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     kind = data[1] - ord("0")
     sizes, at = _header(data, 2 if kind in (1, 4) else 3)
     width, height = sizes[:2]
     top = sizes[2] if len(sizes) > 2 else 1
-    if not 0 < top < 256:
-        raise ValueError("more than 8 bits a sample")
+    if not 0 < top < 1 << 16:
+        raise ValueError("more than 16 bits a sample")
+    _check(data, width, height)
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
     if kind == 1:
         bits = [c - 48 for c in data[at - 1 :] if c in b"01"]
@@ -61,7 +68,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         rows = np.frombuffer(data, np.uint8, height * -(-width // 8), at).reshape(height, -1)
         return (1 - np.unpackbits(rows, axis=1)[:, :width]) * np.uint8(255)
     count = int(np.prod(shape))
-    raw = np.array(data[at:].split()[:count], np.int64) if kind in (2, 3) else np.frombuffer(data, np.uint8, count, at)
+    raw = np.array(data[at:].split()[:count], np.int64) if kind in (2, 3) else np.frombuffer(data, np.uint8 if top < 256 else ">u2", count, at)
+    if len(raw) < count:
+        raise ValueError("too few samples")
     return (raw if top == 255 else raw.astype(np.int64) * 255 // top).astype(np.uint8).reshape(shape)
 
 
@@ -69,6 +78,7 @@ def _bmp(data: bytes) -> np.ndarray:
     at, head, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed or bits not in (8, 24, 32):
         raise ValueError("compressed, or not 8, 24 or 32 bits")
+    _check(data, width, abs(height))
     stride = -(-width * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), at).reshape(abs(height), stride)
     rows = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)

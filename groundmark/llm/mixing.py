@@ -19,6 +19,7 @@ Without labels there is one domain. Repeated rows are documents by themselves; e
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -35,9 +36,11 @@ VOCABULARY = "piece_bpe_32k.model"
 #: Hashed features: first the words, then the shapes.
 WORDS, SHAPES = 1 << 16, 1 << 8
 FEATURES = WORDS + SHAPES
-#: Bounds of the labelled sample that the classifier is fitted on: rows of each domain, and domains.
-PER_DOMAIN, MOST_DOMAINS = 1500, 64
-ROUNDS, TOLERANCE = 30, 1e-4
+#: Bounds of the labelled sample that the classifier is fitted on: about so many rows of each domain, and of all domains.
+PER_DOMAIN, SAMPLE = 1500, 60_000
+#: The descent ends once no total is further from its target than this share of all tokens, once a step nears them by less
+#: than a share of the distance, or once the steps, halved when they went too far, are small.
+TOLERANCE, SETTLED, LEAST_SCALE, ROUNDS = 1e-4, 1e-3, 1 / 64, 100
 STRIP = ".,;:!?\"'()[]\n\t "
 
 #: Default target shares of tokens by domain of the labels table; domains that are not named get nothing.
@@ -110,11 +113,13 @@ SCALE = 4.0
 def fit(docs: DataFrame, labels: DataFrame, path: str, per_domain: int = PER_DOMAIN, epochs: int = 4) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, table of feature scores and bias, from `labels` (doc_id, domain) and the texts of a sample of them."""
     one = labels.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    counts = one.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(MOST_DOMAINS)
+    counts = one.groupBy("domain").agg(F.count("*").alias("n"))
+    per_domain = max(1, min(per_domain, SAMPLE // max(1, counts.count())))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = one.join(F.broadcast(counts), "domain").withColumn("place", place * F.col("n")).filter(F.col("place") < per_domain)
-    sample = sample.orderBy("place", "doc_id").limit(2 * per_domain * MOST_DOMAINS).select("doc_id", "domain")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(_sparse(path), "doc_id long, domain string, features array<long>, values array<double>").collect()
+    sample = sample.select("doc_id", "domain")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(_sparse(path), "doc_id long, domain string, features array<long>, values array<double>").collect()
     rows = sorted((r for r in rows if r["features"]), key=lambda r: (r["doc_id"], r["features"]))
     domains = sorted({r["domain"] for r in rows})
     if not domains:
@@ -190,7 +195,7 @@ def _added(parts: DataFrame, width: int) -> np.ndarray:
 def descend(rows: DataFrame, shares: np.ndarray, budget: float | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Steps that bring the expected totals of `rows` (n_tokens, posterior) to `shares` of `budget` tokens.
 
-    Without a budget, as many tokens as there are.
+    Without a budget, as many tokens as there are. Targets that no rates reach are neared as far as the descent moves.
     """
     width = len(shares)
     rows = rows.select("n_tokens", "posterior")
@@ -201,12 +206,25 @@ def descend(rows: DataFrame, shares: np.ndarray, budget: float | None = None, ro
         return steps
     target = shares * (tokens if budget is None else budget)
     metric = np.linalg.inv(moments + RIDGE * tokens / width * np.eye(width))
+    least, scale = np.inf, 1.0
     for _ in range(rounds):
         total = _added(rows.mapInArrow(_totals(steps, width), "total array<double>"), width)
         gap = total - target
         if np.abs(gap).max() <= TOLERANCE * tokens:
             break
-        steps = np.vstack((steps, metric @ gap))
+        distance = float(gap @ metric @ gap)
+        if distance >= least:  # the last step went too far
+            scale /= 2
+            if scale < LEAST_SCALE:
+                break
+            steps[-1] /= 2
+            continue
+        if distance > (1 - SETTLED) * least:
+            break
+        least = distance
+        steps = np.vstack((steps, scale * (metric @ gap)))
+    else:
+        warnings.warn(f"the rates still move after {rounds} rounds; the largest gap is {np.abs(gap).max() / tokens:.2g} of all tokens", stacklevel=2)
     return steps
 
 
@@ -256,7 +274,9 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows that share a doc_id share their largest number of copies.
     """
     found = mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS)
-    times = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies__"))
-    joined = docs.join(times, "doc_id", "left")
-    repeated = joined.withColumn("copy__", F.explode(F.expr("sequence(1, cast(greatest(coalesce(copies__, 1), 1) as int))")))
-    return repeated.filter("coalesce(copies__, 1) > 0").select(*docs.columns)
+    times = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("times")).withColumnRenamed("doc_id", "named")
+    joined = docs.join(times, docs["doc_id"] == times["named"], "left").select(docs["*"], F.coalesce(times["times"], F.lit(1)))
+    # an own name for each column while copies are made, whatever the documents' columns are called
+    numbered = joined.toDF(*(f"c{i}" for i in range(len(docs.columns))), "times").filter("times > 0")
+    repeated = numbered.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return repeated.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -2,8 +2,8 @@
 
 Texts are cut into pre-tokens in Arrow batches. For each block of documents and each bucket of pre-tokens (by hash) one
 frame travels: the block's distinct pre-tokens of that bucket with the documents that have them and how often. All
-frames of a bucket meet in one partition, where a pre-token that any of them holds is encoded once, only its length is
-kept, and joined by equality to the frequencies. What leaves is one array of sums per frame, one sum a document of the
+frames of a bucket meet in one partition, where a pre-token that any of them holds is encoded once (or again once
+`KNOWN` others have been), only its length is kept, and joined by equality to the frequencies. What leaves is one array of sums per frame, one sum a document of the
 block; the arrays of a block are added up. A word that every document has adds one frequency per document to one bucket,
 whatever its weight in the corpus, and no row per document and bucket is made.
 
@@ -26,6 +26,8 @@ from .common import shuffle_partitions, slices, strings, table
 from .tokens import PieceTable, byte_table, sentence_table, vocabulary
 
 LIMIT = 4096
+#: Pre-tokens whose counts a task keeps at a time, besides those of one frame; about 150 bytes each.
+KNOWN = 1_000_000
 #: A frame is one row of four lists: the pre-tokens, how many documents each has, and those documents and frequencies.
 FRAME = ["pretoken", "documents", "document", "times"]
 
@@ -102,6 +104,8 @@ def _lookup(path: str):
                     continue
                 part = pa.ipc.open_stream(frame.as_buffer()).read_next_batch()
                 names = part.column(0).flatten().to_pylist()
+                if len(known) > KNOWN:  # those of other frames can be counted anew
+                    known.clear()
                 fresh = [x for x in names if x not in known]
                 if fresh:
                     known.update(zip(fresh, encode(fresh)[1].tolist()))

@@ -55,6 +55,13 @@ def test_text_media_round_trip(docs, rows, no_docs):
     assert media.text_media(no_docs).mapInArrow(media._digest, media.DIGEST).collect() == []
 
 
+def test_sizes_without_pixels_or_data_and_wide_samples(spark):
+    bad = [b"P5 99999999999999999999 1 255\n", b"P5 0 0 255\n", b"P6 0 3 255\nabc", b"P2 2 1 9\n1", b"P5 2 2 70000\nabcdefgh", media.encode_bmp(np.zeros((1, 1, 3), np.uint8)).replace(b"\x01\0\0\0\x01\0\0\0\x01", b"\0\0\0\0\x01\0\0\0\x01")]
+    found = media.tiles(spark.createDataFrame(list(enumerate(bad)), "id int, file binary"), "id", "file").collect()
+    assert len(found) == len(bad) and all(r["height"] is None and r["tile"] is None and r["feature"] is None for r in found)
+    assert media.decode(b"P5 2 1 65535\n\xff\xff\x80\x00").tolist() == [[255, 127]]
+
+
 def test_tiles_of_unreadable_files(spark):
     files = [(1, media.encode_ppm(np.zeros((2, 2, 3), np.uint8))), (2, None), (3, b""), (4, b"P6 9 9 255\nshort"), (5, b"BMxx")]
     found = {r["id"]: r for r in media.tiles(spark.createDataFrame(files, "id int, file binary"), "id", "file").collect()}
@@ -236,3 +243,24 @@ def test_a_megabyte_of_unclosed_markup_takes_linear_time(piece):
         html_text.main_text(piece * (size // len(piece)))
         took.append(time.process_time() - began)
     assert took[1] < 40 * max(took[0], 0.02) and took[1] < 6
+
+
+def test_mixing_stage_with_clashing_names_nulls_and_no_rows(spark, no_docs, tmp_path):
+    """Copies follow the rates; rows without doc_id stay once, and no name of a column matters."""
+    docs = spark.createDataFrame([(i, f"good words here number {i} " * 20) for i in range(60)] + [(None, "no id"), (61, None), (5, "a repeated row")], "doc_id long, text string")
+    for c in ("copies", "copies__", "copy__", "copy", "times", "named", "c0", "n_tokens", "domain"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60, 3)] + [(None, 1, 0), (7, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = mixing.stage_mixing(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert sum(r["doc_id"] is None for r in rows) == 1 and {r["copies__"] for r in rows} == {"clash"}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, mixing.label_domains(spark.read.parquet(f"{tmp_path}/labels.parquet")), mixing.TARGETS).groupBy("doc_id").agg(F.max("copies").alias("copies")).collect()}
+    assert all(sum(r["doc_id"] == i for r in rows) == n * (2 if i == 5 else 1) for i, n in copies.items() if i is not None)
+    assert mixing.stage_mixing(spark, no_docs, str(tmp_path)).collect() == []
+
+
+def test_targets_out_of_reach_end_the_descent(spark):
+    rows = spark.createDataFrame([(100, [0.9, 0.1]) for _ in range(50)], "n_tokens long, posterior array<double>")
+    steps = mixing.descend(rows, np.array([0.0, 1.0]))
+    assert len(steps) < mixing.ROUNDS
