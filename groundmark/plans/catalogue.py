@@ -1,6 +1,7 @@
 """Every operator as a query on the benchmark tables, which play the parts of landings, fixes, sorties and tracks.
 
-Each query only renames columns and calls the operator; `ORACLES` has the SQL that gives the same rows.
+Most queries only rename columns and call an operator; some need a few expressions around it, and `dedup_pairs` and
+`ordered_distinct` are plain DataFrame code. `ORACLES` has the SQL that gives the same rows. `records` adds to both.
 """
 
 from __future__ import annotations
@@ -245,12 +246,12 @@ def fallback_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("id", "match.source", "match.event", F.round("match.dt_s", 3).alias("dt_s"))
 
 
-@query("""with t as (select event_id, user_id % 5 as segment, cast(floor(value * 10) as integer) as f, cast(floor(value * 10) as integer) + 40 as l, event_id % 2 as odd from events)
- select event_id from t where odd = 0 and not exists (select 1 from t s where s.odd = 1 and s.event_id % 97 = 1 and s.segment = t.segment and (abs(s.f - t.f) <= 3 or abs(s.l - t.l) <= 3))""")
+@query("""with t as (select event_id, user_id as segment, cast(floor(value * 10) as integer) as f, cast(floor(value * 10) as integer) + 40 as l, event_id % 2 as odd from events)
+ select event_id from t where odd = 0 and not exists (select 1 from t s where s.odd = 1 and s.segment = t.segment and (abs(s.f - t.f) <= 3 or abs(s.l - t.l) <= 3))""")
 def anti_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.floor(F.col("value") * 10).cast("int")
-    t = _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("segment"), first.alias("first_frame"), (first + 40).alias("last_frame"))
-    stored = t.filter("event_id % 2 = 1 and event_id % 97 = 1").select(F.col("segment").alias("first_segment"), "first_frame", F.col("segment").alias("last_segment"), "last_frame")
+    t = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("segment"), first.alias("first_frame"), (first + 40).alias("last_frame"))
+    stored = t.filter("event_id % 2 = 1").select(F.col("segment").alias("first_segment"), "first_frame", F.col("segment").alias("last_segment"), "last_frame")
     return matching.not_seen(t.filter("event_id % 2 = 0"), stored).select("event_id")
 
 
@@ -333,18 +334,6 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("user_id", F.array_join(F.transform("l", lambda x: x["event_type"]), ",").alias("kinds"))
 
 
-@query("select event_id, json_extract_string(props, '$.k') as k from events")
-def json_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
-@query("select page_id, len(string_split(html, '<p')) - 1 as n, substr(split_part(split_part(html, '<p', 2), '>', 2), 1, 20) as head from pages")
-def text_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    parts = F.split("html", "<p")
-    return p.select("page_id", (F.size(parts) - 1).cast("long").alias("n"), F.substring(F.split_part(F.split_part("html", F.lit("<p"), F.lit(2)), F.lit(">"), F.lit(2)), 1, 20).alias("head"))
-
-
 @query("""with c as (select user_id as id, event_id as seq, case event_type when 'purchase' then 'confirm' when 'click' then 'reject' when 'view' then 'edit' else 'reopen' end as action, case when event_type in ('purchase', 'view') then 'N' || event_id end as note from events)
  select id, arg_max(case action when 'confirm' then 'confirmed' when 'reject' then 'rejected' else 'pending' end, seq) filter (where action <> 'edit') as status, arg_max(note, seq) filter (where note is not null) as note, count(*) as changes from c group by 1""")
 def fold_log(spark: SparkSession, sf_dir: str) -> DataFrame:
