@@ -10,6 +10,9 @@ from .ordered import neighbours
 
 GAP_S = 1.5
 
+#: Levels of time buckets, and by how many bits each is wider than the one below.
+LEVELS, STEP_BITS = 6, 5
+
 
 def _bucket(instant: Column, width_s: float) -> Column:
     return F.floor(F.unix_micros(instant) / (width_s * 1e6)).cast("long")
@@ -66,19 +69,32 @@ def report(segments: DataFrame, by: list[str], target_fps: float | None = None,
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width_s: float, points: bool = False) -> DataFrame:
     """Pairs of rows with equal `on` whose half-open ranges overlap: left end > right start, left start < right end.
 
-    Both sides are cut into time buckets of `width_s`, which together with `on` make an equality join that Spark can
-    split where it is hot. A pair that shares several buckets is kept in the first. With `points`, the left side is
-    instants: start and end are one column, and a start of the right side is inside.
+    Time is cut into buckets of `width_s` and, level by level, into buckets that are `2 ** STEP_BITS` times as wide. A range
+    is put into the buckets it meets at its own level, the first where they are about `2 ** STEP_BITS` at most, and into
+    the few of each level above, so a row becomes some forty rows at most however long its range. Two ranges meet at the
+    higher of their levels, in the first bucket they share, by an equality join that Spark can split where it is hot. With
+    `points`, the left side is instants: start and end are one column, and a start of the right side is inside.
     """
+    def at_level(c: str | Column, level: Column) -> Column:
+        return F.call_function("shiftright", F.col(c) if isinstance(c, str) else c, (level * STEP_BITS).cast("int"))
+
     def cut(df: DataFrame, ends: tuple[str, str], tag: str) -> DataFrame:
-        a, b = _bucket(F.col(ends[0]), width_s), _bucket(F.col(ends[1]), width_s)
+        first, last = _bucket(F.col(ends[0]), width_s), _bucket(F.col(ends[1]), width_s)
         df = df.filter(F.col(ends[0]).isNotNull() & F.col(ends[1]).isNotNull() & (F.col(ends[0]) <= F.col(ends[1])))
-        return df.withColumn(f"_{tag}", a).withColumn("_bucket", F.explode(F.sequence(a, b)))
-
-    both = cut(left, left_range, "l").join(cut(right, right_range, "r"), [*on, "_bucket"])
+        df = df.withColumns({"_first": first, "_last": last})
+        own = F.lit(LEVELS - 1)
+        for level in reversed(range(LEVELS - 1)):
+            few = at_level("_last", F.lit(level)) - at_level("_first", F.lit(level)) <= 1 << STEP_BITS
+            own = F.when(few, level).otherwise(own)
+        df = df.withColumn(f"_own_{tag}", own).withColumn("_level", F.explode(F.sequence(F.col(f"_own_{tag}"), F.lit(LEVELS - 1))))
+        df = df.withColumns({f"_{tag}": at_level("_first", F.col("_level")), "_last": at_level("_last", F.col("_level"))})
+        return df.withColumn("_bucket", F.explode(F.sequence(f"_{tag}", "_last"))).drop("_first", "_last")
+
+    both = cut(left, left_range, "l").join(cut(right, right_range, "r"), [*on, "_level", "_bucket"])
     later = F.col(left_range[1]) >= F.col(right_range[0]) if points else F.col(left_range[1]) > F.col(right_range[0])
-    overlap = later & (F.col(left_range[0]) < F.col(right_range[1])) & (F.col("_bucket") == F.greatest("_l", "_r"))
-    return both.filter(overlap).drop("_bucket", "_l", "_r")
+    here = (F.col("_level") == F.greatest("_own_l", "_own_r")) & (F.col("_bucket") == F.greatest("_l", "_r"))
+    overlap = later & (F.col(left_range[0]) < F.col(right_range[1])) & here
+    return both.filter(overlap).drop("_bucket", "_level", "_l", "_r", "_own_l", "_own_r")
 
 
 def covering(windows: DataFrame, segments: DataFrame, by: list[str], clamped: bool = True, width_s: float = 60.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,8 +16,10 @@ from ..schemas import FIX, SEGMENT
 
 
 def _state_dir(spark: SparkSession) -> str:
-    """A folder for a stream's state: under the shared checkpoint folder where one is set."""
+    """A folder for a stream's state: under the shared checkpoint folder, or one of our own where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='groundmark-stream-')}/stream-{uuid.uuid4().hex}"
 
 
@@ -46,6 +49,14 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
+def landed(stream: DataFrame) -> DataFrame:
+    """What a stream gives for the files that are there now, written as Parquet and read back; of any size."""
+    folder = _state_dir(stream.sparkSession)
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def on_change(stream: DataFrame, export: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Calls `export` with each batch that has rows; batches already exported are not repeated after a restart."""
     def each(batch: DataFrame, _: int) -> None:
@@ -61,6 +72,4 @@ def deduplicated_counts(spark: SparkSession, path: str) -> DataFrame:
     folder, name = path.rsplit("/", 1)
     read = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     rows = without_repeats(read.select("user_id", "ts"), ["user_id", "ts"], "ts", "3650 days")
-    counts = rows.groupBy("user_id").agg(F.count("*").alias("n"))
-    table = drained(counts, f"dedup_{uuid.uuid4().hex}", "complete")
-    return table.agg(F.sum("n").alias("n"), F.count("*").alias("users"))
+    return landed(rows).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))

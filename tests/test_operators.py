@@ -221,3 +221,18 @@ def test_texts_and_names(spark):
     assert row["url"] == "rtsp://***@10.0.0.1/x" and row["fps"] == 60.0 and row["none"] is None
     assert (row["clip"], row["blank"], row["t"]) == ("HB-12", "UNKNOWN-007", "01:02:05")
     assert row["start"] == dt.datetime(2026, 7, 18, 12, 32, 7)
+
+
+def test_ranges_of_any_length_against_brute_force(spark):
+    import random
+
+    rng = random.Random(1)
+    start = lambda: rng.randrange(-(10**6), 10**8)
+    sides = [[(rng.randrange(2), i, a, a + int(10 ** rng.uniform(0, 9))) for i in range(150) for a in [start()]] for _ in range(2)]
+    left, right = (
+        spark.createDataFrame(rows, f"k int, i{t} int, a{t} long, b{t} long").withColumns({c + t: F.timestamp_seconds(c + t) for c in "ab"})
+        for rows, t in zip(sides, "lr")
+    )
+    found = timeline.overlap_join(left, right, ["k"], ("al", "bl"), ("ar", "br"), 60.0).select("il", "ir").collect()
+    want = sorted((x[1], y[1]) for x in sides[0] for y in sides[1] if x[0] == y[0] and x[3] > y[2] and x[2] < y[3])
+    assert sorted(map(tuple, found)) == want and want
