@@ -5,8 +5,8 @@ repeated three-word windows. The method's columns measure, under a BPE vocabular
 token, the share of tokens that are single fallback bytes, and the entropy of the tokens over its largest possible
 value, and under a byte-level vocabulary characters per token. `bands` turns the metrics of all documents that pass
 the base rules into one range per language (per script where the language is null); `verdicts` rejects what lies
-outside. A range is the median and `width` times the distance from it to the outer quantiles, never narrower than
-`least`, so a group of like documents keeps them all.
+outside. A range is the median and `width` times the distance from it to two quantiles near it, never narrower than
+`least`, so a group of like documents keeps them all. A group that is noise by more than two fifths keeps some of it.
 
 Nulls: a null text has no words and fails the base rules; a null or repeated doc_id is carried through, one row out
 per row in. Texts without tokens have null metrics and are outside of no band. An empty table gives an empty table.
@@ -47,6 +47,9 @@ SCHEMA = (
     "chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_share double"
 )
 
+#: A band reaches `WIDTH` times the distance from the median to the quantiles `TAIL` and 1 - `TAIL`. These lie close to the
+#: median, so that even a third of noise on one side leaves them among the prose.
+WIDTH, TAIL = 16.0, 0.4
 #: Most groups whose bands are broadcast, about 150 bytes each; more are joined by a shuffle.
 FEW_GROUPS = 50_000
 #: Name of a column that stands beside those of the documents for a while: a hash of what a row's verdict depends on.
@@ -146,7 +149,7 @@ def features(docs: DataFrame, pieces: str = PIECES, bytes_: str = BYTES) -> Data
     return out.withColumn("base_failed", failed)
 
 
-def bands(rows: DataFrame, width: float = 8.0, tail: float = 0.25) -> DataFrame:
+def bands(rows: DataFrame, width: float = WIDTH, tail: float = TAIL) -> DataFrame:
     """(grp, metric, low, high) from all rows that pass the base rules: exact quantiles of the binned metrics.
 
     Only one count per group, metric and bin is shuffled, so a language with a third of all rows costs no more.
@@ -174,7 +177,7 @@ def verdicts(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~outside).drop(*(f"band_{m}" for m in METRICS))
 
 
-def judge(docs: DataFrame, width: float = 8.0, tail: float = 0.25) -> DataFrame:
+def judge(docs: DataFrame, width: float = WIDTH, tail: float = TAIL) -> DataFrame:
     """Features and verdict of every row of `docs`. The texts are read once: the features are written, then banded."""
     rows = materialise(features(docs), "fertility")
     return verdicts(rows, bands(rows, width, tail))
