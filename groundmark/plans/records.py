@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import matching, results, tracks
+from ..operators import matching, results, tracks, viewing
 from ..sources import files
-from .catalogue import _landings, _naive, _orders, _table, query
+from .catalogue import MATRIX, _landings, _naive, _orders, _table, query
 
 
 def _text(template: str, *columns: Column) -> Column:
@@ -190,3 +190,97 @@ def fallback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     out = files.first_with_rows(e.filter("event_type = 'no such type'"), e.filter("event_type = 'view'"))
     return _naive(out.groupBy(F.col("ts").alias("utc")).agg(F.count("*").alias("n")), "utc")
+
+
+@query("""with r as (select event_id, greatest(0, least(event_id % 1200 - 100, 899)) as frame, user_id % 10 * 90 as c from events), i as (select *, frame between c + 5 and c + 115 as reused from r)
+ select event_id, frame, case when reused then c else greatest(0, frame - 60) end as first_frame, reused, round(frame / 50.0, 6) as offset_s from i""")
+def viewer_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    rows = e.select("event_id", (F.col("event_id") % 1200 - 100).alias("frame"), F.lit(900).alias("total"), (F.col("user_id") % 10 * 90).alias("cached_first"), F.lit(121).alias("cached_count"), F.lit(50.0).alias("fps"))
+    return viewing.frame_window(rows).select("event_id", "frame", "first_frame", "reused", F.round("offset_s", 6).alias("offset_s"))
+
+
+@query("""select event_id, strftime(ts + interval 2 hour, '%H:%M:%S') as clock, case when event_id % 3 = 0 then 'club day' else strftime(ts, '%A, %d %B %Y') end as title,
+ case when event_id % 5 between 1 and 3 then 'p' || (event_id % 5 - 1) end as path, case when user_id % 2 = 0 then 0.0 else round(event_id / 25.0, 6) end as at_s from events""")
+def local_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    session = F.when(F.col("event_id") % 3 == 0, F.lit("club day")).otherwise(F.date_format("ts", "yyyy-MM-dd_'final'"))
+    fps = F.when(F.col("user_id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(25.0))
+    path = viewing.place_in_window(F.col("event_id") % 5, F.lit(1), F.array(*(F.lit(f"p{i}") for i in range(3))))
+    return e.select("event_id", viewing.local_time("ts", "+02:00").alias("clock"), viewing.session_title(session).alias("title"), path.alias("path"), F.round(viewing.frame_time(F.col("event_id"), fps), 6).alias("at_s"))
+
+
+@query("select event_id from events where user_id in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def segment_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
+    return viewing.indexed_only(_table(spark, sf_dir, "events"), index, ["user_id"]).select("event_id")
+
+
+@query("select o_orderkey as id from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")
+def work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    done = _table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return viewing.waiting(known, done, ["id"])
+
+
+@query("select user_id, count(*) as gaps, round(sum(value), 4) as gap_s from events where event_type = 'error' group by 1")
+def recorder_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = viewing.gap_totals(_table(spark, sf_dir, "events").filter("event_type = 'error'"), ["user_id"], "value")
+    return out.select("user_id", "gaps", F.round("gap_s", 4).alias("gap_s"))
+
+
+@query("""select count(*) filter (where o_orderstatus <> 'F' and o_orderpriority <> '1-URGENT' and o_orderkey % 3 = 0) as matched, count(*) as landings from orders""")
+def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    before = o.select(F.col("o_orderkey").alias("id"), F.lit(" ").alias("registration"))
+    status = F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("pending")
+    after = o.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("R"), _string("o_custkey"))).otherwise(F.lit("")).alias("registration"),
+        status.alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "judge").alias("identified_by"),
+    )
+    return viewing.match_counters(before, after)
+
+
+@query("select l_orderkey as id, l_linenumber as line, c_name as name from lineitem left join customer on c_custkey = l_suppkey * 7")
+def frame_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") * 7).alias("segment"))
+    meta = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("segment"), F.col("c_name").alias("name"))
+    return viewing.frame_meta(frames, meta, ["segment"]).select("id", "line", "name")
+
+
+@query("""with b as (select l_orderkey as id, count(*) as n, count(v) as k, median(v) as m from (select *, case when l_partkey % 3 <> 0 then l_quantity + 0.5 end as v from lineitem) where abs(l_linenumber - 3) <= 2 group by 1)
+ select o_orderkey as id, case when k >= greatest(3, n // 3) then m end as middle from orders left join b on id = o_orderkey where o_orderkey in (select l_orderkey from lineitem)""")
+def band_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as the columns of their order's profile; every third has no value."""
+    li = _table(spark, sf_dir, "lineitem")
+    value = F.when(F.col("l_partkey") % 3 != 0, F.col("l_quantity") + 0.5)
+    profile = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("u"), value.cast("double").alias("value"))).alias("columns"))
+    return profile.select("id", viewing.band_median(F.col("columns"), F.lit(3), 2).alias("middle"))
+
+
+@query("""with l as (select l_orderkey as id, list(cast(l_quantity as double) order by l_linenumber, l_quantity) as v, count(*) as n from lineitem group by 1),
+ s as (select id, i, case when n < 7 then v[i] else list_median([v[greatest(1, least(n, i + d))] for d in range(-3, 4)]) end as smooth from (select *, unnest(range(1, n + 1)) as i from l)) select id, cast(i as integer) as line, smooth from s""")
+def median_of_seven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = _table(spark, sf_dir, "lineitem")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("q")))), lambda x: x["q"])
+    rows = li.groupBy(F.col("l_orderkey").alias("id")).agg(ordered.alias("v"))
+    out = rows.select("id", F.posexplode(viewing.smoothed(F.col("v"))).alias("i", "smooth"))
+    return out.select("id", (F.col("i") + 1).alias("line"), "smooth")
+
+
+@query("""with p as (select n_nationkey as id, (1000 + n_nationkey * 40) / 2.0 as u, 700 + n_nationkey * 10 as h from nation) select id, case when (0.0005 * u + 0.03 * h * 0.6 - 10) / (0.00001 * u + 0.0002 * h * 0.6 + 1) >= (0.0005 * u + 0.03 * h * 0.9 - 10) / (0.00001 * u + 0.0002 * h * 0.9 + 1) then 1.0 else -1.0 end as sign from p""")
+def far_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("id"), viewing.far_sign(MATRIX, 1000 + F.col("n_nationkey") * 40, 700 + F.col("n_nationkey") * 10).alias("sign"))
+
+
+def _pixel(row: str, y: str) -> str:
+    a, b, c = MATRIX["uvw".index(row)]
+    return f"({a} * x + {b} * {y} + {c})"
+
+
+@query(f"""with g as (select c_custkey as id, c_custkey % 40 * 5.0 as x, -10.0 as y1, 10.0 + c_custkey % 7 as y2 from customer) select id, {', '.join(f"cast(round_even({_pixel(c, 'y' + k)} / {_pixel('w', 'y' + k)}, 0) as integer) as {c}{k}" for k in '12' for c in 'uv')} from g""")
+def ground_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    lines = _table(spark, sf_dir, "customer").select(k.alias("id"), (k % 40 * 5.0).alias("x_m"), F.lit(-10.0).alias("y_from"), (k % 7 + 10.0).alias("y_to"))
+    return viewing.ground_lines(lines, MATRIX).select("id", "u1", "v1", "u2", "v2")
