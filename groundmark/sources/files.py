@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import epoch_instant, local_clock, rate, segment_start, stripped
-from ..schemas import ANNOTATION, FIX, GAP, LANDING, SEGMENT, SORTIE, Field
+from ..functions.values import epoch_instant, is_network_source, local_clock, rate, redacted, segment_start, stripped
+from ..schemas import ANNOTATION, FIX, GAP, LANDING, MARKER, SEGMENT, SORTIE, Field
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -196,4 +197,45 @@ def written(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(folder.alias("folder")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).orderBy(F.desc("folder"))
 
 
-__all__ = [x for x in dir() if not x.startswith("_")] + [SORTIE]
+CALIBRATION = (
+    f"matrix array<array<double>>, inverse array<array<double>>, markers array<struct<{MARKER.replace(' ', ':').replace(',:', ',')}>>, residual_m double, "
+    "worst_m double, per_marker_m array<double>, image_size array<int>, source string, created_utc timestamp, notes string"
+)
+
+
+def calibrations(spark: SparkSession, path: str) -> DataFrame:
+    """Calibration documents; the two keys that follow from the others are not read, and a document without a matrix is none."""
+    read = spark.read.schema(CALIBRATION).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    return read.filter("matrix is not null")
+
+
+def write_calibrations(found: DataFrame, path: str, target_m: float = 0.10) -> None:
+    """One document a line, with whether the residual is within the target, and the target."""
+    found.withColumns({"acceptable": F.col("residual_m") <= target_m, "target_residual_m": F.lit(target_m)}).write.mode("overwrite").json(path)
+
+
+def save_sorties(sorties: DataFrame, path: str, fetched_utc: dt.datetime) -> None:
+    """A logbook's sorties as they were fetched, in place of those saved before."""
+    sorties.withColumn("fetched_utc", F.lit(fetched_utc)).write.mode("overwrite").json(path)
+
+
+def saved_sorties(spark: SparkSession, path: str) -> DataFrame:
+    """The saved sorties; none where nothing was saved, and lines that are no JSON are left out."""
+    try:
+        return json_lines(spark, path, SORTIE)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SORTIE)
+
+
+def write_manifests(sessions: DataFrame, path: str, schema_version: int = 1) -> None:
+    """The facts of sessions, one document a line: credentials go from the source, and the offset defaults to UTC."""
+    facts = sessions.withColumns({
+        "schema_version": F.lit(schema_version), "source": redacted("source"), "utc_offset_seconds": F.coalesce("utc_offset_seconds", F.lit(0)).cast("int"),
+        "rtsp_transport": F.when(is_network_source("source"), F.col("rtsp_transport")),
+    })
+    facts.write.mode("overwrite").json(path)
+
+
+__all__ = [x for x in dir() if not x.startswith("_")]

@@ -236,3 +236,27 @@ def test_ranges_of_any_length_against_brute_force(spark):
     found = timeline.overlap_join(left, right, ["k"], ("al", "bl"), ("ar", "br"), 60.0).select("il", "ir").collect()
     want = sorted((x[1], y[1]) for x in sides[0] for y in sides[1] if x[0] == y[0] and x[3] > y[2] and x[2] < y[3])
     assert sorted(map(tuple, found)) == want and want
+
+
+def test_calibrations_logbooks_and_manifests_round_trip(spark, tmp_path):
+    (tmp_path / "cal").mkdir()
+    (tmp_path / "cal" / "a.json").write_text('{"matrix": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "markers": [{"image_x": 1, "image_y": 2, "world_x": 3, "world_y": 4, "label": "m"}],\n "residual_m": 0.05, "image_size": [1920, 1080], "acceptable": true, "target_residual_m": 0.1}')
+    (tmp_path / "cal" / "b.json").write_text("no json")
+    found = files.calibrations(spark, f"{tmp_path}/cal")
+    assert [(r["markers"][0]["world_y"], r["image_size"], r["matrix"][2]) for r in found.collect()] == [(4.0, [1920, 1080], [0.0, 0.0, 1.0])]
+    files.write_calibrations(found, f"{tmp_path}/again")
+    assert spark.read.json(f"{tmp_path}/again").select("acceptable", "target_residual_m").first() == (True, 0.1)
+    assert files.calibrations(spark, f"{tmp_path}/again").collect() == found.collect()
+
+    assert files.saved_sorties(spark, f"{tmp_path}/none").collect() == []
+    at = dt.datetime(2026, 9, 13, 10, 0)
+    rows = [("D-1", "X", "", at, None, "HOME", {"flarm_id": "a"})]
+    sorties = spark.createDataFrame(rows, files.SORTIE)
+    files.save_sorties(sorties, f"{tmp_path}/book", at)
+    assert [tuple(r) for r in files.saved_sorties(spark, f"{tmp_path}/book").collect()] == rows
+
+    sessions = spark.createDataFrame([("s1", "rtsp://me:secret@cam/1", None, "tcp"), ("s2", "clip.mp4", 7200, "tcp")], "session string, source string, utc_offset_seconds int, rtsp_transport string")
+    files.write_manifests(sessions, f"{tmp_path}/manifests")
+    got = {r["session"]: r for r in spark.read.json(f"{tmp_path}/manifests").collect()}
+    assert got["s1"]["source"] == "rtsp://***@cam/1" and got["s1"]["utc_offset_seconds"] == 0 and got["s1"]["rtsp_transport"] == "tcp"
+    assert got["s2"]["rtsp_transport"] is None and got["s2"]["utc_offset_seconds"] == 7200
