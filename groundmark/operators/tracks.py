@@ -33,13 +33,16 @@ class _Open:
         return recent[-1][1] + speed * (frame - at)
 
 
-def assigned(frames: pd.Series, centres: np.ndarray, gate: float, misses: int) -> np.ndarray:
-    """Track numbers of blobs in frame order: longer tracks choose first, each the nearest blob strictly within the gate."""
+def assigned(frames: pd.Series, centres: np.ndarray, has: np.ndarray, gate: float, misses: int) -> np.ndarray:
+    """Track numbers of blobs in frame order: longer tracks choose first, each the nearest blob strictly within the gate.
+
+    Rows that hold no blob (`has`) only let the open tracks miss, and get no number.
+    """
     out = np.zeros(len(frames), np.int64)
     open_: list[_Open] = []
     count = 0
     for frame, rows in frames.groupby(frames, sort=True).indices.items():
-        free = list(rows)
+        free = [row for row in rows if has[row]]
         for track in sorted(open_, key=lambda x: -len(x.seen)):
             away = np.hypot(*(centres[free] - track.expected(frame)).T) if free else np.empty(0)
             k = int(away.argmin()) if len(away) else -1
@@ -76,8 +79,7 @@ def assign_tracks(blobs: DataFrame, by: str = "session", gate_px: float = GATE_P
         group = group.sort_values(["frame", "ordinal"], kind="stable").reset_index(drop=True)
         has = group["cx"].notna().to_numpy()
         frames, centres = group["frame"], group[["cx", "cy"]].to_numpy(float)
-        numbers = np.zeros(len(group), np.int64)
-        numbers[has] = _with_empty(frames, centres, has, gate_px, max_misses)
+        numbers = assigned(frames, centres, has, gate_px, max_misses)
         group["track"] = [f"{p}-{n}" for p, n in zip(group["_piece"], numbers)]
         return group[has].drop(columns="_piece")
 
@@ -86,14 +88,6 @@ def assign_tracks(blobs: DataFrame, by: str = "session", gate_px: float = GATE_P
     return rows.select(*blobs.columns, "_piece").groupBy(by, "_piece").applyInPandas(lambda g: run(g)[names], schema)
 
 
-def _with_empty(frames: pd.Series, centres: np.ndarray, has: np.ndarray, gate: float, misses: int) -> np.ndarray:
-    """`assigned` where empty frames let open tracks miss: their rows stand infinitely far from everything."""
-    placed = np.where(has[:, None], centres, np.inf)
-    with np.errstate(invalid="ignore"):
-        numbers = assigned(frames, np.nan_to_num(placed, posinf=1e12), gate, misses)
-    return numbers[has]
-
-
 def admitted(observations: DataFrame, by: list[str], frames: int = MIN_FRAMES, area: float = MIN_AREA, span: float = MIN_SPAN) -> DataFrame:
     """(by, n, peak_area, span_px) of the tracks that are long, large and wide enough."""
     found = observations.groupBy(*by).agg(F.count("*").alias("n"), F.max("area").alias("peak_area"), (F.max("cx") - F.min("cx")).alias("span_px"))

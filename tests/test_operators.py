@@ -260,3 +260,14 @@ def test_calibrations_logbooks_and_manifests_round_trip(spark, tmp_path):
     got = {r["session"]: r for r in spark.read.json(f"{tmp_path}/manifests").collect()}
     assert got["s1"]["source"] == "rtsp://***@cam/1" and got["s1"]["utc_offset_seconds"] == 0 and got["s1"]["rtsp_transport"] == "tcp"
     assert got["s2"]["rtsp_transport"] is None and got["s2"]["utc_offset_seconds"] == 7200
+
+
+def test_frames_without_blobs_end_tracks_and_take_no_numbers(spark):
+    rows = [(1, f, f / 60.0, None if 5 <= f < 5 + n else 100.0 + f, None if 5 <= f < 5 + n else 50.0, 9.0, f) for n in (3,) for f in range(12)]
+    rows += [(2, f, f / 60.0, None if 5 <= f < 12 else 100.0 + f, None if 5 <= f < 12 else 50.0, 9.0, f) for f in range(16)]
+    blobs = spark.createDataFrame(rows, "session int, frame int, t double, cx double, cy double, area double, ordinal int")
+    found = {}
+    for r in tracks.assign_tracks(blobs).collect():
+        found.setdefault(r["session"], {}).setdefault(r["track"].split("-")[1], []).append(r["frame"])
+    assert {k: sorted(v) for k, v in found[1].items()} == {"1": [0, 1, 2, 3, 4, 8, 9, 10, 11]}
+    assert {k: sorted(v) for k, v in found[2].items()} == {"1": [0, 1, 2, 3, 4], "2": [12, 13, 14, 15]}
