@@ -30,4 +30,4 @@ def test_run_equals_the_stages_and_is_stable(spark):
 def test_every_query_is_registered():
     from groundmark.llm import queries
 
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.queries()) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.queries()) == list(range(1, 14))
