@@ -5,8 +5,8 @@ of its length and input partition. All else works on the histogram of lengths, w
 the corpus: multiplicative weights price the lengths, a knapsack dynamic program finds the best configurations for those
 prices, and the amounts taken, over the least coverage of a length, solve the configuration program to within `GAP` of a
 lower bound. They are rounded to whole numbers, and the pieces that these leave are put by best fit decreasing, again by
-length and multiplicity, into the room left or new sequences; those still not full are packed anew where that takes
-fewer. A piece then finds its sequence and offset from its length
+length and multiplicity, into the room left or new sequences. Several roundings are tried, from all of the program down to
+none of it, and the first that takes the fewest sequences is the plan, so it is never worse than best fit. A piece then finds its sequence and offset from its length
 and rank by a binary search in the list of slots, so no group of pieces ever meets in one task.
 
 A document is its ids and an end id; longer ones are cut so that only the first piece may be shorter than `size`.
@@ -16,6 +16,7 @@ are packed one by one. An empty table gives an empty table. Only doc_id and text
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -32,9 +33,12 @@ from .tokens import byte_table, vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 SIZE, END = 1024, 2
 #: The program is solved until its solution is within this share of a lower bound, or for so many rounds.
-GAP, ROUNDS = 0.02, 2000
-#: A configuration is taken if its value is within this share of the best one; prices fall at this rate.
-SLACK, RATE = 0.02, 0.1
+GAP, ROUNDS = 0.01, 3000
+#: A configuration is taken if its value is within this share of the best one; prices fall at this rate. After so many
+#: rounds without the gap both are halved, and amounts are gathered anew from the prices reached.
+SLACK, RATE, PHASE = 0.02, 0.1, 1000
+#: Roundings: the share of the program's amounts that is taken, of configurations that are worth so much at the dual's prices.
+ROUNDINGS = tuple((share, value) for value in (0.9, 1 - 1e-9) for share in (1.0, 0.95, 0.9, 0.8)) + ((0.5, 0.9), (0.0, 0.9))
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -110,47 +114,60 @@ def filling(pick: np.ndarray, room: int) -> Counter:
     return out
 
 
-def configurations(demand: np.ndarray, size: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
-    """A feasible solution of the configuration program, amounts by configuration, and a lower bound of its optimum.
-
-    The program covers demand[l] pieces of each length l by the least amount of configurations. Prices start from the room
-    that a piece takes, which no configuration exceeds. Each round the dynamic program prices all rooms once; for each
-    length, the least covered first, the best configuration that holds it is taken if its value is still within
-    `SLACK` of the best, as often as its scarcest length is wanted, and what it covers gets cheaper by the share covered.
-    The amounts over the least coverage of a length are a solution. Prices over the best value are a solution of the
-    dual, so the search ends once the two are within `gap`, or after `rounds`.
-    """
+def _program(demand: np.ndarray, size: int, gap: float, rounds: int) -> tuple[dict[tuple, float], float, np.ndarray]:
+    """`configurations`, with the prices that give the bound: no configuration is worth more than 1 at them."""
     active = np.flatnonzero(demand)
     wanted = demand.astype(float)
     price = np.zeros(size + 1)
     price[active] = active / size
-    covered = np.zeros(size + 1)
-    found: dict[tuple, float] = defaultdict(float)
-    total, bound = 0.0, float(wanted @ price)
-    noise = np.random.default_rng(1)
-    for _ in range(rounds if len(active) else 0):
+    bound, dual = float(wanted @ price), price.copy()
+    best_total, best_found = np.inf, {}
+    noise, slack, rate = np.random.default_rng(1), SLACK, RATE
+    for k in range(rounds if len(active) else 0):
+        if k % PHASE == 0:
+            slack, rate = (slack / 2, rate / 2) if k else (slack, rate)
+            covered, total, found = np.zeros(size + 1), 0.0, defaultdict(float)
         # many fillings are worth the same: a little noise takes another one each round
-        best, pick = knapsack(price * (1 + SLACK / 4 * noise.random(size + 1)), size)
+        best, pick = knapsack(price * (1 + slack / 4 * noise.random(size + 1)), size)
         top = best[size]
-        bound = max(bound, float(wanted @ price) / top)
+        if float(wanted @ price) / top > bound:
+            bound, dual = float(wanted @ price) / top, price / top
         for length in active[np.argsort(covered[active], kind="stable")].tolist():
-            if price[length] + best[size - length] < (1 - SLACK) * top:
+            if price[length] + best[size - length] < (1 - slack) * top:
                 continue
             config = filling(pick, size - length)
             config[length] += 1
-            if sum(n * price[x] for x, n in config.items()) < (1 - SLACK) * top:
+            if sum(n * price[x] for x, n in config.items()) < (1 - slack) * top:
                 continue
             amount = min(wanted[x] / n for x, n in config.items())
             found[tuple(sorted(config.items(), reverse=True))] += amount
             total += amount
             for x, n in config.items():
-                share = n * amount / wanted[x]
-                covered[x] += share
-                price[x] *= np.exp(-RATE * share)
+                part = n * amount / wanted[x]
+                covered[x] += part
+                price[x] *= np.exp(-rate * part)
         least = covered[active].min()
-        if total <= (1 + gap) * bound * least:
+        done = total <= (1 + gap) * bound * least
+        if (done or k % PHASE == PHASE - 1 or k == rounds - 1) and total < best_total * least:
+            best_total, best_found = total / least, {config: amount / least for config, amount in found.items()}
+        if done:
             break
-    return {config: amount / least for config, amount in found.items()} if found else {}, bound
+    if len(active) and best_total > (1 + gap) * bound:
+        warnings.warn(f"the program ended after {rounds} rounds with a gap of {best_total / bound - 1:.3g}", stacklevel=2)
+    return best_found, bound, dual
+
+
+def configurations(demand: np.ndarray, size: int, gap: float = GAP, rounds: int = ROUNDS) -> tuple[dict[tuple, float], float]:
+    """A feasible solution of the configuration program, amounts by configuration, and a lower bound of its optimum.
+
+    The program covers demand[l] pieces of each length l by the least amount of configurations. Prices start from the room
+    that a piece takes, which no configuration exceeds. Each round the dynamic program prices all rooms once; for each
+    length, the least covered first, the best configuration that holds it is taken if its value is still within
+    `SLACK` of the best, as often as its scarcest length is wanted, and what it covers gets cheaper by the share covered.
+    The amounts over the least coverage of a length are a solution. Prices over the best value are a solution of the
+    dual, so the search ends once the two are within `gap`; it warns if `rounds` are not enough for that.
+    """
+    return _program(demand, size, gap, rounds)[:2]
 
 
 def best_fit(demand: np.ndarray, size: int, begun: list[tuple[tuple, int]] = ()) -> list[tuple[tuple, int]]:
@@ -181,11 +198,12 @@ def best_fit(demand: np.ndarray, size: int, begun: list[tuple[tuple, int]] = ())
     return [(config, times) for x in open_.values() for config, times in x]
 
 
-def rounded(demand: np.ndarray, size: int) -> tuple[list[tuple[tuple, int]], np.ndarray]:
-    """Whole numbers of the program's configurations, and the pieces of each length that they leave.
+def _rounded(demand: np.ndarray, size: int, amounts: dict[tuple, float], dual: np.ndarray, share: float, value: float) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """Whole numbers of `share` of the program's configurations, and the pieces of each length that they leave.
 
-    Every amount is rounded down; then the fractions are added up in order of the configurations, and each time that
-    they pass a whole number the configuration at hand is taken once more, so about as many are taken as the program has.
+    Configurations worth less than `value` at the dual's prices are no part of a best solution and are left out. Every amount
+    is rounded down; then the fractions are added up in order of the configurations, and each time that they pass a whole
+    number the configuration at hand is taken once more, so about as many are taken as the program has.
     """
     rest = demand.copy()
     chosen: list[tuple[tuple, int]] = []
@@ -197,8 +215,8 @@ def rounded(demand: np.ndarray, size: int) -> tuple[list[tuple[tuple, int]], np.
             for length, n in config:
                 rest[length] -= n * times
 
-    amounts, _ = configurations(demand, size)
-    fullest = sorted(amounts.items(), key=lambda x: (size - sum(a * b for a, b in x[0]), -x[1], x[0]))
+    good = [(config, share * amount) for config, amount in amounts.items() if sum(n * dual[length] for length, n in config) >= value]
+    fullest = sorted(good, key=lambda x: (size - sum(a * b for a, b in x[0]), -x[1], x[0]))
     for config, amount in fullest:
         take(config, int(amount))
     carry = 0.5
@@ -210,25 +228,32 @@ def rounded(demand: np.ndarray, size: int) -> tuple[list[tuple[tuple, int]], np.
     return chosen, rest
 
 
+def rounded(demand: np.ndarray, size: int) -> tuple[list[tuple[tuple, int]], np.ndarray]:
+    """The first of `ROUNDINGS` of the program's solution, and the pieces of each length that it leaves."""
+    amounts, _, dual = _program(demand, size, GAP, ROUNDS)
+    return _rounded(demand, size, amounts, dual, *ROUNDINGS[0])
+
+
+def _count(chosen: list[tuple[tuple, int]]) -> int:
+    return sum(times for _, times in chosen)
+
+
 def plan(demand: np.ndarray, size: int) -> list[tuple[tuple, int]]:
-    """Whole numbers of configurations that hold demand[l] pieces of each length l exactly.
+    """Whole numbers of configurations that hold demand[l] pieces of each length l exactly: the best of `ROUNDINGS`.
 
-    The sequences that are not full in the end are packed anew, best fit decreasing, if that takes fewer.
+    The last rounding takes nothing of the program, so the plan is no worse than best fit decreasing. Pieces of the whole
+    size are a sequence each.
     """
     left = demand.copy()
-    left[size] = 0  # a whole sequence each
-    chosen, rest = rounded(left, size)
-    packed = best_fit(rest, size, chosen)
-    room = [size - sum(length * n for length, n in config) for config, _ in packed]
-    loose = [x for x, r in zip(packed, room) if r]
-    pieces = np.zeros_like(demand)
-    for config, times in loose:
-        for length, n in config:
-            pieces[length] += n * times
-    anew = best_fit(pieces, size)
-    if sum(t for _, t in anew) < sum(t for _, t in loose):
-        loose = anew
-    return [(((size, 1),), int(demand[size]))] * bool(demand[size]) + [x for x, r in zip(packed, room) if not r] + loose
+    left[size] = 0
+    amounts, _, dual = _program(left, size, GAP, ROUNDS)
+    best: list[tuple[tuple, int]] | None = None
+    for share, value in ROUNDINGS:
+        chosen, rest = _rounded(left, size, amounts, dual, share, value)
+        packed = best_fit(rest, size, chosen)
+        if best is None or _count(packed) < _count(best):
+            best = packed
+    return [(((size, 1),), int(demand[size]))] * bool(demand[size]) + best
 
 
 def slots(chosen: list[tuple[tuple, int]], size: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -193,3 +193,23 @@ def test_the_program_is_solved_and_places_most_pieces(scale):
     chosen, rest = packing.rounded(demand, 256)
     assert rest.min() >= 0 and rest.sum() <= 0.3 * demand.sum()
     assert sum(t for _, t in packing.plan(demand, 256)) <= 1.01 * bound + 2
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 500), max_size=12))
+def test_plan_is_never_worse_than_best_fit(lengths):
+    demand = np.zeros(41, np.int64)
+    for length, n in lengths.items():
+        demand[length] = n
+    rest = demand.copy()
+    rest[40] = 0
+    assert sum(t for _, t in packing.plan(demand, 40)) <= demand[40] + sum(t for _, t in packing.best_fit(rest, 40))
+
+
+@pytest.mark.parametrize("demand", [{10: 8, 21: 128}, {4: 181, 8: 270, 22: 55, 33: 253, 35: 290}])
+def test_small_demands_need_no_more_than_best_fit_with_the_program(demand):
+    wanted = np.zeros(41, np.int64)
+    for length, n in demand.items():
+        wanted[length] = n
+    chosen, rest = packing.rounded(wanted, 40)
+    assert chosen and sum(t for _, t in packing.best_fit(rest, 40, chosen)) <= sum(t for _, t in packing.best_fit(wanted, 40))
