@@ -6,7 +6,8 @@ token, the share of tokens that are single fallback bytes, and the entropy of th
 value, and under a byte-level vocabulary characters per token. `bands` turns the metrics of all documents that pass
 the base rules into one range per language (per script where the language is null); `verdicts` rejects what lies
 outside. A range is the median and `width` times the distance from it to two quantiles near it, never narrower than
-`least`, so a group of like documents keeps them all. A group that is noise by more than two fifths keeps some of it.
+`LEAST`, so a group of like documents keeps them all, and wider where a group has few rows. A group that is noise by more
+than two fifths keeps some of it, and one of a few rows keeps what is not far from its median.
 
 Nulls: a null text has no words and fails the base rules; a null or repeated doc_id is carried through, one row out
 per row in. Texts without tokens have null metrics and are outside of no band. An empty table gives an empty table.
@@ -38,9 +39,13 @@ CACHE = 300_000
 
 METRICS = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy_share")
 #: Bins per unit of each metric; bands are quantiles of these bins.
-SCALE = {"chars_per_piece": 50, "chars_per_byte_token": 50, "fallback_share": 500, "entropy_share": 500}
-#: Least distance of a band's ends from its median.
+SCALE = {"chars_per_piece": 200, "chars_per_byte_token": 200, "fallback_share": 2000, "entropy_share": 2000}
+#: Least distance of a band's ends from its median, in groups of `SURE_ROWS` rows; that of n fewer is wider by the square
+#: root of `SURE_ROWS` over n, since their quantiles are chance.
 LEAST = {"chars_per_piece": 0.3, "chars_per_byte_token": 0.3, "fallback_share": 0.05, "entropy_share": 0.15}
+SURE_ROWS = 50
+#: Texts of fewer words are a small sample of their language: their bands are wider by the square root of this over their words.
+SURE_WORDS = 100
 
 SCHEMA = (
     "doc_id long, grp string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -49,7 +54,7 @@ SCHEMA = (
 
 #: A band reaches `WIDTH` times the distance from the median to the quantiles `TAIL` and 1 - `TAIL`. These lie close to the
 #: median, so that even a third of noise on one side leaves them among the prose.
-WIDTH, TAIL = 16.0, 0.4
+WIDTH, TAIL = 20.0, 0.4
 #: Most groups whose bands are broadcast, about 150 bytes each; more are joined by a shuffle.
 FEW_GROUPS = 50_000
 #: Name of a column that stands beside those of the documents for a while: a hash of what a row's verdict depends on.
@@ -150,7 +155,7 @@ def features(docs: DataFrame, pieces: str = PIECES, bytes_: str = BYTES) -> Data
 
 
 def bands(rows: DataFrame, width: float = WIDTH, tail: float = TAIL) -> DataFrame:
-    """(grp, metric, low, high) from all rows that pass the base rules: exact quantiles of the binned metrics.
+    """(grp, metric, low, mid, high) from all rows that pass the base rules: exact quantiles of the binned metrics.
 
     Only one count per group, metric and bin is shuffled, so a language with a third of all rows costs no more.
     """
@@ -158,20 +163,23 @@ def bands(rows: DataFrame, width: float = WIDTH, tail: float = TAIL) -> DataFram
     counts = long.filter("bin is not null").groupBy("grp", "metric", "step", "least", "bin").agg(F.count("*").alias("n"))
     by_group = Window.partitionBy("grp", "metric")
     share = F.sum("n").over(by_group.orderBy("bin")) / F.sum("n").over(by_group)
+    least = F.col("least") * F.greatest(F.lit(1.0), F.sqrt(SURE_ROWS / F.sum("n")))
     at = lambda q: F.min(F.when(F.col("share") >= q, F.col("bin")))
-    q = counts.withColumn("share", share).groupBy("grp", "metric", "step", "least").agg(at(tail).alias("lo"), at(0.5).alias("mid"), at(1 - tail).alias("hi"))
+    q = counts.withColumn("share", share).groupBy("grp", "metric", "step", "least").agg(at(tail).alias("lo"), at(0.5).alias("mid"), at(1 - tail).alias("hi"), least.alias("floor"))
     mid = F.col("mid") * F.col("step")
-    reach = lambda a, b: F.greatest(F.lit(width) * (F.col(a) - F.col(b)) * F.col("step"), F.col("least"))
-    return q.select("grp", "metric", (mid - reach("mid", "lo")).alias("low"), (mid + reach("hi", "mid")).alias("high"))
+    reach = lambda a, b: F.greatest(F.lit(width) * (F.col(a) - F.col(b)) * F.col("step"), F.col("floor"))
+    return q.select("grp", "metric", (mid - reach("mid", "lo")).alias("low"), mid.alias("mid"), (mid + reach("hi", "mid")).alias("high"))
 
 
 def verdicts(rows: DataFrame, limits: DataFrame) -> DataFrame:
     """`rows` with `kept`: false if the base rules failed or a metric lies outside of its group's band."""
-    each = F.struct("low", "high")
+    each = F.struct("low", "mid", "high")
     wide = limits.groupBy("grp").agg(*(F.first(F.when(F.col("metric") == m, each), ignorenulls=True).alias(f"band_{m}") for m in METRICS))
     outside = F.lit(False)
+    wider = F.greatest(F.lit(1.0), F.sqrt(SURE_WORDS / F.greatest("n_words", F.lit(1))))
     for m in METRICS:
-        outside = outside | F.coalesce((F.col(m) < F.col(f"band_{m}.low")) | (F.col(m) > F.col(f"band_{m}.high")), F.lit(False))
+        away, end = F.col(m) - F.col(f"band_{m}.mid"), lambda side: F.col(f"band_{m}.{side}") - F.col(f"band_{m}.mid")  # noqa: E731, B023
+        outside = outside | F.coalesce((away < wider * end("low")) | (away > wider * end("high")), F.lit(False))
     wide = materialise(wide, "bands")  # one row a group; few unless languages are many
     joined = rows.join(F.broadcast(wide) if wide.count() <= FEW_GROUPS else wide, "grp", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~outside).drop(*(f"band_{m}" for m in METRICS))
@@ -191,7 +199,10 @@ def op3_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the rows whose own verdict is `kept`, with their columns; doc_ids may be null or repeated."""
+    row = ROW
+    while row in docs.columns:
+        row += "_"
     named = [F.col(c).isNull() for c in ("doc_id", "text", "lang")]
-    marked = docs.withColumn(ROW, F.xxhash64("doc_id", "text", "lang", *named))
-    kept = judge(marked.select(F.col(ROW).alias("doc_id"), "text", "lang")).filter("kept").select(F.col("doc_id").alias(ROW)).distinct()
-    return marked.join(kept, ROW, "left_semi").select(*docs.columns)
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text", "lang", *named))
+    kept = judge(marked.select(F.col(row).alias("doc_id"), "text", "lang")).filter("kept").select(F.col("doc_id").alias(row)).distinct()
+    return marked.join(kept, row, "left_semi").select(*docs.columns)

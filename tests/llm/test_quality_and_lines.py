@@ -282,3 +282,17 @@ def test_a_third_of_a_language_as_noise_is_rejected(spark):
     noise = [(100 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz#$%&") for _ in range(9)) for _ in range(80)), "en") for i in range(30)]
     kept = {r["doc_id"]: r["kept"] for r in fertility.judge(spark.createDataFrame(good + noise, "doc_id long, text string, lang string")).collect()}
     assert all(kept[i] for i, *_ in good) and not any(kept[i] for i, *_ in noise)
+
+
+def test_no_clean_row_is_lost_in_groups_of_any_size(spark):
+    rng = random.Random(12)
+    sizes = {"a": 5, "b": 5, "c": 12, "d": 50, "e": 300, None: 20}
+    rows = [(i, prose(rng, rng.choice((60, 120, 400))), lang) for i, lang in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    found = fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("not kept and not base_failed").collect()
+    assert found == []
+
+
+def test_quality_stage_with_a_clashing_column_and_no_rows(spark, no_docs):
+    docs = spark.createDataFrame([(1, "some words " * 3, "en", "mine")], "doc_id long, text string, lang string, _quality_row string")
+    assert fertility.stage_quality(spark, docs, "").columns == docs.columns
+    assert fertility.stage_quality(spark, no_docs, "").collect() == []
