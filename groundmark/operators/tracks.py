@@ -18,47 +18,61 @@ MIN_FRAMES, MIN_AREA, MIN_SPAN = 12, 4000, 250
 FLUSH_S, LATERAL_M = 1.5, 15.0
 
 
-class _Open:
-    """A track that still takes blobs: its number, frames and centres, and frames missed since."""
+class Open:
+    """A track that still takes blobs: its number, how many it has, frames missed since, and its latest (frame, centre)."""
 
-    def __init__(self, number: int):
-        self.number, self.seen, self.missed = number, [], 0
+    def __init__(self, number: int, length: int = 0, missed: int = 0, seen: list | None = None):
+        self.number, self.length, self.missed, self.seen = number, length, missed, seen or []
 
     def expected(self, frame: int) -> np.ndarray:
         """Where the blob should be by the speed over the latest observations."""
-        at, *_ = self.seen[-1]
-        recent = self.seen[-RECENT:]
-        frames = at - recent[0][0]
-        speed = (recent[-1][1] - recent[0][1]) / frames if frames else np.zeros(2)
-        return recent[-1][1] + speed * (frame - at)
+        at, centre = self.seen[-1]
+        frames = at - self.seen[0][0]
+        speed = (centre - self.seen[0][1]) / frames if frames else np.zeros(2)
+        return centre + speed * (frame - at)
+
+    def take(self, frame: int, centre: np.ndarray) -> int:
+        self.seen = [*self.seen[-(RECENT - 1) :], (frame, centre)]
+        self.length, self.missed = self.length + 1, 0
+        return self.number
+
+
+def step(open_: list[Open], frame: int, centres: np.ndarray, count: int, gate: float, misses: int) -> tuple[list[int], list[Open], int]:
+    """One frame of blobs: their track numbers, the tracks that end, and how many tracks were numbered so far.
+
+    Longer tracks choose first, each the nearest blob strictly within the gate; blobs that are left open tracks, which
+    are added to `open_`.
+    """
+    numbers, free = [0] * len(centres), list(range(len(centres)))
+    for track in sorted(open_, key=lambda x: -x.length):
+        away = np.hypot(*(centres[free] - track.expected(frame)).T) if free else np.empty(0)
+        k = int(away.argmin()) if len(away) else -1
+        if k < 0 or away[k] >= gate:
+            track.missed += 1
+            continue
+        row = free.pop(k)
+        numbers[row] = track.take(frame, centres[row])
+    for row in free:
+        count += 1
+        track = Open(count)
+        numbers[row] = track.take(frame, centres[row])
+        open_.append(track)
+    ended = [x for x in open_ if x.missed > misses]
+    open_[:] = [x for x in open_ if x.missed <= misses]
+    return numbers, ended, count
 
 
 def assigned(frames: pd.Series, centres: np.ndarray, has: np.ndarray, gate: float, misses: int) -> np.ndarray:
-    """Track numbers of blobs in frame order: longer tracks choose first, each the nearest blob strictly within the gate.
+    """Track numbers of blobs in frame order, frame by frame as `step` has it.
 
     Rows that hold no blob (`has`) only let the open tracks miss, and get no number.
     """
     out = np.zeros(len(frames), np.int64)
-    open_: list[_Open] = []
+    open_: list[Open] = []
     count = 0
     for frame, rows in frames.groupby(frames, sort=True).indices.items():
-        free = [row for row in rows if has[row]]
-        for track in sorted(open_, key=lambda x: -len(x.seen)):
-            away = np.hypot(*(centres[free] - track.expected(frame)).T) if free else np.empty(0)
-            k = int(away.argmin()) if len(away) else -1
-            if k < 0 or away[k] >= gate:
-                track.missed += 1
-                continue
-            row = free.pop(k)
-            track.seen.append((frame, centres[row]))
-            track.missed, out[row] = 0, track.number
-        for row in free:
-            count += 1
-            track = _Open(count)
-            track.seen.append((frame, centres[row]))
-            open_.append(track)
-            out[row] = count
-        open_ = [x for x in open_ if x.missed <= misses]
+        blobs = [row for row in rows if has[row]]
+        out[blobs], _, count = step(open_, frame, centres[blobs].reshape(-1, 2), count, gate, misses)
     return out
 
 
