@@ -1,13 +1,16 @@
 """Contact instants of tracks: two-leg fits over a grid of corners, from running sums, and what they say.
 
 A corner at time c splits a track's samples; the least-squares fit of two legs that meet there needs only sums of t, t², y
-and ty before and after c. Running sums per sample give them, so a track of n samples costs its 8 n corners and not
-their product, all in windows and arithmetic. Times count from a track's first sample and values from their mean.
+and ty before and after c. Between two samples the error of such a fit is a squared line over a positive parabola of c,
+plus a constant, so its least value is where the legs' own fits meet, or at an end: of the grid's corners between two
+samples only the ends and those beside that point are evaluated, so a track costs a few corners a sample, however long its
+pauses are. Depth and both shadow series of a track are fitted in one pass: one shuffle by track, windows, one aggregate.
+Times count from a series' first sample and values from their mean.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import uncertainty_m
@@ -19,6 +22,9 @@ SHADOW_CHANGE_PX, SHADOW_FLAT_PX = 5.0, 4.0
 AGREE_FRAMES, BRACKET_FRAMES, DRIFT_MAX_MPS = 4, 30, 3.0
 #: Decimals to which sums of squares are compared; the first of equal ones wins.
 DIGITS = 9
+#: Series of a track that are fitted by a hinge of two free legs; the others by a level and a leg.
+DEPTH, SHADOWS = "depth", ("gap", "reach")
+TERMS = ("t", "tt", "y", "ty", "yy")
 
 
 def lines(samples: DataFrame, key: str, t: str = "t", y: str = "y") -> DataFrame:
@@ -31,31 +37,124 @@ def lines(samples: DataFrame, key: str, t: str = "t", y: str = "y") -> DataFrame
     return found.select(key, "n", "slope", (F.col("my") - F.col("slope") * F.col("mt")).alias("intercept"), F.sqrt(sse / F.col("n")).alias("rms"))
 
 
-def _tracks(samples: DataFrame, key: str, t: str, y: str) -> DataFrame:
-    """Centred samples with their running sums and, on every row, what the whole track has."""
-    track = Window.partitionBy(key)
-    at = track.orderBy("t0", "index")
-    rows = samples.filter(F.col(y).isNotNull() & F.col(t).isNotNull()).select(key, "index", F.col(t).alias("_t"), F.col(y).alias("_y"))
-    rows = rows.withColumn("first_t", F.min("_t").over(track)).withColumn("mean_y", F.avg("_y").over(track))
-    rows = rows.withColumn("t0", F.col("_t") - F.col("first_t")).withColumn("y0", F.col("_y") - F.col("mean_y"))
-    rows = rows.withColumn("place", F.row_number().over(at)).withColumn("later", F.lead("t0").over(at)).withColumn("n", F.count("*").over(track))
-    terms = {"t": F.col("t0"), "tt": F.col("t0") * F.col("t0"), "y": F.col("y0"), "ty": F.col("t0") * F.col("y0"), "yy": F.col("y0") * F.col("y0")}
-    so_far = at.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"b_{k}": F.sum(x).over(so_far) for k, x in terms.items()} | {f"a_{k}": F.sum(x).over(track) for k, x in terms.items()})
-    step = F.median(F.col("later") - F.col("t0")).over(track) / SUBSTEPS
-    ends = {"lo": F.max(F.when(F.col("place") == SIDE, F.col("t0"))), "hi": F.max(F.when(F.col("place") == F.col("n") - SIDE + 1, F.col("t0")))}
-    return rows.withColumn("step", step).withColumns({k: x.over(track) for k, x in ends.items()})
+def spreads(rows: DataFrame, key: str, y: str) -> DataFrame:
+    """(key, spread): between the exact 10 % and 90 % quantiles, interpolated."""
+    return rows.groupBy(key).agg((F.percentile(y, F.lit(0.9)) - F.percentile(y, F.lit(0.1))).alias("spread"))
 
 
-def _corners(rows: DataFrame, key: str) -> DataFrame:
-    """A row for each corner of the grid, with the sums before it (`b_`) and of all (`a_`); a sample on a corner adds nothing."""
-    last = F.ceil((F.col("hi") + F.col("step") / 2 - F.col("lo")) / F.col("step")) - 1
-    to = lambda x: F.ceil((x - F.col("lo")) / F.col("step"))
-    begin = F.greatest(F.lit(0), to(F.col("t0")))
-    end = F.least(last, F.coalesce(to(F.col("later")) - 1, last))
-    rows = rows.filter((F.col("n") >= 2 * SIDE) & (F.col("step") > 0)).withColumn("_begin", begin).withColumn("_end", end).filter("_begin <= _end")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.col("_begin").cast("long"), F.col("_end").cast("long"))))
-    return rows.withColumn("c", F.col("lo") + F.col("k") * F.col("step"))
+def long(samples: DataFrame, key: str, series: dict[str, str], t: str = "t") -> DataFrame:
+    """(key, part, index, t, y): each named series of `samples` as rows of its own, without nulls."""
+    each = F.array(*(F.struct(F.lit(part).alias("part"), F.col(y).cast("double").alias("y")) for part, y in series.items()))
+    rows = samples.filter(F.col(t).isNotNull()).select(key, "index", F.col(t).alias("t"), F.explode(each).alias("s")).select(key, "s.part", "index", "t", "s.y")
+    return rows.filter("y is not null")
+
+
+def _summed(rows: DataFrame, key: str) -> DataFrame:
+    """Centred rows with sums up to each (`b_`), of all (`a_`), and the ends and step of the grid of corners."""
+    whole = Window.partitionBy(key, "part")
+    at = whole.orderBy("t", "index")
+    rows = rows.withColumn("first_t", F.min("t").over(whole)).withColumn("mean_y", F.avg("y").over(whole)).withColumn("n", F.count("*").over(whole))
+    rows = rows.withColumn("t0", F.col("t") - F.col("first_t")).withColumn("y0", F.col("y") - F.col("mean_y"))
+    terms = {"t": F.col("t0"), "tt": F.col("t0") * F.col("t0"), "y": F.col("y0"), "ty": F.col("t0") * F.col("y0"), "yy": F.col("y0") * F.col("y0")}
+    so_far = at.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"place": F.row_number().over(at), "later": F.lead("t0").over(at)} | {f"b_{k}": F.sum(x).over(so_far) for k, x in terms.items()})
+    edge = lambda place: F.max(F.when(F.col("place") == place, F.col("t0"))).over(whole)
+    rows = rows.withColumns({f"a_{k}": F.sum(x).over(whole) for k, x in terms.items()} | {"last_t0": F.max("t0").over(whole)})
+    step = F.median(F.col("later") - F.col("t0")).over(whole) / SUBSTEPS
+    spread = F.when(F.col("part") != DEPTH, F.percentile("y", F.lit(0.9)).over(whole) - F.percentile("y", F.lit(0.1)).over(whole))
+    return rows.withColumns({"spread": spread, "step": step, "lo": edge(SIDE), "hi": edge(F.col("n") - SIDE + 1)})
+
+
+def _after(k: str) -> Column:
+    return F.col(f"a_{k}") - F.col(f"b_{k}")
+
+
+def _nodes(depth: bool, rising: bool = False) -> Column:
+    """The corners k between a row and the next that can have the least error: ends, beside the meeting point, and beside
+    where a shadow's leg stops to rise."""
+    nb, na, n = F.col("place"), F.col("n") - F.col("place"), F.col("n")
+    mean = lambda c, m: F.try_divide(c, m)
+    t1, y1, t2, y2 = mean(F.col("b_t"), nb), mean(F.col("b_y"), nb), mean(_after("t"), na), mean(_after("y"), na)
+    s1 = F.try_divide(F.col("b_ty") - F.col("b_t") * y1, F.col("b_tt") - F.col("b_t") * t1)
+    s2 = F.try_divide(_after("ty") - _after("t") * y2, _after("tt") - _after("t") * t2)
+    if depth:
+        points = [F.try_divide((y2 - s2 * t2) - (y1 - s1 * t1), s1 - s2)]
+    elif rising:
+        points = [t2 + F.try_divide(y1 - y2, s2), F.try_divide(n * _after("ty") - F.col("a_y") * _after("t"), n * _after("y") - F.col("a_y") * na)]
+    else:
+        points = [t1 + F.try_divide(y2 - y1, s1), F.try_divide(n * F.col("b_ty") - F.col("a_y") * F.col("b_t"), n * F.col("b_y") - F.col("a_y") * nb)]
+    inside = lambda x: F.greatest(F.col("_begin"), F.least(F.col("_end"), x))
+    beside = [inside(f((c - F.col("lo")) / F.col("step")).cast("double")) for c in points for f in (F.floor, F.ceil)]
+    return F.array_distinct(F.array_compact(F.array(F.col("_begin"), F.col("_end"), *beside)))
+
+
+def _cornered(rows: DataFrame, key: str) -> DataFrame:
+    """A row for each corner that may be a series' best, with model, k, place c, parameters and error; a series without has
+    its rows once, with null models."""
+    lo, step = F.col("lo"), F.col("step")
+    last = F.ceil((F.col("hi") + step / 2 - lo) / step) - 1
+    to = lambda x: F.ceil((x - lo) / step)
+    fits = (F.col("n") >= 2 * SIDE) & (step > 0)
+    rows = rows.withColumn("_begin", F.when(fits, F.greatest(F.lit(0), to(F.col("t0")))).cast("double"))
+    rows = rows.withColumn("_end", F.when(fits, F.least(last, F.coalesce(to(F.col("later")) - 1, last))).cast("double"))
+    models = lambda nodes, m: F.transform(nodes, lambda k: F.struct(F.lit(m).alias("model"), k.alias("k")))
+    shadow = F.concat(models(_nodes(False), "landing"), models(_nodes(False, True), "departure"))
+    nodes = F.when(F.col("_begin") <= F.col("_end"), F.when(F.col("part") == DEPTH, models(_nodes(True), "hinge")).otherwise(shadow))
+    rows = rows.withColumn("_c", F.explode_outer(nodes)).select("*", "_c.*").drop("_c", "_begin", "_end").withColumn("c", lo + F.col("k") * step)
+    c, n, nb, na = F.col("c"), F.col("n"), F.col("place"), F.col("n") - F.col("place")
+    legs = {
+        "e1": F.col("b_t") - c * nb, "e2": F.col("b_tt") - 2 * c * F.col("b_t") + c * c * nb, "ey": F.col("b_ty") - c * F.col("b_y"),
+        "d1": _after("t") - c * na, "d2": _after("tt") - 2 * c * _after("t") + c * c * na, "dy": _after("ty") - c * _after("y"),
+    }
+    rows = rows.withColumns(legs)
+    e1, e2, ey, d1, d2, dy = (F.col(x) for x in legs)
+    is_, landing = F.col("model") == "hinge", F.col("model") == "landing"
+    k0 = (F.col("a_y") - e1 * ey / e2 - d1 * dy / d2) / (n - e1 * e1 / e2 - d1 * d1 / d2)
+    leg1, leg2, legy = F.when(landing, -e1).otherwise(d1), F.when(landing, e2).otherwise(d2), F.when(landing, -ey).otherwise(dy)
+    den = n * leg2 - leg1 * leg1
+    rows = rows.withColumn("_good", F.when(is_, (e2 > 0) & (d2 > 0)).otherwise(den > 0))
+    rows = rows.withColumn("slope", F.when(F.col("_good") & ~is_, (n * legy - leg1 * F.col("a_y")) / den))
+    rows = rows.withColumn("k0", F.when(F.col("_good"), F.when(is_, k0).otherwise((F.col("a_y") - F.col("slope") * leg1) / n)))
+    rows = rows.withColumn("k1", F.when(F.col("_good") & is_, (ey - e1 * F.col("k0")) / e2)).withColumn("k2", F.when(F.col("_good") & is_, (dy - d1 * F.col("k0")) / d2))
+    error = F.when(is_, F.col("a_yy") - F.col("k0") * F.col("a_y") - F.col("k1") * ey - F.col("k2") * dy).otherwise(F.col("a_yy") - F.col("k0") * F.col("a_y") - F.col("slope") * legy)
+    return rows.withColumn("sse", F.when(F.col("_good") & (is_ | (F.col("slope") > 0)), error))
+
+
+def series_fits(rows: DataFrame, key: str) -> DataFrame:
+    """One row a series (key, part) of `long`: extent, level, line, spread, and its best hinge, landing and departure corner.
+
+    The first corner with the least error wins. A corner is a struct of tc, value there, slopes, rms and samples before it
+    (`n_before`) and up to it (`n_upto`); a hinge also has the rms of its ground leg, the one closer to level.
+    """
+    rows = _cornered(_summed(rows, key), key)
+    on = (F.col("t0") == F.col("c")).cast("int")  # a sample on the corner is not before it
+    own = {"n": on, "t": on * F.col("t0"), "tt": on * F.col("t0") * F.col("t0"), "y": on * F.col("y0"), "ty": on * F.col("t0") * F.col("y0"), "yy": on * F.col("y0") * F.col("y0")}
+    before = {"n": F.col("place") - on} | {k: F.col(f"b_{k}") - own[k] for k in TERMS}
+    behind = {"n": F.col("n") - before["n"]} | {k: F.col(f"a_{k}") - before[k] for k in TERMS}
+
+    def leg_error(s: dict[str, Column], slope: Column) -> Column:
+        c, k0 = F.col("c"), F.col("k0")
+        return s["yy"] - 2 * k0 * s["y"] + s["n"] * k0 * k0 - 2 * slope * (s["ty"] - c * s["y"]) + 2 * k0 * slope * (s["t"] - c * s["n"]) + slope * slope * (s["tt"] - 2 * c * s["t"] + c * c * s["n"])
+
+    after_is_ground = F.abs("k2") <= F.abs("k1")
+    ground = F.when(after_is_ground, leg_error(behind, F.col("k2")) / F.nullif(behind["n"], F.lit(0))).otherwise(leg_error(before, F.col("k1")) / F.nullif(before["n"], F.lit(0)))
+    rms = F.sqrt(F.greatest("sse", F.lit(0.0)) / F.col("n"))
+    corner = F.struct(
+        (F.col("c") + F.col("first_t")).alias("tc"), (F.col("k0") + F.col("mean_y")).alias("y_at"), F.col("k1").alias("slope_before"), F.col("k2").alias("slope_after"), "slope",
+        rms.alias("rms"), "sse", before["n"].alias("n_before"), F.col("place").alias("n_upto"), F.sqrt(F.greatest(ground, F.lit(0.0))).alias("rms_ground"),
+    )
+    order = F.struct(F.round("sse", DIGITS).alias("e"), "k")
+    best = lambda m: F.min_by(corner, F.when((F.col("model") == m) & F.col("sse").isNotNull(), order)).alias(m)
+    same = lambda c: F.first(c).alias(c)
+    found = rows.groupBy(key, "part").agg(*(same(c) for c in ("n", "first_t", "last_t0", "mean_y", "spread", *(f"a_{k}" for k in TERMS))), best("hinge"), best("landing"), best("departure"))
+    sxx, sxy = F.col("a_tt") - F.col("a_t") * F.col("a_t") / F.col("n"), F.col("a_ty") - F.col("a_t") * F.col("a_y") / F.col("n")
+    syy = F.col("a_yy") - F.col("a_y") * F.col("a_y") / F.col("n")
+    slope = F.when(sxx > 0, sxy / sxx).otherwise(0.0)
+    return found.select(
+        key, "part", "n", F.col("first_t").alias("t_first"), (F.col("first_t") + F.col("last_t0")).alias("t_last"), F.col("mean_y").alias("level"),
+        F.sqrt(F.greatest(syy, F.lit(0.0)) / F.col("n")).alias("rms_level"), slope.alias("slope"), (F.col("mean_y") + (F.col("a_y") - slope * F.col("a_t")) / F.col("n")).alias("y_first"),
+        F.sqrt(F.greatest(syy - slope * sxy, F.lit(0.0)) / F.col("n")).alias("rms_line"), "spread", "hinge", "landing", "departure",
+    )
 
 
 def hinges(samples: DataFrame, key: str, t: str = "t", y: str = "world_y") -> DataFrame:
@@ -63,148 +162,77 @@ def hinges(samples: DataFrame, key: str, t: str = "t", y: str = "world_y") -> Da
 
     `samples` has key, index, t and y; `index` orders equal times. The first corner with the least error wins.
     """
-    rows = _corners(_tracks(samples, key, t, y), key)
-    c, n = F.col("c"), F.col("n")
-    nb, na = F.col("place"), n - F.col("place")
-    after = lambda k: F.col(f"a_{k}") - F.col(f"b_{k}")
-    b = F.col("b_t") - c * nb
-    e = F.col("b_tt") - 2 * c * F.col("b_t") + c * c * nb
-    my = F.col("b_ty") - c * F.col("b_y")
-    d = after("t") - c * na
-    f = after("tt") - 2 * c * after("t") + c * c * na
-    py = after("ty") - c * after("y")
-    rows = rows.withColumns({"_b": b, "_e": e, "_my": my, "_d": d, "_f": f, "_py": py})
-    level = (F.col("a_y") - F.col("_b") * F.col("_my") / F.col("_e") - F.col("_d") * F.col("_py") / F.col("_f")) / (n - F.col("_b") * F.col("_b") / F.col("_e") - F.col("_d") * F.col("_d") / F.col("_f"))
-    rows = rows.filter("_e > 0 and _f > 0").withColumn("k0", level)
-    rows = rows.withColumn("k1", (F.col("_my") - F.col("_b") * F.col("k0")) / F.col("_e")).withColumn("k2", (F.col("_py") - F.col("_d") * F.col("k0")) / F.col("_f"))
-    sse = F.col("a_yy") - F.col("k0") * F.col("a_y") - F.col("k1") * F.col("_my") - F.col("k2") * F.col("_py")
-    value = F.struct((c + F.col("first_t")).alias("tc"), (F.col("k0") + F.col("mean_y")).alias("y_at"), F.col("k1").alias("slope_before"), F.col("k2").alias("slope_after"), F.greatest(sse, F.lit(0.0)).alias("sse"), "n", "first_t")
-    best = rows.groupBy(key).agg(F.min_by(value, F.struct(F.round(sse, DIGITS), F.col("k"))).alias("h")).select(key, "h.*")
-    return best.withColumn("rms", F.sqrt(F.col("sse") / F.col("n"))).drop("sse")
-
-
-def floor_hinges(samples: DataFrame, key: str, t: str, y: str) -> DataFrame:
-    """(key, model, tc, floor, slope, sse, n, first_t): the best corner between a level and a leg of positive slope.
-
-    Landings fall to the level, departures rise from it.
-    """
-    rows = _corners(_tracks(samples, key, t, y), key)
-    c, n = F.col("c"), F.col("n")
-    nb, na = F.col("place"), n - F.col("place")
-    after = lambda k: F.col(f"a_{k}") - F.col(f"b_{k}")
-    legs = {
-        "landing": (c * nb - F.col("b_t"), F.col("b_tt") - 2 * c * F.col("b_t") + c * c * nb, c * F.col("b_y") - F.col("b_ty")),
-        "departure": (after("t") - c * na, after("tt") - 2 * c * after("t") + c * c * na, after("ty") - c * after("y")),
-    }
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), l1.alias("l1"), l2.alias("l2"), ly.alias("ly")) for m, (l1, l2, ly) in legs.items())))
-    rows = rows.withColumn("_leg", each).select(key, "c", "k", "n", "first_t", "mean_y", "a_y", "a_yy", "_leg.*")
-    rows = rows.withColumn("den", n * F.col("l2") - F.col("l1") * F.col("l1")).filter("den > 0")
-    rows = rows.withColumn("slope", (n * F.col("ly") - F.col("l1") * F.col("a_y")) / F.col("den")).filter("slope > 0")
-    floor = (F.col("a_y") - F.col("slope") * F.col("l1")) / n
-    sse = F.col("a_yy") - floor * F.col("a_y") - F.col("slope") * F.col("ly")
-    value = F.struct((c + F.col("first_t")).alias("tc"), (floor + F.col("mean_y")).alias("floor"), "slope", F.greatest(sse, F.lit(0.0)).alias("sse"), "n", "first_t")
-    return rows.groupBy(key, "model").agg(F.min_by(value, F.struct(F.round(sse, DIGITS), F.col("k"))).alias("h")).select(key, "model", "h.*")
+    found = series_fits(long(samples, key, {DEPTH: y}, t), key).filter("hinge is not null")
+    return found.select(key, "hinge.tc", "hinge.y_at", "hinge.slope_before", "hinge.slope_after", "n", F.col("t_first").alias("first_t"), "hinge.rms")
 
 
-def extents(samples: DataFrame, key: str, t: str, y: str) -> DataFrame:
-    """Per track: samples, first and last time, level and line with their rms."""
-    line = lines(samples.filter(F.col(y).isNotNull()), key, t, y)
-    ends = samples.filter(F.col(y).isNotNull()).groupBy(key).agg(F.min(t).alias("t_first"), F.max(t).alias("t_last"), F.avg(y).alias("level"), F.stddev_pop(y).alias("rms_level"))
-    return line.withColumnRenamed("rms", "rms_line").join(ends, key)
-
-
-def depth(samples: DataFrame, key: str, t: str = "t", y: str = "world_y") -> DataFrame:
-    """What the apparent depth of each track says: a hinge, a line, or a level.
+def _depth_verdict() -> Column:
+    """What the apparent depth of a track says, from its row of `series_fits`: a hinge, a line, or a level.
 
     A hinge stands if its airborne leg departs from the ground leg by enough metres and residuals, and it explains the
     track better than one line. The ground leg is the one closer to level.
     """
-    whole = extents(samples, key, t, y)
-    found = whole.join(hinges(samples, key, t, y).drop("n", "first_t"), key, "left")
-    before = F.col(t) < F.col("tc")
-    after_is_ground = F.abs("slope_after") <= F.abs("slope_before")
-    d = F.col(t) - F.col("tc")
-    residual = F.col(y) - F.col("y_at") - F.col("slope_before") * F.least(d, F.lit(0.0)) - F.col("slope_after") * F.greatest(d, F.lit(0.0))
-    ground = F.when(after_is_ground, ~before).otherwise(before)
-    sides = samples.filter(F.col(y).isNotNull()).join(found.filter("tc is not null").select(key, "tc", "y_at", "slope_before", "slope_after"), key).groupBy(key).agg(
-        F.count_if(before).alias("n_before"), F.count_if(~before).alias("n_after"), F.sqrt(F.avg(F.when(ground, residual * residual))).alias("rms_ground"),
-    )
-    span = F.when(after_is_ground, F.col("tc") - F.col("t_first")).otherwise(F.col("t_last") - F.col("tc"))
-    drop = F.abs(F.col("slope_before") - F.col("slope_after")) * span
-    good = (drop >= MIN_DROP_M) & ~((F.coalesce("rms_ground", F.lit(0.0)) > 0) & (drop < MIN_DROP_SIGMAS * F.col("rms_ground"))) & (F.col("rms") <= MIN_IMPROVEMENT * F.col("rms_line"))
+    h = lambda c: F.col(f"hinge.{c}")
+    after_is_ground = F.abs(h("slope_after")) <= F.abs(h("slope_before"))
+    drop = F.abs(h("slope_before") - h("slope_after")) * F.when(after_is_ground, h("tc") - F.col("t_first")).otherwise(F.col("t_last") - h("tc"))
+    sharp = ~((h("rms_ground") > 0) & (drop < MIN_DROP_SIGMAS * h("rms_ground")))
+    hinge = F.coalesce((drop >= MIN_DROP_M) & F.coalesce(sharp, F.lit(True)) & (h("rms") <= MIN_IMPROVEMENT * F.col("rms_line")), F.lit(False))
     straight = (F.col("rms_line") < MIN_IMPROVEMENT * F.col("rms_level")) & (F.abs("slope") * (F.col("t_last") - F.col("t_first")) >= MIN_DROP_M)
-    hinge = F.col("tc").isNotNull() & F.coalesce(good, F.lit(False))
-    pick = lambda a, b, c: F.when(hinge, F.col(a)).when(straight, b).otherwise(c)
-    return found.join(sides, key, "left").select(
-        key, "n", F.when(F.col("n") < 2, "none").when(hinge, "hinge").when(straight, "line").otherwise("level").alias("model"),
-        F.when(hinge, F.col("tc")).alias("tc"), pick("y_at", F.col("intercept") + F.col("slope") * F.col("t_first"), F.col("level")).alias("y0"),
-        pick("slope_before", F.col("slope"), F.lit(0.0)).alias("slope_before"), pick("slope_after", F.col("slope"), F.lit(0.0)).alias("slope_after"),
-        pick("rms", F.col("rms_line"), F.col("rms_level")).alias("rms"), pick("n_before", F.col("n"), F.col("n")).alias("n_before"),
-        pick("n_after", F.lit(0), F.lit(0)).alias("n_after"), "rms_line", "rms_level",
+    pick = lambda a, b, c: F.when(hinge, a).when(straight, b).otherwise(c)
+    return F.struct(
+        F.when(F.col("n") < 2, "none").when(hinge, "hinge").when(straight, "line").otherwise("level").alias("model"), F.when(hinge, h("tc")).alias("tc"),
+        pick(h("y_at"), F.col("y_first"), F.col("level")).alias("y0"), pick(h("slope_before"), F.col("slope"), F.lit(0.0)).alias("slope_before"),
+        pick(h("slope_after"), F.col("slope"), F.lit(0.0)).alias("slope_after"), pick(h("rms"), F.col("rms_line"), F.col("rms_level")).alias("rms"),
+        F.when(hinge, h("n_before")).otherwise(F.col("n")).cast("long").alias("n_before"),
     )
 
 
-def smoothed(samples: DataFrame, key: str, t: str, y: str) -> DataFrame:
-    """`samples` that have `y`, with it as the median of three neighbours; ends, and tracks of fewer than 3, unchanged."""
-    at = Window.partitionBy(key).orderBy(t, "index")
-    rows = samples.filter(F.col(y).isNotNull()).withColumn("_a", F.lag(y).over(at)).withColumn("_b", F.lead(y).over(at))
-    middle = F.greatest(F.least("_a", y), F.least(F.greatest("_a", y), F.col("_b")))
-    return rows.withColumn(y, F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), middle).otherwise(F.col(y))).drop("_a", "_b")
-
-
-def spreads(rows: DataFrame, key: str, y: str) -> DataFrame:
-    """(key, spread): between the exact 10 % and 90 % quantiles, interpolated."""
-    return rows.groupBy(key).agg((F.percentile(y, F.lit(0.9)) - F.percentile(y, F.lit(0.1))).alias("spread"))
-
-
-def shadow(samples: DataFrame, key: str, y: str, t: str = "t") -> DataFrame:
-    """What one shadow series (gap_px or reach_px) says: landing, departure, descending, climbing, flat or none."""
-    rows = smoothed(samples, key, t, y)
-    whole = extents(rows, key, t, y).join(spreads(rows, key, y), key)
-    corners = floor_hinges(rows, key, t, y).drop("n", "first_t").join(whole.select(key, "t_first", "t_last"), key)
-    span = F.when(F.col("model") == "departure", F.col("t_last") - F.col("tc")).otherwise(F.col("tc") - F.col("t_first"))
-    corners = corners.filter(F.col("slope") * span >= SHADOW_CHANGE_PX)
-    order = F.struct(F.round("sse", DIGITS), (F.col("model") == "departure").cast("int"))
-    best = corners.groupBy(key).agg(F.min_by(F.struct(F.col("model").alias("corner"), F.col("tc").alias("corner_t"), F.col("slope").alias("corner_slope"), F.col("sse").alias("corner_sse")), order).alias("x")).select(key, "x.*")
-    found = whole.join(best, key, "left")
-    rms = F.sqrt(F.col("corner_sse") / F.col("n"))
+def _shadow_verdict() -> Column:
+    """What one shadow series says, from its row of `series_fits`: landing, departure, descending, climbing or flat; null
+    with fewer than 8 samples."""
+    spans = {"landing": F.col("landing.tc") - F.col("t_first"), "departure": F.col("t_last") - F.col("departure.tc")}
+    stands = {m: F.coalesce(F.col(f"{m}.slope") * span >= SHADOW_CHANGE_PX, F.lit(False)) for m, span in spans.items()}
+    first = stands["landing"] & (~stands["departure"] | (F.round("landing.sse", DIGITS) <= F.round("departure.sse", DIGITS)))
+    best = F.when(first, F.col("landing")).when(stands["departure"], F.col("departure"))
     change = F.col("slope") * (F.col("t_last") - F.col("t_first"))
-    cornered = F.coalesce(rms <= MIN_IMPROVEMENT * F.col("rms_line"), F.lit(False))
-    trend = F.col("rms_line") < 0.5 * F.abs(change)
     flat = F.col("spread") < SHADOW_FLAT_PX
-    model = F.when(flat, "flat").when(cornered, F.col("corner")).when(trend & (change <= -SHADOW_CHANGE_PX), "descending").when(trend & (change >= SHADOW_CHANGE_PX), "climbing").otherwise("flat")
-    found = found.filter(F.col("n") >= 2 * SIDE).withColumn("model", model)
-    corner = F.col("model").isin("landing", "departure")
-    found = found.withColumn("tc", F.when(corner, F.col("corner_t")))
-    sides = rows.join(found.filter("tc is not null").select(key, "tc", "model"), key).groupBy(key).agg(F.count_if(F.when(F.col("model") == "departure", F.col(t) > F.col("tc")).otherwise(F.col(t) < F.col("tc"))).alias("air"))
-    slope = F.when(F.col("model") == "landing", -F.col("corner_slope")).when(F.col("model") == "departure", F.col("corner_slope")).when(F.col("model") == "flat", 0.0).otherwise(F.col("slope"))
-    air = F.when(corner, F.col("air")).when(F.col("model") == "flat", 0).otherwise(F.col("n"))
-    out = found.join(sides, key, "left").withColumn("n_air", air)
-    return out.select(key, "model", "tc", slope.alias("slope_px_s"), F.when(corner, rms).when(flat, F.col("rms_level")).otherwise(F.col("rms_line")).alias("rms_px"), "n_air", (F.col("n") - F.col("n_air")).alias("n_ground"))
-
-
-def shadows(samples: DataFrame, key: str, t: str = "t") -> DataFrame:
-    """The tyre gap's verdict where it is a corner, else the reach's where that says anything, else the gap's again."""
-    row = lambda df, name: df.select(key, F.struct("model", "tc", "slope_px_s", "rms_px", "n_air", "n_ground").alias(name))
-    both = row(shadow(samples, key, "gap_px", t), "gap").join(row(shadow(samples, key, "reach_px", t), "reach"), key, "full")
-    fine = F.coalesce(F.col("gap.model").isin("landing", "departure"), F.lit(False))
-    says = F.coalesce(F.col("reach.model") != "flat", F.lit(False))
-    series = F.when(fine, "gap").when(says, "reach").when(F.col("gap").isNotNull(), "gap").otherwise("reach")
-    both = both.withColumn("series", series)
-    return both.select(key, "series", F.when(F.col("series") == "gap", F.col("gap")).otherwise(F.col("reach")).alias("s")).select(key, "series", "s.*")
-
-
-def positions(samples: DataFrame, instants: DataFrame, key: str, t: str = "t", x: str = "world_x", after: bool = True) -> DataFrame:
-    """(key, x, v, rms_x, n_x): place and speed at `tc` from the line through the samples after it (or before it).
-
-    With fewer than three samples there, from all of the track.
-    """
-    rows = samples.join(instants.select(key, "tc"), key)
-    leg = F.col(t) >= F.col("tc") if after else F.col(t) <= F.col("tc")
-    rows = rows.withColumn("_leg", leg).withColumn("_few", F.count_if(F.col("_leg")).over(Window.partitionBy(key)) < 3)
-    rows = rows.filter("_leg or _few").withColumn("_d", F.col(t) - F.col("tc"))
-    found = lines(rows, key, "_d", x)
-    return found.select(key, F.col("intercept").alias("x"), F.col("slope").alias("v"), F.col("rms").alias("rms_x"), F.col("n").alias("n_x"))
+    cornered = F.coalesce(best["rms"] <= MIN_IMPROVEMENT * F.col("rms_line"), F.lit(False)) & ~flat
+    trend = F.col("rms_line") < 0.5 * F.abs(change)
+    model = F.when(flat, "flat").when(cornered, F.when(first, "landing").otherwise("departure")).when(trend & (change <= -SHADOW_CHANGE_PX), "descending").when(trend & (change >= SHADOW_CHANGE_PX), "climbing").otherwise("flat")
+    air = F.when(first, best["n_before"]).otherwise(F.col("n") - best["n_upto"])
+    slope = F.when(cornered, F.when(first, -best["slope"]).otherwise(best["slope"])).when(model == "flat", 0.0).otherwise(F.col("slope"))
+    return F.when(F.col("n") >= 2 * SIDE, F.struct(
+        F.col("part").alias("series"), model.alias("model"), F.when(cornered, best["tc"]).alias("tc"), slope.alias("slope_px_s"),
+        F.when(cornered, best["rms"]).when(flat, F.col("rms_level")).otherwise(F.col("rms_line")).alias("rms_px"), F.when(cornered, air).when(model == "flat", 0).otherwise(F.col("n")).cast("long").alias("n_air"),
+    ))
+
+
+def _median3(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` of `long` with each shadow value as the median of three neighbours; ends, and series of fewer than 3, unchanged."""
+    at = Window.partitionBy(key, "part").orderBy("t", "index")
+    rows = rows.withColumn("_a", F.lag("y").over(at)).withColumn("_b", F.lead("y").over(at))
+    middle = F.greatest(F.least("_a", "y"), F.least(F.greatest("_a", "y"), F.col("_b")))
+    return rows.withColumn("y", F.when((F.col("part") != DEPTH) & F.col("_a").isNotNull() & F.col("_b").isNotNull(), middle).otherwise(F.col("y"))).drop("_a", "_b")
+
+
+def verdicts(samples: DataFrame, key: str) -> DataFrame:
+    """(key, hinge, gap): what the depth says, and what the shadows do: the tyre gap where it is a corner, else the reach
+    where that says anything, else the gap again."""
+    rows = _median3(long(samples, key, {DEPTH: "world_y", "gap": "gap_px", "reach": "reach_px"}), key)
+    each = series_fits(rows, key)
+    each = each.select(key, "part", F.when(F.col("part") == DEPTH, _depth_verdict()).alias("d"), F.when(F.col("part") != DEPTH, _shadow_verdict()).alias("s"))
+    of = lambda part, c: F.first(F.when(F.col("part") == part, F.col(c)), ignorenulls=True)
+    wide = each.groupBy(key).agg(of(DEPTH, "d").alias("hinge"), of("gap", "s").alias("fine"), of("reach", "s").alias("coarse"))
+    cornered = F.coalesce(F.col("fine.model").isin("landing", "departure"), F.lit(False))
+    says = F.coalesce(F.col("coarse.model") != "flat", F.lit(False))
+    return wide.select(key, "hinge", F.when(cornered, F.col("fine")).when(says, F.col("coarse")).otherwise(F.coalesce("fine", "coarse")).alias("gap"))
+
+
+def _line(x: Column, d: Column, name: str) -> Column:
+    """Aggregates of the line of x over d as a struct: place at 0, slope, rms and count."""
+    sxx, sxy = F.regr_sxx(x, d), F.regr_sxy(x, d)
+    slope = F.coalesce(sxy / F.nullif(sxx, F.lit(0.0)), F.lit(0.0))
+    return F.struct((F.regr_avgy(x, d) - slope * F.regr_avgx(x, d)).alias("x"), slope.alias("v"), F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(x, d) - slope * sxy) / F.nullif(F.regr_count(x, d), F.lit(0))).alias("rms"), F.regr_count(x, d).alias("n")).alias(name)
 
 
 def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float = 0.0) -> DataFrame:
@@ -212,15 +240,11 @@ def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float
 
     `samples` has key, index, t, world_x, world_y, gap_px and reach_px. A shadow corner decides; a depth hinge that agrees
     within `BRACKET_FRAMES` is averaged with it; a shadow trend says long or departure; else the depth decides alone, and
-    without a descent the contact is unseen. Tracks of fewer than 8 samples are unknown.
+    without a descent the contact is unseen. Tracks of fewer than 8 samples are unknown. The samples are dealt by track
+    once; fits and position read them from that one shuffle.
     """
-    row = F.struct("t", "world_x")
-    base = samples.groupBy(key).agg(F.count("*").alias("n"), F.min_by(row, F.struct("t", "index")).alias("first"), F.max_by(row, F.struct("t", "index")).alias("last"))
-    hinge = depth(samples, key).select(key, F.struct("model", "tc", "y0", "slope_before", "slope_after", "rms", "n_before").alias("hinge"))
-    gap = shadows(samples, key).select(key, F.struct("series", "model", "tc", "slope_px_s", "rms_px", "n_air").alias("gap"))
-    start = base.select(key, F.col("first.t").alias("tc"))
-    velocity = positions(samples, start, key, after=False).select(key, F.col("v").alias("velocity_mps"))
-    rows = base.join(hinge, key, "left").join(gap, key, "left").join(velocity, key, "left")
+    samples = samples.select(key, "index", "t", "world_x", "world_y", "gap_px", "reach_px").repartition(key)
+    says = verdicts(samples, key)
     h, g = lambda c: F.col(f"hinge.{c}"), lambda c: F.col(f"gap.{c}")
     gm = F.coalesce(g("model"), F.lit("none"))
     corner = gm.isin("landing", "departure")
@@ -233,25 +257,35 @@ def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float
     trend = gm.isin("descending", "climbing")
     steep = (h("model") == "line") & (F.abs(h("slope_before")) > DRIFT_MAX_MPS)
     outcome = (
-        F.when(F.col("n") < 2 * SIDE, "unknown").when(gm == "landing", "measured").when(corner, "departure").when(gm == "descending", "long").when(trend, "departure")
+        F.when(gm == "landing", "measured").when(corner, "departure").when(gm == "descending", "long").when(trend, "departure")
         .when(convex, F.when(ground_after, "measured").otherwise("departure")).when(steep, F.when(h("slope_before") < 0, "long").otherwise("departure"))
         .when(h("model").isin("level", "line", "hinge"), "unseen").otherwise("unknown")
     )
-    method = F.when(F.col("n") < 2 * SIDE, "none").when(joined, "shadow+depth").when(corner | trend, "shadow").when(h("model") != "none", "depth").otherwise("none")
     tc = F.when(joined, (h("tc") + g("tc")) / 2).when(corner, g("tc")).when(~trend & convex, h("tc"))
-    rows = rows.withColumns({"outcome": outcome, "method": method}).withColumn("tc", F.when(F.col("outcome").isin("measured", "departure"), tc))
-    at = positions(samples, rows.filter("outcome = 'measured' and tc is not null").select(key, "tc"), key)
-    rows = rows.join(at, key, "left")
+    says = says.withColumn("tc", F.when(outcome.isin("measured", "departure"), tc))
+
+    row, order = F.struct("t", "world_x"), F.struct("t", "index")
+    d, leg = F.col("t") - F.coalesce("tc", "t"), F.col("t") >= F.col("tc")
+    same = lambda c: F.first(c).alias(c)
+    rows = samples.join(says, key, "left").groupBy(key).agg(
+        F.count("*").alias("n"), F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"), _line(F.col("world_x"), F.col("t"), "whole"),
+        _line(F.when(leg, F.col("world_x")), d, "ground"), _line(F.col("world_x"), d, "all"), same("hinge"), same("gap"), same("tc"),
+    )
+    short = F.col("n") < 2 * SIDE
+    rows = rows.withColumn("outcome", F.when(short, "unknown").otherwise(outcome)).withColumn("tc", F.when(~short, F.col("tc")))
+    method = F.when(short, "none").when(joined, "shadow+depth").when(corner | trend, "shadow").when(h("model") != "none", "depth").otherwise("none")
+    rows = rows.withColumn("method", method).withColumn("at", F.when(F.col("ground.n") < 3, F.col("all")).otherwise(F.col("ground")))
+    measured = (F.col("outcome") == "measured") & F.col("tc").isNotNull()
+    x, v = F.when(measured, F.col("at.x")), F.when(measured, F.col("at.v")).otherwise(F.col("whole.v"))
     fall = F.abs(h("slope_before") - h("slope_after"))
     many = lambda c: F.sqrt(F.greatest(c, F.lit(1)))
     by_shadow = F.when(g("slope_px_s") != 0, g("rms_px") / F.abs(g("slope_px_s")) / many(g("n_air"))).otherwise(1 / fps)
     by_depth = F.when(fall != 0, h("rms") / fall / many(h("n_before"))).otherwise(1 / fps)
     sigma_t = F.greatest(F.when(F.col("method") == "shadow", by_shadow).otherwise(by_depth), F.when(joined, F.abs(h("tc") - g("tc")) / 2).otherwise(0.0))
-    sigma = uncertainty_m(F.col("v"), sigma_t, F.col("rms_x"), F.col("n_x"), residual_m, F.lit(fps))
-    measured = F.col("outcome") == "measured"
+    sigma = uncertainty_m(F.col("at.v"), sigma_t, F.col("at.rms"), F.col("at.n"), residual_m, F.lit(fps))
     is_ = lambda c: F.coalesce(c, F.lit(False))
     flags = [
-        ("track too short", F.col("n") < 2 * SIDE),
+        ("track too short", short),
         ("shadow and depth cues apart; taken between", is_(joined) & (off > AGREE_FRAMES)),
         ("depth fit contradicts the shadow", is_(agrees) & ~is_(joined)),
         ("still descending when it left the window", F.col("outcome") == "long"),
@@ -263,9 +297,7 @@ def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float
     ]
     y = F.when(F.col("outcome").isin("measured", "departure", "unseen") & (is_hinge | (F.col("method") == "depth")), h("y0"))
     return rows.select(
-        key, "outcome", F.col("tc").alias("contact_t"), F.when(measured, F.col("x")).alias("world_x"), y.alias("world_y"),
-        F.when(measured, F.col("v")).otherwise(F.col("velocity_mps")).alias("velocity_mps"), F.when(measured, sigma).otherwise(0.0).alias("uncertainty_m"),
+        key, "outcome", F.col("tc").alias("contact_t"), x.alias("world_x"), y.alias("world_y"), v.alias("velocity_mps"), F.when(measured, sigma).otherwise(0.0).alias("uncertainty_m"),
         F.when(F.col("outcome") == "long", F.col("last.world_x")).when(F.col("outcome") == "unseen", F.col("first.world_x")).alias("bound_x"), "method",
         F.array_compact(F.array(*(F.when(c, F.lit(f)) for f, c in flags))).alias("flags"),
     )
-

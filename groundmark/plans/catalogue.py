@@ -302,7 +302,15 @@ def line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 5).alias("intercept"), F.round("rms", 5).alias("rms"))
 
 
-@query()
+@query("""with s as (select user_id, event_id as i, (epoch_us(ts) - 1704067200000000) / 3.6e9 as t, value as y from events),
+ o as (select *, row_number() over w as place, count(*) over (partition by user_id) as n, lead(t) over w - t as gap, min(t) over (partition by user_id) as t_first from s window w as (partition by user_id order by t, i)),
+ g as (select user_id, any_value(n) as n, any_value(t_first) as t_first, avg(y) as my, median(gap) / 8 as step, max(t - t_first) filter (where place = 4) as lo, max(t - t_first) filter (where place = n - 3) as hi from o group by 1),
+ k as (select *, unnest(range(cast(ceil((hi + step / 2 - lo) / step) as bigint))) as k from g where n >= 8 and step > 0),
+ d as (select k.*, lo + k * step as c, least(o.t - k.t_first - lo - k * step, 0) as l, greatest(o.t - k.t_first - lo - k * step, 0) as r, o.y - my as y from k join o on o.user_id = k.user_id),
+ m as (select user_id, k, any_value(n) as n, any_value(c) + any_value(t_first) as tc, any_value(my) as my, sum(l) as l, sum(r) as r, sum(l * l) as ll, sum(r * r) as rr, sum(y) as y, sum(l * y) as ly, sum(r * y) as ry, sum(y * y) as yy from d group by 1, 2),
+ f as (select *, (y - l * ly / ll - r * ry / rr) / (n - l * l / ll - r * r / rr) as a from m where ll > 0 and rr > 0), h as (select *, (ly - l * a) / ll as p, (ry - r * a) / rr as q from f), e as (select *, yy - a * y - p * ly - q * ry as sse from h),
+ b as (select user_id, arg_min({'n': n, 'tc': tc, 'y': a + my, 'p': p, 'q': q, 'sse': sse}, (round(sse, 9), k)) as b from e group by 1)
+ select user_id, b.n as n, round(b.tc, 6) as tc, round(b.y, 6) as y_at, round(b.p, 6) as slope_before, round(b.q, 6) as slope_after, round(sqrt(greatest(b.sse, 0) / b.n), 6) as rms from b""")
 def hinge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fits.hinges(_samples(spark, sf_dir), "user_id", "t", "y")
     return out.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("tc", "y_at", "slope_before", "slope_after", "rms")))

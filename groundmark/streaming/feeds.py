@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,14 +10,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.results import keyed
 from ..schemas import FIX, SEGMENT
+from ..sources.shared import shared_folder
 
 
 def _state_dir(spark: SparkSession) -> str:
-    """A folder for a stream's state: under the shared checkpoint folder, or one of our own where that is unset and all runs in one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='groundmark-stream-')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def fixes(spark: SparkSession, folder: str) -> DataFrame:
