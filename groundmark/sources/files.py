@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import asdict, fields, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import epoch_instant, is_network_source, local_clock, rate, redacted, segment_start, stripped
-from ..schemas import ANNOTATION, FIX, GAP, LANDING, MARKER, SEGMENT, SORTIE, Field
+from ..schemas import ANNOTATION, GAP, MARKER, SEGMENT, SORTIE, Field
+from .decode import fix_records, landing_records, tolerant
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,8 +23,14 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     return json_lines(spark, path, SEGMENT)
 
 
+def fix_lanes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(fixes, rescued) of JSON Lines files: a line must have the keys of a fix and no others."""
+    return fix_records(spark.read.text(path).select(F.col("value").alias("text")))
+
+
 def fixes(spark: SparkSession, path: str) -> DataFrame:
-    return json_lines(spark, path, FIX)
+    """The fixes that decode."""
+    return fix_lanes(spark, path)[0]
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
@@ -41,12 +49,40 @@ def overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def landings(spark: SparkSession, path: str) -> DataFrame:
-    """The landings of stores, one JSON document each with an array `landings`; an unreadable document has none."""
-    element = LANDING
+def landing_lanes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(landings, rescued) of stores, one JSON document each with an array `landings`; an unreadable document has none.
+
+    Rescued are the records that do not decode, with the reason; see `decode.landing_records`.
+    """
     read = spark.read.schema("schema_version int, landings array<string>").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    each = read.select(F.explode("landings").alias("raw")).select(F.from_json("raw", element).alias("l"))
-    return each.filter("l.id is not null").select("l.*")
+    return landing_records(read.select(F.explode("landings").alias("text")))
+
+
+def landings(spark: SparkSession, path: str) -> DataFrame:
+    """The landings that decode."""
+    return landing_lanes(spark, path)[0]
+
+
+def settings(spark: SparkSession, path: str, kind: type, default: object = None) -> object:
+    """A `Field` or `Rules` from a JSON document: unknown keys go, missing ones have their default; a missing or unreadable
+    document, or one with values of another kind, gives the defaults."""
+    default = default or kind()
+    types = {f.name: {"float": "double", "int": "int", "bool": "boolean", "str": "string"}[str(f.type)] for f in fields(kind)}
+    try:
+        read = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("text"))
+        good, _ = tolerant(read, ", ".join(f"{c} {t}" for c, t in types.items()))
+        row = good.first()
+        return replace(default, **{c: v for c, v in row.asDict().items() if v is not None}) if row else default
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return default
+    except ValueError:  # values that the kind itself refuses
+        return default
+
+
+def save_settings(spark: SparkSession, value: object, path: str) -> None:
+    spark.createDataFrame([asdict(value)]).coalesce(1).write.mode("overwrite").json(path)
 
 
 def manifest_offset_h(spark: SparkSession, path: str) -> DataFrame:
@@ -55,16 +91,26 @@ def manifest_offset_h(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.input_file_name().alias("path"), (F.coalesce("utc_offset_seconds", F.lit(0.0)) / 3600).alias("offset_h"))
 
 
-def segment_files(spark: SparkSession, path: str, offset_h: float = 0.0, settled_before: dt.datetime | None = None, suffix: str = "*.mp4") -> DataFrame:
+def segment_files(
+    spark: SparkSession, path: str, offset_h: float = 0.0, settled_before: dt.datetime | None = None, suffix: str = "*.mp4",
+    known: DataFrame | None = None, recording: bool = False,
+) -> DataFrame:
     """(name, start_utc, size_bytes, modified_utc) of segment files whose name is an instant; contents are not read.
 
-    Only files last changed before `settled_before` count, where that is given.
+    Only files last changed before `settled_before` count, where that is given; while `recording`, the last name of all is
+    still being written and does not; names in `known` (name) were indexed before.
     """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True)
     if settled_before:
         reader = reader.option("modifiedBefore", settled_before.strftime("%Y-%m-%dT%H:%M:%S"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
+    every = spark.read.format("binaryFile").option("pathGlobFilter", suffix).option("recursiveFileLookup", True)
+    newest = every.load(path).agg(F.max(name).alias("_newest"))  # one row
     found = reader.load(path).select(name.alias("name"), segment_start("path", offset_h).alias("start_utc"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_utc"))
+    if recording:
+        found = found.join(F.broadcast(newest), F.lit(True)).filter("name <> _newest").drop("_newest")
+    if known is not None:
+        found = found.join(known.select("name"), "name", "left_anti")
     return found.filter("start_utc is not null")
 
 
@@ -185,8 +231,8 @@ def frame_times(documents: DataFrame, source: str = "source", text: str = "text"
 
 
 def progress(lines: DataFrame, by: list[str], ordinal: str = "ordinal", text: str = "value") -> DataFrame:
-    """(by, key, value): the last value of each key of `key=value` lines."""
-    pair = lines.filter(F.col(text).contains("=")).select(*by, ordinal, stripped(F.split_part(text, F.lit("="), F.lit(1))).alias("key"), stripped(F.substring_index(text, "=", -1)).alias("value"))
+    """(by, key, value): the last value of each key of `key=value` lines; a value is all behind the first `=`."""
+    pair = lines.filter(F.col(text).contains("=")).select(*by, ordinal, stripped(F.split_part(text, F.lit("="), F.lit(1))).alias("key"), stripped(F.expr(f"substr({text}, instr({text}, '=') + 1)")).alias("value"))
     return pair.groupBy(*by, "key").agg(F.max_by("value", ordinal).alias("value"))
 
 
@@ -237,5 +283,3 @@ def write_manifests(sessions: DataFrame, path: str, schema_version: int = 1) ->
     })
     facts.write.mode("overwrite").json(path)
 
-
-__all__ = [x for x in dir() if not x.startswith("_")]

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.results import keyed
 from ..schemas import FIX, SEGMENT
 from ..sources.shared import shared_folder
+from .keys import kept, without_repeats_ever
 
 
 def _state_dir(spark: SparkSession) -> str:
@@ -65,5 +66,6 @@ def deduplicated_counts(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
     read = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    rows = without_repeats(read.select("user_id", "ts"), ["user_id", "ts"], "ts", "3650 days")
-    return landed(rows).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    store, state = shared_folder(spark, "kept"), _state_dir(spark)
+    without_repeats_ever(read.select("user_id", F.col("ts").cast("timestamp").alias("ts")), ["user_id", "ts"], "ts", store, state).awaitTermination()
+    return kept(spark, store, "user_id long, ts timestamp").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
