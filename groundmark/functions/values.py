@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,19 +37,23 @@ def kind(outcome: Column | str) -> Column:
 
 
 def rounded(x: Column | str, decimals: int) -> Column:
-    """Half-even rounding of the double itself.
+    """Half-even rounding of the double itself, not of its printed decimal (0.15 lies below its print, so it gives 0.1).
 
-    At 0 decimals the built-in does that. With more it would round the printed decimal (0.15 to 0.2), so those go
-    through an Arrow batch.
+    The scaled value is a rounded product, which can only mislead where it is a half exactly: there the factor is split into
+    two parts whose products are exact, and what they leave of the half decides.
     """
+    x, scale = _c(x).cast("double"), float(10**decimals)
     if decimals == 0:
-        return F.bround(_c(x), 0)
-
-    @F.pandas_udf("double")
-    def exact(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: round(v, decimals), na_action="ignore")
-
-    return exact(_c(x))
+        return F.bround(x, 0)
+    wide = x * 134217729.0  # 2**27 + 1: cuts a double into two of 26 bits
+    high = wide - (wide - x)
+    scaled = x * scale
+    floor = F.floor(scaled).cast("double")
+    beyond = (high * scale - (floor + 0.5)) + (x - high) * scale
+    even = floor + F.abs(floor % 2)
+    half = F.when(beyond > 0, floor + 1).when(beyond < 0, floor).otherwise(even)
+    small = F.abs(x) < 1e14 / scale  # larger ones have no such decimals, or are no numbers
+    return F.when(small, F.when(scaled == floor + 0.5, half).otherwise(F.bround(scaled, 0)) / scale).otherwise(x)
 
 
 def unrounded_score(offset: Column | str, outcome: Column | str, rules: Rules = Rules()) -> Column:
@@ -67,7 +70,7 @@ def score(offset: Column | str, outcome: Column | str, rules: Rules = Rules()) -
 
 def signed(x: Column | str, decimals: int) -> Column:
     """`x` with its sign and so many decimals; a negative number that rounds to zero keeps its minus."""
-    size = F.format_string(f"%.{decimals}f", F.abs(F.bround(_c(x), decimals)))
+    size = F.format_string(f"%.{decimals}f", F.abs(rounded(x, decimals)))
     return F.when(_c(x).isNotNull(), F.concat(F.when(_c(x) < 0, "-").otherwise("+"), size))
 
 
@@ -94,6 +97,12 @@ def points_text(score_: Column | str, rules: Rules = Rules()) -> Column:
     return F.when(_c(score_).isNull(), "-").otherwise(F.format_string(f"%.{rules.decimals}f", _c(score_)))
 
 
+def rules_text(rules: Rules) -> str:
+    """The rules in one line, numbers without needless digits."""
+    g = lambda v: f"{v:g}"
+    return f"{rules.name or 'scoring'}: {g(rules.max_points)} pts on the line, -{g(rules.short_per_m)}/m short, -{g(rules.long_per_m)}/m long, floor {g(rules.min_points)}, outside the window {g(rules.out_of_range_points)}"
+
+
 def wait_text(outcome: Column | str) -> Column:
     return F.when(_c(outcome) == UNSEEN, "judge picks frame").otherwise("being verified")
 
@@ -109,14 +118,14 @@ def fix_probability(best: Column | str, runner_up: Column | str) -> Column:
     b, r = _c(best), _c(runner_up)
     alone = F.greatest(F.lit(0.05), 1 - b / 2)
     beside = F.least(F.lit(1.0), (r - b) / F.greatest(r, F.lit(1e-6)) + 0.5)
-    return F.bround(alone * F.when(r.isNull(), 1.0).otherwise(beside), 2)
+    return rounded(alone * F.when(r.isNull(), 1.0).otherwise(beside), 2)
 
 
 def logbook_probability(dt: Column | str, runner_up: Column | str, window_s: float = 240.0, close_s: float = 60.0) -> Column:
     """How sure the nearest event is; `dt` and `runner_up` are distances in seconds."""
     d, r = F.abs(_c(dt)), _c(runner_up)
     beside = F.when(r.isNull(), 1.0).when(r - d < close_s, 0.5).otherwise(0.8)
-    return F.bround(F.greatest(F.lit(0.05), 1 - d / window_s) * beside, 2)
+    return rounded(F.greatest(F.lit(0.05), 1 - d / window_s) * beside, 2)
 
 
 def uncertainty_m(speed: Column, sigma_t: Column, rms_x: Column, n_x: Column, residual_m: Column | float, fps: Column | float) -> Column:

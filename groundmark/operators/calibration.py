@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import rounded
 from ..schemas import MARKER
 
 #: Fewest markers, least spreads across a line, residual aimed at.
@@ -20,7 +21,7 @@ def standard_markers(spark: SparkSession, spacing_m: float = 15.0, half_width_m:
 
 
 def geometry(markers: DataFrame, by: list[str]) -> DataFrame:
-    """(by, markers, problem): why a set cannot be solved, or the empty text.
+    """(by, markers, problem): why a set cannot be solved (few, same_ground, same_click, ground_line, click_line), or the empty text.
 
     The spread across the best line is the smaller principal axis of the points, from their variances and covariance.
     """
@@ -28,12 +29,12 @@ def geometry(markers: DataFrame, by: list[str]) -> DataFrame:
         a, b, c = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
         return F.sqrt(F.greatest(F.lit(0.0), (a + b) / 2 - F.sqrt(F.pow((a - b) / 2, 2.0) + c * c)))
 
-    places, clicks = F.count_distinct("world_x", "world_y"), F.count_distinct(F.bround("image_x", 1), F.bround("image_y", 1))
+    places, clicks = F.count_distinct("world_x", "world_y"), F.count_distinct(rounded("image_x", 1), rounded("image_y", 1))
     found = markers.groupBy(*by).agg(F.count("*").alias("markers"), places.alias("places"), clicks.alias("clicks"), across("world_x", "world_y").alias("world"), across("image_x", "image_y").alias("image"))
     problem = (
-        F.when(F.col("markers") < MIN_MARKERS, "too few markers").when(F.col("places") < F.col("markers"), "two markers have the same ground coordinates")
-        .when(F.col("clicks") < F.col("markers"), "two markers were clicked at the same place").when(F.col("world") < MIN_WORLD_M, "markers on one line on the ground")
-        .when(F.col("image") < MIN_IMAGE_PX, "clicks on one line in the image").otherwise("")
+        F.when(F.col("markers") < MIN_MARKERS, "few").when(F.col("places") < F.col("markers"), "same_ground")
+        .when(F.col("clicks") < F.col("markers"), "same_click").when(F.col("world") < MIN_WORLD_M, "ground_line")
+        .when(F.col("image") < MIN_IMAGE_PX, "click_line").otherwise("")
     )
     return found.select(*by, "markers", problem.alias("problem"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import quantiles
+
 #: Fixed values of the checks.
 WIDTH, HEIGHT, FPS = 1920, 1080, 60.0
 MIN_BIT_RATE, MAX_BIT_RATE = 8_000_000, 24_000_000
@@ -40,7 +42,8 @@ def frame_checks(frames: DataFrame, target_fps: float = FPS, duration: DataFrame
     """
     by = Window.partitionBy("source").orderBy("ordinal")
     timed = frames.filter("pts is not null").withColumn("gap", F.col("pts") - F.lag("pts").over(by))
-    middle = timed.groupBy("source").agg(F.median("gap").alias("median"), F.count("*").alias("frames"), F.max("pts").alias("last"))
+    median = quantiles(timed, ["source"], "gap", [0.5]).select("source", F.col("quantiles")[0].alias("median"))
+    middle = timed.groupBy("source").agg(F.count("*").alias("frames"), F.max("pts").alias("last")).join(median, "source", "left")
     off = F.abs(F.col("gap") - F.col("median")) > IRREGULAR * F.col("median")
     share = timed.filter("gap is not null").join(middle, "source").groupBy("source").agg(F.avg(off.cast("double")).alias("share"))
     gops = frames.filter("key_frame").withColumn("gop", F.col("ordinal") - F.lag("ordinal").over(by)).groupBy("source").agg(F.min("gop").alias("shortest"), F.max("gop").alias("longest"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import uncertainty_m
+from .ordered import quantiles
 
 #: Samples on each side of a corner, corners a sample, and what counts as a corner.
 SIDE, SUBSTEPS = 4, 8
@@ -38,8 +39,8 @@ def lines(samples: DataFrame, key: str, t: str = "t", y: str = "y") -> DataFrame
 
 
 def spreads(rows: DataFrame, key: str, y: str) -> DataFrame:
-    """(key, spread): between the exact 10 % and 90 % quantiles, interpolated."""
-    return rows.groupBy(key).agg((F.percentile(y, F.lit(0.9)) - F.percentile(y, F.lit(0.1))).alias("spread"))
+    """(key, spread): between the exact 10 % and 90 % quantiles, interpolated; a key of any size is never held whole."""
+    return quantiles(rows, [key], y, [0.1, 0.9]).select(key, (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("spread"))
 
 
 def long(samples: DataFrame, key: str, series: dict[str, str], t: str = "t") -> DataFrame:

@@ -29,11 +29,16 @@ def near_pairs(left: DataFrame, right: DataFrame, left_at: str, right_at: str, w
 
 
 def best_two(rows: DataFrame, by: list[str], order: list[Column], score: str) -> DataFrame:
-    """The first row of each key in `order`, with the second's `score` as `runner_up` and how many rows there are."""
+    """The first row of each key in `order`, with the second's `score` as `runner_up` and how many rows there are.
+
+    Tasks keep two rows a key and count the others before anything is shuffled, so a key with very many rows is small.
+    """
     key = Window.partitionBy(*by)
-    ranked = rows.withColumn("_rn", F.row_number().over(key.orderBy(*order)))
-    ranked = ranked.withColumn("runner_up", F.lead(score).over(key.orderBy(*order))).withColumn("candidates", F.count("*").over(key))
-    return ranked.filter("_rn = 1").drop("_rn")
+    two = rows.withColumn("_rn", F.row_number().over(key.orderBy(*order))).filter("_rn <= 2")
+    row = F.struct(*rows.columns)
+    first = two.groupBy(*by).agg(F.min_by(row, "_rn").alias("_row"), F.max(F.when(F.col("_rn") == 2, F.col(score))).alias("runner_up"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("candidates"))
+    return first.join(counts, by).select("_row.*", "runner_up", "candidates")
 
 
 def match_fixes(touchdowns: DataFrame, fixes: DataFrame, field: Field, limits: MatchLimits = MatchLimits()) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import blank_to_null, label, score, scored_offset, stripped, unrounded_score
+from ..functions.values import blank_to_null, label, rounded, score, scored_offset, stripped, unrounded_score
 from ..schemas import Rules
-from .ordered import numbered
+from .ordered import numbered, places
 
 
 def scored(landings: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -71,11 +71,11 @@ def rank(landings: DataFrame, buckets: int = 64) -> DataFrame:
     return numbered(found, -F.col("total"), by, "position", buckets).select("position", "key", "name", "total", "n", "aircraft")
 
 
-def ranked_landings(landings: DataFrame) -> DataFrame:
+def ranked_landings(landings: DataFrame, bucket_s: float = 30 * 86_400.0) -> DataFrame:
     """Confirmed landings under their key with their place in time, from 1, and from the latest, from 1."""
-    by_key = Window.partitionBy("key")
-    rows = keyed(landings)
-    return rows.withColumn("ordinal", F.row_number().over(by_key.orderBy("_at", "id"))).withColumn("from_latest", F.row_number().over(by_key.orderBy(F.desc("_at"), F.desc("id")))).drop("_pilot", "_craft", "_at")
+    bucket = F.floor(F.unix_micros("_at") / (bucket_s * 1e6)).cast("long")
+    rows = places(keyed(landings).withColumn("_at", F.col("_at").cast("timestamp")), ["key"], ["_at", "id"], bucket, "ordinal", "_total")
+    return rows.withColumn("from_latest", F.col("_total") - F.col("ordinal") + 1).drop("_pilot", "_craft", "_at", "_total")
 
 
 def last_landings(landings: DataFrame, n: int = 4) -> DataFrame:
@@ -115,5 +115,5 @@ def sheet(landings: DataFrame, rules: Rules = Rules(), buckets: int = 64) -> Dat
     """The rows of the results sheet: every confirmed landing under its pilot's position, in time order."""
     rows = scored(landings, rules)
     places = rank(rows, buckets).select("position", "key", "name")
-    metres = F.when(F.col("outcome") == "measured", F.bround("scored_longitudinal_m", 2))
+    metres = F.when(F.col("outcome") == "measured", rounded("scored_longitudinal_m", 2))
     return ranked_landings(rows).join(places, "key").select("position", "name", "ordinal", "id", "registration", metres.alias("offset_m"), "label", "score")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import seconds_between, seconds_later
-from .ordered import neighbours
+from .ordered import last_known, neighbours, quantiles
 
 GAP_S = 1.5
 
@@ -133,7 +133,7 @@ def first_differences(df: DataFrame, by: list[str], at: str, tie: str, bucket_s:
 def spacing(differences: DataFrame, by: list[str], tolerance: float = 0.2) -> DataFrame:
     """(by, n, median_s, irregular_share): the share of intervals that are off the median by over `tolerance` of it."""
     rows = differences.filter("gap_s is not null")
-    middle = rows.groupBy(*by).agg(F.median("gap_s").alias("median_s"))
+    middle = quantiles(rows, by, "gap_s", [0.5]).select(*by, F.col("quantiles")[0].alias("median_s"))
     off = F.abs(F.col("gap_s") - F.col("median_s")) > F.col("median_s") * tolerance
     return rows.join(middle, by).groupBy(*by).agg(F.count("*").alias("n"), F.first("median_s").alias("median_s"), F.avg(off.cast("double")).alias("irregular_share"))
 
@@ -153,7 +153,9 @@ def latest(df: DataFrame, by: list[str], order: list[str], value: str, name: str
     return df.groupBy(*by).agg(F.max_by(value, F.struct(*order)).alias(name))
 
 
-def previous_known(df: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """`df` with the last known `value` of the rows of the key before each row, as a suggestion for it."""
-    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(before))
+def previous_known(df: DataFrame, by: list[str], order: list[str], value: str, name: str, bucket_s: float = 30 * 86_400.0) -> DataFrame:
+    """`df` with the last known `value` of the rows of the key before each row, as a suggestion for it.
+
+    The first of `order` is an instant; its time is cut into buckets, so a key with very many rows is no single task.
+    """
+    return last_known(df, by, order, _bucket(F.col(order[0]), bucket_s), value, name)

@@ -369,7 +369,7 @@ def frame_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.filter("gop is not null")
 
 
-@query("""select n_regionkey as id, case when count(*) < 4 then 'too few markers' else '' end as problem from nation group by 1""")
+@query("""select n_regionkey as id, case when count(*) < 4 then 'few' else '' end as problem from nation group by 1""")
 def marker_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation")
     k = F.col("n_nationkey").cast("double")

@@ -85,6 +85,5 @@ def current(landings: DataFrame, log: DataFrame) -> DataFrame:
 
 def renamed(landings: DataFrame, stem: Column) -> DataFrame:
     """(id, clip_path, new_path): the clips whose name does not follow from the landing any more."""
-    new = F.regexp_replace("clip_path", r"[^/]+(?=\.\w+$)", "\0")
     new = F.concat(F.regexp_extract("clip_path", r"^(.*/)?[^/]*$", 1), stem, F.regexp_extract("clip_path", r"(\.\w+)$", 1))
     return landings.select("id", "clip_path", new.alias("new_path")).filter("new_path <> clip_path")

@@ -144,7 +144,7 @@ def detections(spark: SparkSession, folder: str, files_a_batch: int = 1) -> Data
     return rows.select(F.explode("rows").alias("r"), note.alias("note")).select("r.*", "note")  # a failed file has no instant: no watermark moves
 
 
-def follow(events: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, **trigger: Any) -> StreamingQuery:
+def follow(events: DataFrame, out: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", **trigger: Any) -> StreamingQuery:
     """Writes each batch of events under `out`, in a folder of its own that a repeated batch replaces.
 
     A batch that was written but not yet committed when the query was killed is computed again from the same files and the
@@ -161,7 +161,7 @@ def follow(events: DataFrame, out: str, checkpoint: str, each: Callable[[DataFra
     before = spark.conf.get(PROVIDER[0], None)
     spark.conf.set(*PROVIDER)
     try:
-        return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        return events.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     finally:
         spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])
 

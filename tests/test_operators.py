@@ -181,7 +181,7 @@ def test_calibration_recovers_a_plane(spark):
     assert np.allclose(solved.first()["matrix"], m.ravel(), atol=1e-6)
     assert calibration.residuals(df, solved, "k").first()["residual_m"] < 1e-6
     flat = df.withColumn("world_y", F.lit(0.0))
-    assert calibration.geometry(flat, ["k"]).first()["problem"] == "markers on one line on the ground"
+    assert calibration.geometry(flat, ["k"]).first()["problem"] == "ground_line"
 
 
 def test_probe_checks(spark):

@@ -116,3 +116,45 @@ def test_a_session_that_stops_is_flushed_when_others_go_on(spark, tmp_path):
     events = run(spark, tmp_path)
     assert {("a", "0-1"), ("b", "0-1")} == {(r["session"], r["track"]) for r in events.filter("event = 'ended'").collect()}
     assert seen(events) == [("a", 1, "0-1"), ("b", 2, "0-1"), ("b", 3, "1-1")]
+
+
+def board_rows(spark, folder, name, batches, refresh_s=60.0, wait_s=40.0, with_key=None):
+    """What a board shows in its next batches that have rows, in order. With timers of processing time a query goes on until it is stopped."""
+    import time
+
+    from groundmark.streaming import board
+
+    shown = []
+    stream = spark.readStream.schema("board string, session string, landing string, key string, score double, bad boolean").json(str(folder / "in"))
+    query = tracking.follow(board.board(stream, refresh_s), str(folder / name), str(folder / "state"), lambda b, n: shown.append(sorted(map(tuple, b.collect()))), mode="update", processingTime="300 milliseconds")
+    until = time.time() + wait_s
+    enough = lambda: len([x for x in shown if x]) >= batches and (with_key is None or any(r[2] == with_key for x in shown for r in x))
+    while not enough() and time.time() < until and query.isActive:
+        time.sleep(0.1)
+    query.stop()
+    return [rows for rows in shown if rows]
+
+
+def test_board_follows_the_newest_session_and_keeps_the_last_good_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+
+    def put(name, *rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("board", "session", "landing", "key", "score", "bad"), r))) for r in rows))
+
+    put("0.json", ("b", "2026-09-12", "L1", "anna", 90.0, False), ("b", "2026-09-12", "L2", "beat", 80.0, False), ("other", "2026-09-01", "L1", "carl", None, False))
+    first = board_rows(spark, tmp_path, "o0", 1)
+    assert first == [[("b", "2026-09-12", "anna", 90.0, 1, False), ("b", "2026-09-12", "beat", 80.0, 1, False), ("other", "2026-09-01", "carl", 0.0, 1, False)]]
+    put("1.json", ("b", "2026-09-12", "L3", "anna", 5.0, False), ("b", "2026-09-12", "L2", "beat", 70.0, False), ("b", "2026-09-11", "L9", "anna", 99.0, False))
+    assert board_rows(spark, tmp_path, "o1", 1) == [[("b", "2026-09-12", "anna", 95.0, 2, False), ("b", "2026-09-12", "beat", 70.0, 1, False)]]
+    put("2.json", ("b", "2026-09-13", "L1", "dora", 60.0, False), ("b", "2026-09-13", "L2", "anna", 1.0, True))
+    assert board_rows(spark, tmp_path, "o2", 1) == [[("b", "2026-09-13", "dora", 60.0, 1, False)]]
+
+
+def test_board_is_stale_after_three_refreshes_without_news(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text(json.dumps({"board": "b", "session": "s", "landing": "L1", "key": "anna", "score": 9.0}))
+    shown = board_rows(spark, tmp_path, "out", 2, refresh_s=0.4)
+    assert shown == [[("b", "s", "anna", 9.0, 1, False)], [("b", "s", "anna", 9.0, 1, True)]]
+    (tmp_path / "in" / "1.json").write_text(json.dumps({"board": "b", "session": "s", "landing": "L2", "key": "beat", "score": 1.0}))
+    again = board_rows(spark, tmp_path, "out2", 1, with_key="beat")
+    assert [("b", "s", "anna", 9.0, 1, False), ("b", "s", "beat", 1.0, 1, False)] in again
