@@ -236,6 +236,18 @@ def _line(x: Column, d: Column, name: str) -> Column:
     return F.struct((F.regr_avgy(x, d) - slope * F.regr_avgx(x, d)).alias("x"), slope.alias("v"), F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(x, d) - slope * sxy) / F.nullif(F.regr_count(x, d), F.lit(0))).alias("rms"), F.regr_count(x, d).alias("n")).alias(name)
 
 
+def positions(samples: DataFrame, instants: DataFrame, key: str, t: str = "t", x: str = "world_x", after: bool = True) -> DataFrame:
+    """(key, x, v, rms_x, n_x): place and speed at `tc` from the line through the samples after it (or before it).
+
+    With fewer than three samples there, from all of the track. Both lines come from one aggregate, combined before the shuffle.
+    """
+    rows = samples.join(instants.select(key, "tc"), key)
+    d = F.col(t) - F.col("tc")
+    leg = d >= 0 if after else d <= 0
+    found = rows.groupBy(key).agg(_line(F.when(leg, F.col(x)), d, "leg"), _line(F.col(x), d, "all"))
+    return found.select(key, F.when(F.col("leg.n") < 3, F.col("all")).otherwise(F.col("leg")).alias("l")).select(key, "l.x", "l.v", F.col("l.rms").alias("rms_x"), F.col("l.n").alias("n_x"))
+
+
 def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float = 0.0) -> DataFrame:
     """One row a track: outcome, contact instant, position, speed, uncertainty, bound, method and flags.
 
