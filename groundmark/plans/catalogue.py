@@ -316,11 +316,57 @@ def hinge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("tc", "y_at", "slope_before", "slope_after", "rms")))
 
 
-@query()
+#: The fits of `fits.outcomes` as a grid in SQL: every corner of every series over all of its samples.
+OUTCOMES = """with s as (select user_id, event_id as i, (epoch_us(ts) - 1704067200000000) / 3.6e9 as t, (epoch_us(ts) - 1704067200000000) / 3.6e9 * 0.5 as x, value as y from events),
+ p0 as (select user_id, i, t, 'depth' as part, y as v from s union all select user_id, i, t, 'gap', y from s where i % 2 = 0 union all select user_id, i, t, 'reach', y from s),
+ p1 as (select *, lag(v) over w as a, lead(v) over w as b from p0 window w as (partition by user_id, part order by t, i)),
+ p as (select user_id, i, t, part, case when part = 'depth' or a is null or b is null then v else greatest(least(a, v), least(greatest(a, v), b)) end as y from p1),
+ o as (select *, row_number() over w as place, count(*) over q as n, lead(t) over w - t as gap, min(t) over q as t_first, max(t) over q as t_last from p window w as (partition by user_id, part order by t, i), q as (partition by user_id, part)),
+ g0 as (select user_id, part, any_value(n) as n, any_value(t_first) as t_first, any_value(t_last) as t_last, avg(y) as my, median(gap) / 8 as step, max(t - t_first) filter (where place = 4) as lo, max(t - t_first) filter (where place = n - 3) as hi,
+ quantile_cont(y, 0.9) - quantile_cont(y, 0.1) as spread, stddev_pop(y) as rms_level, coalesce(regr_slope(y, t), 0) as slope, regr_syy(y, t) as syy, regr_sxy(y, t) as sxy, avg(t) as mt from o group by 1, 2),
+ g as (select *, my + slope * (t_first - mt) as y_first, sqrt(greatest(0, syy - slope * sxy) / n) as rms_line from g0),
+ k as (select *, unnest(range(cast(ceil((hi + step / 2 - lo) / step) as bigint))) as k from g where n >= 8 and step > 0),
+ d as (select k.user_id, k.part, k, k.n, k.t_first, my, lo + k * step as c, o.t - k.t_first as tt, o.y - my as y from k join o on o.user_id = k.user_id and o.part = k.part),
+ m as (select user_id, part, k, any_value(n) as n, any_value(c) as c, any_value(t_first) as t_first, any_value(my) as my, sum(least(tt - c, 0)) as l, sum(greatest(tt - c, 0)) as r, sum(least(tt - c, 0) ** 2) as ll, sum(greatest(tt - c, 0) ** 2) as rr, sum(y) as y, sum(least(tt - c, 0) * y) as ly, sum(greatest(tt - c, 0) * y) as ry,
+ sum(y * y) as yy, count(*) filter (where tt < c) as nb, count(*) filter (where tt <= c) as nu, coalesce(sum(y) filter (where tt < c), 0) as yb, coalesce(sum(y * y) filter (where tt < c), 0) as yyb from d group by 1, 2, 3),
+ h0 as (select *, (y - l * ly / ll - r * ry / rr) / (n - l * l / ll - r * r / rr) as a from m where part = 'depth' and ll > 0 and rr > 0), h1 as (select *, (ly - l * a) / ll as sb, (ry - r * a) / rr as sa from h0),
+ h2 as (select *, yy - a * y - sb * ly - sa * ry as sse, case when abs(sa) <= abs(sb) then (yy - yyb - 2 * a * (y - yb) + (n - nb) * a * a - 2 * sa * ry + 2 * a * sa * r + sa * sa * rr) / nullif(n - nb, 0) else (yyb - 2 * a * yb + nb * a * a - 2 * sb * ly + 2 * a * sb * l + sb * sb * ll) / nullif(nb, 0) end as ground from h1),
+ hb as (select user_id, arg_min({'tc': c + t_first, 'y': a + my, 'sb': sb, 'sa': sa, 'rms': sqrt(greatest(sse, 0) / n), 'nb': nb, 'rg': sqrt(greatest(ground, 0))}, (round(sse, 9), k)) as h from h2 group by 1),
+ f0 as (select *, 'landing' as model, -l as l1, ll as l2, -ly as lg from m where part <> 'depth' union all select *, 'departure', r, rr, ry from m where part <> 'depth'), f1 as (select *, (n * lg - l1 * y) / (n * l2 - l1 * l1) as sl from f0 where n * l2 - l1 * l1 > 0),
+ f2 as (select *, yy - (y - sl * l1) / n * y - sl * lg as sse from f1 where sl > 0), fb as (select user_id, part, model, arg_min({'tc': c + t_first, 'sl': sl, 'sse': sse, 'rms': sqrt(greatest(sse, 0) / n), 'nb': nb, 'nu': nu}, (round(sse, 9), k)) as f from f2 group by 1, 2, 3),
+ hv0 as (select g.*, h, abs(h.sa) <= abs(h.sb) as after_, abs(h.sb - h.sa) * case when abs(h.sa) <= abs(h.sb) then h.tc - t_first else t_last - h.tc end as fall from g left join hb using (user_id) where part = 'depth'),
+ hv1 as (select *, coalesce(fall >= 1 and not (coalesce(h.rg > 0, false) and fall < 4 * h.rg) and h.rms <= 0.8 * rms_line, false) as hinge, rms_line < 0.8 * rms_level and abs(slope) * (t_last - t_first) >= 1 as straight from hv0),
+ hv as (select user_id, case when n < 2 then 'none' when hinge then 'hinge' when straight then 'line' else 'level' end as hm, case when hinge then h.tc end as htc, case when hinge then h.y when straight then y_first else my end as y0, case when hinge then h.sb when straight then slope else 0 end as sb,
+ case when hinge then h.sa when straight then slope else 0 end as sa, case when hinge then h.rms when straight then rms_line else rms_level end as hrms, case when hinge then h.nb else n end as hnb from hv1),
+ sv0 as (select g.*, a.f as a, b.f as b, coalesce(a.f.sl * (a.f.tc - t_first) >= 5, false) as oka, coalesce(b.f.sl * (t_last - b.f.tc) >= 5, false) as okb, g.slope * (t_last - t_first) as change from g left join fb a on a.user_id = g.user_id and a.part = g.part and a.model = 'landing' left join fb b on b.user_id = g.user_id and b.part = g.part and b.model = 'departure' where g.part <> 'depth' and g.n >= 8),
+ sv1 as (select *, oka and (not okb or round(a.sse, 9) <= round(b.sse, 9)) as first_ from sv0), sv2 as (select *, coalesce(case when first_ then a.rms when okb then b.rms end <= 0.8 * rms_line, false) and spread >= 4 as cornered from sv1),
+ sv3 as (select *, case when spread < 4 then 'flat' when cornered then case when first_ then 'landing' else 'departure' end when rms_line < 0.5 * abs(change) and change <= -5 then 'descending' when rms_line < 0.5 * abs(change) and change >= 5 then 'climbing' else 'flat' end as gm from sv2),
+ sv as (select user_id, part, gm, case when cornered then case when first_ then a.tc else b.tc end end as gtc, case when cornered then case when first_ then -a.sl else b.sl end when gm = 'flat' then 0 else slope end as gs, case when cornered then case when first_ then a.rms else b.rms end when spread < 4 then rms_level else rms_line end as grms,
+ case when cornered then case when first_ then a.nb else n - b.nu end when gm = 'flat' then 0 else n end as air from sv3),
+ gs as (select u.user_id, case when coalesce(a.gm in ('landing', 'departure'), false) or not coalesce(b.gm <> 'flat', false) and a.gm is not null then a else b end as g from (select distinct user_id from s) u left join sv a on a.user_id = u.user_id and a.part = 'gap' left join sv b on b.user_id = u.user_id and b.part = 'reach'),
+ v0 as (select hv.*, coalesce(g.gm, 'none') as gm, g.gtc as gtc, g.gs as gs, g.grms as grms, g.air as air from hv left join gs using (user_id)),
+ v1 as (select *, gm in ('landing', 'departure') as corner, coalesce(hm = 'hinge', false) and sa > sb as convex, abs(sa) <= abs(sb) as after_, gm in ('descending', 'climbing') as trend from v0),
+ v2 as (select *, corner and convex and after_ = (gm = 'landing') as agrees, abs(htc - gtc) * 60 as off from v1), v3 as (select *, coalesce(agrees and off <= 30, false) as joined from v2),
+ v4 as (select *, case when gm = 'landing' then 'measured' when corner then 'departure' when gm = 'descending' then 'long' when trend then 'departure' when convex then case when after_ then 'measured' else 'departure' end when hm = 'line' and abs(sb) > 3 then case when sb < 0 then 'long' else 'departure' end when hm in ('level', 'line', 'hinge') then 'unseen' else 'unknown' end as oc,
+ case when joined then (htc + gtc) / 2 when corner then gtc when not trend and convex then htc end as tc0 from v3), v5 as (select *, case when oc in ('measured', 'departure') then tc0 end as tc1 from v4),
+ w as (select s.user_id, count(*) as n, min(t) as ft, max(t) as lt, arg_min(x, (t, i)) as fx, arg_max(x, (t, i)) as lx, coalesce(regr_slope(x, t), 0) as wv, count(*) filter (where t >= tc1) as gn, regr_intercept(x, t - tc1) filter (where t >= tc1) as gx, coalesce(regr_slope(x, t - tc1) filter (where t >= tc1), 0) as gv, regr_syy(x, t - tc1) filter (where t >= tc1) as gyy, regr_sxy(x, t - tc1) filter (where t >= tc1) as gxy,
+ regr_intercept(x, t - tc1) as ax, coalesce(regr_slope(x, t - tc1), 0) as av, regr_syy(x, t - tc1) as ayy, regr_sxy(x, t - tc1) as axy from s join v5 using (user_id) group by 1),
+ z as (select v5.*, w.n, w.ft, w.lt, fx, lx, wv, case when w.n < 8 then 'unknown' else oc end as outcome, case when w.n >= 8 then tc1 end as tc, case when gn < 3 then ax else gx end as px, case when gn < 3 then av else gv end as pv, case when gn < 3 then sqrt(greatest(0, ayy - av * axy) / w.n) else sqrt(greatest(0, gyy - gv * gxy) / gn) end as prms, case when gn < 3 then w.n else gn end as pn,
+ case when w.n < 8 then 'none' when joined then 'shadow+depth' when corner or trend then 'shadow' when hm <> 'none' then 'depth' else 'none' end as method from v5 join w on w.user_id = v5.user_id),
+ y as (select *, outcome = 'measured' and tc is not null as md, greatest(case when method = 'shadow' then case when gs <> 0 then grms / abs(gs) / sqrt(greatest(air, 1)) else 1 / 60.0 end when sb <> sa then hrms / abs(sb - sa) / sqrt(greatest(hnb, 1)) else 1 / 60.0 end, case when joined then abs(htc - gtc) / 2 else 0 end, 0.25 / 60) as sigma from z)
+ select user_id, outcome, round(tc, 6) as contact_t, round(case when md then px end, 5) as world_x, round(case when outcome in ('measured', 'departure', 'unseen') and (hm = 'hinge' or method = 'depth') then y0 end, 5) as world_y, round(case when md then pv else wv end, 6) as velocity_mps,
+ round(case when md then sqrt((abs(pv) * sigma) ** 2 + (prms / sqrt(pn)) ** 2) else 0 end, 5) as uncertainty_m, round(case outcome when 'long' then lx when 'unseen' then fx end, 5) as bound_x, method,
+ concat_ws('; ', case when n < 8 then 'track too short' end, case when joined and off > 4 then 'shadow and depth cues apart; taken between' end, case when coalesce(agrees, false) and not joined then 'depth fit contradicts the shadow' end, case when outcome = 'long' then 'still descending when it left the window' end, case when outcome = 'departure' and tc is null then 'climbing for the whole track' end,
+ case when method = 'depth' and convex then 'no shadow: decided from the depth trend alone' end, case when outcome = 'unseen' then 'no descent seen' end, case when md and tc - ft < 6 / 60.0 then 'touched down almost as it came into view' end, case when md and lt - tc < 4 / 60.0 then 'left the window right after touching down' end) as flags from y"""
+
+
+@query(OUTCOMES)
 def track_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _samples(spark, sf_dir)
     s = e.select("user_id", "index", "t", (F.col("t") * 0.5).alias("world_x"), F.col("y").alias("world_y"), F.when(F.col("index") % 2 == 0, F.col("y")).alias("gap_px"), F.col("y").alias("reach_px"))
-    return fits.outcomes(s, "user_id").withColumn("flags", F.array_join("flags", "; "))
+    out = fits.outcomes(s, "user_id").withColumn("flags", F.array_join("flags", "; "))
+    digits = {"contact_t": 6, "world_x": 5, "world_y": 5, "velocity_mps": 6, "uncertainty_m": 5, "bound_x": 5}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query()
