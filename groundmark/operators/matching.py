@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import fix_probability, haversine_m, logbook_probability, seconds_between
 from ..schemas import Field, MatchLimits
+from ..sources.files import first_with_rows
 
 MATCH = (
     "source", "flarm_id", "registration", "competition_number", "aircraft_type", "dt_s", "distance_m", "agl_m",
@@ -119,6 +120,18 @@ def applied(landings: DataFrame) -> DataFrame:
     })
 
 
+def logbook_pass(landings: DataFrame, fixes: DataFrame, fetched: DataFrame, saved: DataFrame, field: Field, limits: MatchLimits = MatchLimits()) -> DataFrame:
+    """`landings` identified anew, with `used`: by the logbook as fetched, or by the saved one where nothing came.
+
+    Confirmed landings and those that a judge identified stay as they are.
+    """
+    marked = lambda df, name: df.withColumn("used", F.lit(name))
+    sorties = first_with_rows(marked(fetched, "fetched"), marked(saved, "saved"))
+    used = sorties.agg(F.coalesce(F.max("used"), F.lit("none")).alias("used"))  # one row
+    found = identify(landings.drop("match"), fixes, sorties.drop("used"), field, limits)
+    return applied(found).join(F.broadcast(used), F.lit(True))
+
+
 def not_seen(tracks: DataFrame, stored: DataFrame, tolerance: int = 3) -> DataFrame:
     """Tracks (segment, first_frame, last_frame) of which no stored one has the same first or last frame, nearly.
 

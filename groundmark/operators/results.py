@@ -92,6 +92,11 @@ def counters(landings: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def confirmed(ranking: DataFrame) -> DataFrame:
+    """(confirmed): the landings that a ranking counts."""
+    return ranking.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("confirmed"))
+
+
 def next_id(landings: DataFrame) -> DataFrame:
     """The id that follows the number of landings. Ids can repeat once rows were removed: do not allocate by it."""
     return landings.agg(F.format_string("L%04d", F.count("*") + 1).alias("next_id"))

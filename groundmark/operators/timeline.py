@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import seconds_between, seconds_later
-from .ordered import last_known, neighbours, quantiles
+from .ordered import last_known, neighbours, places, quantiles
 
 GAP_S = 1.5
 
@@ -40,6 +40,17 @@ def gaps(segments: DataFrame, by: list[str], tolerance_s: float = GAP_S, bucket_
     )
 
 
+def report_head(found: DataFrame, by: list[str], shown: int = 10, bucket_s: float = 30 * 86_400.0) -> DataFrame:
+    """The first `shown` gaps of each key by their start, with how many `more` there are; of a report's list, as it is printed."""
+    rows = places(found, by, ["start_utc", "after"], _bucket(F.col("start_utc"), bucket_s), "place", "_total")
+    return rows.filter(F.col("place") <= shown).withColumn("more", F.greatest(F.col("_total") - shown, F.lit(0))).drop("_total")
+
+
+def holds(segment_start: Column, duration_s: Column, instant: Column) -> Column:
+    """Whether an instant lies in a segment: at its start or later, and before its end."""
+    return (instant >= segment_start) & (instant < seconds_later(segment_start, duration_s))
+
+
 def fps_outliers(segments: DataFrame, target_fps: float) -> DataFrame:
     return segments.filter(F.abs(F.col("fps") - target_fps) > 1.0)
 

@@ -60,6 +60,20 @@ def gap_totals(gaps: DataFrame, by: list[str], seconds: str = "seconds") -> Data
     return gaps.groupBy(*by).agg(F.count("*").alias("gaps"), F.sum(seconds).alias("gap_s"))
 
 
+def recorder_status(sessions: DataFrame, counters: DataFrame, gaps: DataFrame, written: DataFrame) -> DataFrame:
+    """One row a session: its latest counters, gaps and their seconds, files and gigabytes on disk; what is missing is 0.
+
+    `counters` (session, key, value) are those of `files.progress`, `gaps` (session, seconds), `written` (session, files, bytes).
+    """
+    number = lambda k: F.max(F.when(F.col("key") == k, F.col("value").try_cast("double")))
+    names = ("frame", "fps", "drop_frames", "dup_frames")
+    latest = counters.groupBy("session").agg(*(number(k).alias(k) for k in names))
+    held = gap_totals(gaps, ["session"], "seconds")
+    out = sessions.select("session").distinct().join(latest, "session", "left").join(held, "session", "left").join(written.select("session", "files", "bytes"), "session", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select("session", *(zero(k).alias(k) for k in names), zero("gaps").alias("gaps"), zero("gap_s").alias("gap_seconds"), zero("files").alias("segments"), (zero("bytes") / 1e9).alias("written_gb"))
+
+
 def match_counters(before: DataFrame, after: DataFrame) -> DataFrame:
     """(matched, landings): how many landings got another registration. Confirmed ones and those a judge named are not looked at."""
     old = before.select("id", blank_to_null(stripped("registration")).alias("_old"))

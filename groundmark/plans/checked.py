@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import calibration, checks, matching, results, timeline, tracks
+from ..operators import calibration, checks, matching, results, timeline, tracks, viewing
 from ..schemas import Rules
-from ..sources import decode, store
+from ..sources import decode, files, store
 from ..sources.shared import shared_folder
 from . import judging
-from .catalogue import _naive, _orders, _samples, _table, query
+from .catalogue import BOOK_MATCH, DAY, FIELD, SPANS, WIDE, _fixes, _naive, _orders, _samples, _segments, _sorties, _table, _touchdowns, query
 
 
 @query("""with x as (select 'p:' || lower(trim(c_name)) as k, c_name as name, o_orderkey as id, o_orderdate as seen, c_mktsegment as registration, o_totalprice, case o_orderkey % 3 when 0 then 'measured' when 1 then 'short' else 'unseen' end as outcome, (o_orderkey % 1000 - 500) / 50.0 as m from orders join customer on o_custkey = c_custkey where o_orderstatus = 'F'),
@@ -176,3 +176,37 @@ def tracker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, state = shared_folder(spark, "tracker"), shared_folder(spark, "tracker-state")
     tracking.follow(tracking.tracked(blobs), out, state).awaitTermination()
     return tracking.followed(spark, out).filter("event = 'seen'").select(F.col("session").cast("long").alias("session"), "frame", "ordinal", "track")
+
+
+@query(f"""with {SPANS}, d as (select *, (epoch_us(next_start) - epoch_us(end_utc)) / 1e6 as delta from spans), g as (select user_id, name as after, end_utc, abs(delta) as seconds from d where delta > 1.5),
+ r as (select *, row_number() over (partition by user_id order by end_utc, after) as place, count(*) over (partition by user_id) as n from g) select user_id, after, place, round(seconds, 6) as seconds, greatest(n - 10, 0) as more from r where place <= 10""")
+def report_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timeline.gaps(_segments(spark, sf_dir), ["user_id"], bucket_s=30 * DAY).filter("kind = 'gap'")
+    return timeline.report_head(found, ["user_id"]).select("user_id", "after", F.col("place").cast("long").alias("place"), F.round("seconds", 6).alias("seconds"), "more")
+
+
+@query("""with p as (select user_id as session, event_type, cast(arg_max(event_id, (ts, event_id)) as double) as v from events where user_id % 3 > 0 group by 1, 2), l as (select session, max(v) filter (where event_type = 'view') as f, max(v) filter (where event_type = 'click') as d from p group by 1),
+ g as (select user_id as session, count(*) as gaps, sum(value) as s from events where event_type = 'error' group by 1), w as (select user_id as session, count(*) as files, sum(event_id * 1000) as bytes from events where user_id % 2 = 0 group by 1)
+ select s.session, coalesce(f, 0) as frames, coalesce(d, 0) as dropped, coalesce(gaps, 0) as gaps, round(coalesce(g.s, 0), 4) as gap_seconds, coalesce(files, 0) as segments, round(coalesce(bytes, 0) / 1e9, 9) as written_gb from (select distinct user_id as session from events) s left join l using (session) left join g using (session) left join w using (session)""")
+def recorder_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a recording's progress lines, gaps and files; some have none."""
+    e = _table(spark, sf_dir, "events").withColumn("session", F.col("user_id"))
+    key = F.when(F.col("event_type") == "view", "frame").when(F.col("event_type") == "click", "drop_frames").otherwise("other")
+    lines = e.filter("user_id % 3 > 0").select("session", F.struct("ts", "event_id").alias("ordinal"), F.concat(key, F.lit("="), F.col("event_id").cast("string")).alias("value"))
+    written = e.filter("user_id % 2 = 0").groupBy("session").agg(F.count("*").alias("files"), F.sum(F.col("event_id") * 1000).alias("bytes"))
+    out = viewing.recorder_status(e, files.progress(lines, ["session"]), e.filter("event_type = 'error'").select("session", F.col("value").alias("seconds")), written)
+    return out.select("session", F.col("frame").alias("frames"), F.col("drop_frames").alias("dropped"), "gaps", F.round("gap_seconds", 4).alias("gap_seconds"), "segments", F.round("written_gb", 9).alias("written_gb"))
+
+
+@query(f"""with {BOOK_MATCH}, t as (select event_id as id, case when event_id % 4 = 0 then 'confirmed' else 'pending' end as status, case when event_id % 3 = 0 then 'R0' else '' end as own from events where event_type = 'error')
+ select t.id, case when status <> 'confirmed' and own = '' and book.id is not null then book.registration else own end as registration, 'saved' as used from t left join book on book.id = t.id""")
+def logbook_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is fetched, so the saved logbook identifies the landings that are free."""
+    k = F.col("id")
+    rows = _touchdowns(spark, sf_dir).select(
+        "id", "touchdown_utc", F.when(k % 4 == 0, "confirmed").otherwise("pending").alias("status"), F.when(k % 3 == 0, "R0").otherwise("").alias("registration"), F.lit("").alias("competition_number"), F.lit("").alias("aircraft_type"),
+        F.lit("").alias("identified_by"), F.lit("landing").alias("kind"), F.lit("unseen").alias("outcome"), F.array().cast("array<string>").alias("flags"),
+    )
+    saved = _sorties(spark, sf_dir)
+    out = matching.logbook_pass(rows, _fixes(spark, sf_dir).filter("false"), saved.filter("false"), saved, FIELD, WIDE)
+    return out.select("id", "registration", "used")
