@@ -146,9 +146,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, epochs: int = 3) -> t
     for slot, n in df.items():
         idf[slot] = np.log((1 + documents) / (1 + n)) + 1
     counts = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    per_language = max(1, min(per_language, SAMPLE // max(1, counts.count())))
+    several = counts.count()
+    per_language = max(1, min(per_language, SAMPLE // max(1, several)))
+    near = F.broadcast if several <= SAMPLE else (lambda df: df)  # a row a language
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = docs.join(F.broadcast(counts), "lang").filter(chance < F.lit(float(per_language)) / F.col("n"))
+    sample = docs.join(near(counts), "lang").filter(chance < F.lit(float(per_language)) / F.col("n"))
     rows = sample.select("doc_id", "text", "lang").mapInArrow(_rows, "doc_id long, lang string, slots array<int>, shares array<float>").collect()
     rows = sorted((r for r in rows if r["slots"]), key=lambda r: (r["doc_id"], r["lang"]))
     languages = sorted({r["lang"] for r in rows})

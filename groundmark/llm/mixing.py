@@ -114,11 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, path: str, per_domain: int = PER_DOM
     """Domains, table of feature scores and bias, from `labels` (doc_id, domain) and the texts of a sample of them."""
     one = labels.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     counts = one.groupBy("domain").agg(F.count("*").alias("n"))
-    per_domain = max(1, min(per_domain, SAMPLE // max(1, counts.count())))
+    several = counts.count()
+    per_domain = max(1, min(per_domain, SAMPLE // max(1, several)))
+    near = F.broadcast if several <= SAMPLE else (lambda df: df)  # the sample has about SAMPLE rows at most, or one a domain
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = one.join(F.broadcast(counts), "domain").withColumn("place", place * F.col("n")).filter(F.col("place") < per_domain)
+    sample = one.join(near(counts), "domain").withColumn("place", place * F.col("n")).filter(F.col("place") < per_domain)
     sample = sample.select("doc_id", "domain")
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", "text").join(near(sample), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(_sparse(path), "doc_id long, domain string, features array<long>, values array<double>").collect()
     rows = sorted((r for r in rows if r["features"]), key=lambda r: (r["doc_id"], r["features"]))
     domains = sorted({r["domain"] for r in rows})

@@ -31,3 +31,13 @@ def test_every_query_is_registered():
     from groundmark.llm import queries
 
     assert sorted(int(x[2:].split("_")[0]) for x in queries.queries()) == list(range(1, 14))
+
+
+def test_run_and_stages_on_empty_tables(spark, no_docs, tmp_path):
+    no_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_docs, str(tmp_path))
+        assert out.collect() == [], name
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == no_docs.columns
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
