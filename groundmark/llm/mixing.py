@@ -59,6 +59,24 @@ def shape(piece: str) -> str:
     return out
 
 
+#: Most numbers that are marked or counted in one array; beyond, or where most would stay empty, they are sorted.
+MARKED = 1 << 26
+
+
+def distinct(numbers: np.ndarray, below: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each is there if `counted`; all are under `below`."""
+    if below > MARKED or below > 256 * len(numbers):
+        found, times = np.unique(numbers, return_counts=True)
+        return found, times
+    if counted:
+        times = np.bincount(numbers, minlength=below)
+        found = np.flatnonzero(times)
+        return found, times[found]
+    marks = np.zeros(below, bool)
+    marks[numbers] = True
+    return np.flatnonzero(marks), np.empty(0, np.int64)
+
+
 class WordTable(SentenceTable):
     """Pieces between spaces with their token counts, a hashed word and a hashed shape each."""
 
@@ -83,8 +101,8 @@ class WordTable(SentenceTable):
         """Tokens of each text, and of its features: whose they are, which, and how strong, in order of the texts."""
         codes, counts = self.codes(texts)
         doc = np.repeat(np.arange(len(texts)), counts)
-        words = np.unique(doc * WORDS + self.words[codes])
-        shapes, times = np.unique(doc * SHAPES + self.shapes[codes], return_counts=True)
+        words, _ = distinct(doc * WORDS + self.words[codes], len(texts) * WORDS, False)
+        shapes, times = distinct(doc * SHAPES + self.shapes[codes], len(texts) * SHAPES, True)
         owner = np.concatenate((words // WORDS, shapes // SHAPES))
         feature = np.concatenate((words % WORDS, WORDS + shapes % SHAPES))
         value = np.concatenate((np.ones(len(words)), SCALE * times / np.maximum(counts, 1)[shapes // SHAPES]))
