@@ -264,15 +264,3 @@ def test_targets_out_of_reach_end_the_descent(spark):
     rows = spark.createDataFrame([(100, [0.9, 0.1]) for _ in range(50)], "n_tokens long, posterior array<double>")
     steps = mixing.descend(rows, np.array([0.0, 1.0]))
     assert len(steps) < mixing.ROUNDS
-
-
-def test_distinct_numbers_by_marks_counts_and_sorting():
-    from groundmark.llm import mixing
-
-    rng = np.random.default_rng(2)
-    for n, below in ((0, 10), (5, 10), (4000, 500), (300, 10**6), (10, mixing.MARKED + 1)):
-        numbers = rng.integers(0, below, n)
-        want, times = np.unique(numbers, return_counts=True)
-        found, counts = mixing.distinct(numbers, below, True)
-        assert found.tolist() == want.tolist() and counts.tolist() == times.tolist()
-        assert mixing.distinct(numbers, below, False)[0].tolist() == want.tolist()
