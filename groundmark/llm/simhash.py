@@ -194,14 +194,3 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`near_duplicates` over all documents."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near duplicates the document with the smallest doc_id, with its columns.
-
-    Five-word shingles here, and links of up to five bits, which three segments still find. Rows that share a kept
-    doc_id stay, and so do rows without one.
-    """
-    found = near_duplicates(docs, words=5, bits=5)
-    lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti")

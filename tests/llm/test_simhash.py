@@ -78,12 +78,6 @@ def test_empty_table(no_docs):
     assert simhash.near_duplicates(no_docs).collect() == []
 
 
-def test_stage_keeps_one_of_each_group(spark, docs, rows):
-    kept = [r["doc_id"] for r in simhash.stage_near_dedup(spark, docs, "").collect()]
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 5).collect()}
-    assert set(kept) == {None, *(i for i, c in found.items() if i is not None and c == i)}
-
-
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5), (None, 3), (7, None)]
     random.Random(3).shuffle(chain)
