@@ -156,9 +156,12 @@ def inside_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with p as (select user_id, event_id as ordinal, event_type as segment, cast(floor(value * 10) as integer) as frame from events), w as (select user_id, 'view' as segment, cast(floor(avg(value) * 10) as integer) as frame from events group by 1)
  select user_id as id, w.frame as wanted, arg_min(ordinal, ((p.segment is distinct from w.segment)::int, abs(p.frame - w.frame), ordinal)) as ordinal from p join w using (user_id) group by 1, 2""")
 def nearest_track_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean is exact: sums of doubles depend on their order, and a mean on a frame's edge would fall to either side."""
     e = _table(spark, sf_dir, "events")
     points = e.select(F.col("user_id").alias("id"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("segment"), F.floor(F.col("value") * 10).cast("int").alias("frame"))
-    frames = e.groupBy(F.col("user_id").alias("id")).agg(F.lit("view").alias("segment"), F.floor(F.avg("value") * 10).cast("int").alias("frame"))
+    tenths = F.sum(F.col("value").cast("decimal(30,12)") * 10)
+    frames = e.groupBy(F.col("user_id").alias("id")).agg(F.lit("view").alias("segment"), tenths.alias("s"), F.count("value").alias("n"))
+    frames = frames.select("id", "segment", F.floor((F.col("s") - F.pmod("s", "n")) / F.col("n")).cast("int").alias("frame"))
     return matching.nearest_point(frames, points).select("id", "wanted", "ordinal")
 
 

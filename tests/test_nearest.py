@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 from groundmark.operators import matching
+from groundmark.plans import records
 from groundmark.schemas import Field, MatchLimits
 
 BASE = dt.datetime(2026, 7, 18, 12, 0, 0, tzinfo=dt.timezone.utc)
@@ -57,3 +58,13 @@ def test_matching_joins_no_pairs(spark):
     for found in (matching.match_fixes(t, f, FIELD, LIMITS), matching.match_logbook(t, b, FIELD, LIMITS)):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "FlatMapCoGroupsInArrow" in plan, plan
+
+
+def test_wanted_frame_on_an_edge_is_the_same_in_any_order(spark, tmp_path):
+    values = {1: [0.1] * 10, 2: [0.1] * 9 + [-0.2], 3: [1e8] + [0.1] * 9 + [-1e8]}
+    rows = [(100 * u + i, BASE.replace(tzinfo=None), u, "view", v, "") for u, vs in values.items() for i, v in enumerate(vs)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+        df.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        found = {r["id"]: r["wanted"] for r in records.nearest_track_point(spark, str(tmp_path)).collect()}
+        assert found == {1: 1, 2: 0, 3: 0}
