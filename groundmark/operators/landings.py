@@ -1,13 +1,13 @@
 """From the frames of tracks to landings: wheel, place on the ground, contact, plausibility, anchor.
 
-Every step keeps to the track: frames are dealt by track for the wheel, written once, dealt by track again for the fits,
+Every step keeps to the track: frames are dealt and sorted by track for the wheel, many tracks at a time, written once, dealt by track again for the fits,
 and what follows joins rows that already lie by track. A frame's profile is an array of columns of the silhouette's lower
 edge (u, belly, gap, reach), its tyre candidates another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from ..functions.values import finite, project, seconds_later
 from ..sources.shared import stored
 from .fits import outcomes
 from .matching import not_seen
-from .tracks import anchors, curve, plausible
+from .tracks import anchors, curves, plausible
 from .viewing import band_median
 
 PROFILE = (
@@ -46,26 +46,47 @@ def _nearest(values: pa.ListArray, wanted: np.ndarray) -> tuple[np.ndarray, np.n
     return place, far
 
 
+def _by_track(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows that are sorted by track as tables of whole tracks, about a batch each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        both = pa.chunked_array([*(h[key].slice(len(h) - 1) for h in held[-1:]), batch[key]]).combine_chunks()
+        code = both.dictionary_encode("encode").indices.to_numpy()
+        new = np.flatnonzero(np.diff(code)) + (0 if held else 1)
+        if len(new):
+            if held or new[-1]:
+                yield pa.Table.from_batches([*held, batch.slice(0, new[-1])]).combine_chunks()
+            held = [batch.slice(new[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def wheel_points(profiles: DataFrame, key: str = "track") -> DataFrame:
     """`profiles` with `u`, `v` and `tyre_seen`: the wheel's point in each frame of a track.
 
     A curve in time through the widest candidates says where the wheel is; the tyre nearest that column is the wheel, and a
     second curve through the tyres' lower edges fills the frames without one and overrules those off it. A track with
-    fewer than three tyres near the column takes the belly there in their place. A task holds one track at a time. Frames
-    without a profile have no row.
+    fewer than three tyres near the column takes the belly there in their place. A task holds a batch of tracks at a time,
+    or one that is longer. Frames without a profile have no row.
     """
-    have = profiles.filter(F.coalesce(F.size("columns"), F.lit(0)) > 0)
-    schema = have.select("*", F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(True).alias("tyre_seen")).schema
+    schema = profiles.select("*", F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(True).alias("tyre_seen")).schema
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, [("t", "ascending"), ("frame", "ascending")])).combine_chunks()
+        only = lambda c: group[c].combine_chunks() if isinstance(group[c], pa.ChunkedArray) else group[c]
         number = lambda c: group[c].to_numpy().astype(float)
+        start = np.flatnonzero(np.diff(only(key).dictionary_encode("encode").indices.to_numpy(), prepend=-1))
+        track = np.repeat(np.arange(len(start)), np.diff(start, append=len(group)))
+        enough = lambda which, least: (np.add.reduceat(which.astype(int), start) >= least)[track]
         t, widest, usable = number("t"), number("wheel_u"), ~group["clipped"].to_numpy().astype(bool)
         raw = np.where(np.isnan(widest), number("lowest_u"), widest)
         good = usable & ~np.isnan(widest)
-        fitted, keep = curve(t, raw, good if good.sum() >= MIN_WIDEST else usable, WHEEL_OUTLIER_PX)
+        fitted, keep = curves(t, raw, np.where(enough(good, MIN_WIDEST), good, usable), WHEEL_OUTLIER_PX, start)
         column = np.where(keep, raw, fitted)
-        tyres = group["tyres"].combine_chunks() if isinstance(group["tyres"], pa.ChunkedArray) else group["tyres"]
+        tyres = only("tyres")
         place, away = _nearest(tyres, column)
         near = away <= CAPTURE_PX
         u, v = column.copy(), np.zeros(len(t))
@@ -73,20 +94,24 @@ def wheel_points(profiles: DataFrame, key: str = "track") -> DataFrame:
         if near.any():
             u[near] = flat.field("u").to_numpy(zero_copy_only=False)[place[near]]
             v[near] = flat.field("v").to_numpy(zero_copy_only=False)[place[near]]
-        if near.sum() >= MIN_TYRES:
-            row, seen = curve(t, v, near & usable, ROW_OUTLIER_PX)
-            v = np.where(seen, v, row)
-        else:
-            belly = group["columns"].combine_chunks() if isinstance(group["columns"], pa.ChunkedArray) else group["columns"]
-            place, _ = _nearest(belly, column)
-            v = belly.flatten().field("belly").to_numpy(zero_copy_only=False).astype(float)[place]
-            row, on = curve(t, v, usable, ROW_OUTLIER_PX)
-            v, seen = np.where(on, v, row), np.zeros(len(t), bool)
-        for name, values in (("u", pa.array(u)), ("v", pa.array(v)), ("tyre_seen", pa.array(seen))):
-            group = group.append_column(name, values)
+        seen = enough(near, MIN_TYRES)
+        bare = np.flatnonzero(~seen)
+        if len(bare):
+            belly = only("columns").take(pa.array(bare))
+            place, _ = _nearest(belly, column[bare])
+            v[bare] = belly.flatten().field("belly").to_numpy(zero_copy_only=False).astype(float)[place]
+        row, on = curves(t, v, np.where(seen, near & usable, usable), ROW_OUTLIER_PX, start)
+        for name, values in (("u", u), ("v", np.where(on, v, row)), ("tyre_seen", seen & on)):
+            group = group.append_column(name, pa.array(values))
         return group
 
-    return have.groupBy(key).applyInArrow(run, schema)
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Left out here: a filter would move below the expressions that make `columns`, and compute them several times.
+        have = (b.filter(pc.fill_null(pc.greater(pc.list_value_length(b["columns"]), 0), False)) for b in batches)
+        return (b for tracks in _by_track(have, key) for b in run(tracks).to_batches())
+
+    rows = profiles.repartition(key).sortWithinPartitions(key, F.col("t").asc_nulls_last(), F.col("frame").asc_nulls_last())
+    return rows.mapInArrow(runs, schema)
 
 
 def located(frames: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:

@@ -21,7 +21,9 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     0 has no tyres at all.
     """
     k = F.col("c_custkey")
-    rows = _table(spark, sf_dir, "customer").select(k.alias("id"), F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    # A small file is one task, and a customer is sixty long rows: they are dealt out before they are drawn.
+    customers = _table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c_custkey")
+    rows = customers.select(k.alias("id"), F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
     noise = lambda seed: F.pmod(F.xxhash64("id", "frame", F.lit(seed)), F.lit(2001)) / 1000.0 - 1.0
     rows = rows.withColumns({"t": F.col("frame") / FPS, "tc": F.lit(0.4) + F.col("id") % 5 * 0.05, "shape": F.col("id") % 4})
     zero = F.lit(0.0)

@@ -108,3 +108,33 @@ def test_known_tracks_are_left_out_and_instants_come_from_the_segment(spark):
     found = landings.track_landings(table(spark, rows), PLANE, segments=starts, known=known).collect()
     assert [r["track"] for r in found] == ["b"]
     assert found[0]["touchdown_utc"] == dt.datetime(2026, 9, 13, 12) + dt.timedelta(seconds=round(found[0]["frame"] / 60, 6))
+
+
+def test_curves_of_many_tracks_equal_one_by_one():
+    from groundmark.operators.tracks import curve, curves
+
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 5, 9, 40, 60, 60]
+    t = [np.arange(n) / 60 + k if n != 40 else np.full(n, 2.0) for k, n in enumerate(sizes)]
+    raw = [100 + 500 * (x - x[0]) + rng.normal(0, 1, len(x)) + np.where(rng.random(len(x)) < 0.1, 200, 0) for x in t]
+    good = [rng.random(n) < 0.8 for n in sizes]
+    fitted, kept = curves(*map(np.concatenate, (t, raw, good)), 40.0, np.cumsum([0, *sizes[:-1]]))
+    want = [curve(*x, 40.0) for x in zip(t, raw, good)]
+    assert np.allclose(fitted, np.concatenate([x[0] for x in want]), atol=1e-6)
+    assert (kept == np.concatenate([x[1] for x in want])).all()
+
+
+def test_tracks_stay_whole_over_batches():
+    import pyarrow as pa
+
+    names = [None, None, *"aaabbcccccd"]
+    for cut in range(1, 6):
+        batches = pa.table({"track": names, "i": list(range(len(names)))}).to_batches(max_chunksize=cut)
+        found = [x.to_pydict() for x in landings._by_track(iter(batches), "track")]
+        assert [i for x in found for i in x["i"]] == list(range(len(names)))
+        assert len({k for x in found for k in set(x["track"])}) == sum(len(set(x["track"])) for x in found)
+
+
+def test_wheel_takes_many_tracks_at_a_time(spark):
+    plan = landings.wheel_points(table(spark, [frame("a", 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "Filter" not in plan
