@@ -21,6 +21,8 @@ SIDE, SUBSTEPS = 4, 8
 MIN_DROP_M, MIN_DROP_SIGMAS, MIN_IMPROVEMENT = 1.0, 4.0, 0.8
 SHADOW_CHANGE_PX, SHADOW_FLAT_PX = 5.0, 4.0
 AGREE_FRAMES, BRACKET_FRAMES, DRIFT_MAX_MPS = 4, 30, 3.0
+#: Samples that one task sorts and fits, about; a sample becomes up to three rows of some fifty columns.
+SAMPLES_A_TASK = 50_000
 #: Decimals to which sums of squares are compared; the first of equal ones wins.
 DIGITS = 9
 #: Series of a track that are fitted by a hinge of two free legs; the others by a level and a leg.
@@ -254,9 +256,11 @@ def outcomes(samples: DataFrame, key: str, fps: float = 60.0, residual_m: float
     `samples` has key, index, t, world_x, world_y, gap_px and reach_px. A shadow corner decides; a depth hinge that agrees
     within `BRACKET_FRAMES` is averaged with it; a shadow trend says long or departure; else the depth decides alone, and
     without a descent the contact is unseen. Tracks of fewer than 8 samples are unknown. The samples are dealt by track
-    once; fits and position read them from that one shuffle.
+    once; fits and position read them from that one shuffle, of so many parts that none grows with the number of tracks.
     """
-    samples = samples.select(key, "index", "t", "world_x", "world_y", "gap_px", "reach_px").repartition(key)
+    samples = samples.select(key, "index", "t", "world_x", "world_y", "gap_px", "reach_px")
+    parts = max(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-samples.count() // SAMPLES_A_TASK))
+    samples = samples.repartition(parts, key)
     says = verdicts(samples, key)
     h, g = lambda c: F.col(f"hinge.{c}"), lambda c: F.col(f"gap.{c}")
     gm = F.coalesce(g("model"), F.lit("none"))

@@ -3,7 +3,11 @@
 import numpy as np
 import pandas as pd
 
-from groundmark.operators import tracks
+from groundmark.operators import fits, tracks
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_few_blobs_are_chosen_as_by_arrays(monkeypatch):
@@ -14,3 +18,9 @@ def test_few_blobs_are_chosen_as_by_arrays(monkeypatch):
     monkeypatch.setattr(tracks, "FEW", 0)
     many = tracks.assigned(pd.Series(frames), centres, np.ones(400, bool), 220.0, 5)
     assert few.tolist() == many.tolist() and few.max() > 5
+
+
+def test_parts_follow_the_number_of_samples(spark, monkeypatch):
+    monkeypatch.setattr(fits, "SAMPLES_A_TASK", 10)
+    samples = spark.sql("select id % 20 as track, id as index, id / 60d as t, id * 1d as world_x, id * 1d as world_y, 1d as gap_px, 1d as reach_px from range(400)")
+    assert "RepartitionByExpression [track" in _plan(fits.outcomes(samples, "track")) and ", 40" in _plan(fits.outcomes(samples, "track"))
