@@ -11,7 +11,7 @@ from .ordered import last_known, neighbours, places, quantiles
 GAP_S = 1.5
 
 #: Levels of time buckets, and by how many bits each is wider than the one below.
-LEVELS, STEP_BITS = 6, 5
+LEVELS, STEP_BITS = 10, 3
 
 
 def _bucket(instant: Column, width_s: float) -> Column:
@@ -77,18 +77,22 @@ def report(segments: DataFrame, by: list[str], target_fps: float | None = None,
     return found.withColumn("coverage", F.when(F.col("span_s") > 0, F.col("recorded_s") / F.col("span_s")).otherwise(0.0))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width_s: float, points: bool = False) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_range: tuple[str, str], right_range: tuple[str, str], width_s: float, points: bool = False, short: bool = False) -> DataFrame:
     """Pairs of rows with equal `on` whose half-open ranges overlap: left end > right start, left start < right end.
 
     Time is cut into buckets of `width_s` and, level by level, into buckets that are `2 ** STEP_BITS` times as wide. A range
     is put into the buckets it meets at its own level, the first where they are about `2 ** STEP_BITS` at most, and into
-    the few of each level above, so a row becomes some forty rows at most however long its range. Two ranges meet at the
+    the few of each level above, so a row becomes some thirty rows at most however long its range. Two ranges meet at the
     higher of their levels, in the first bucket they share, by an equality join that Spark can split where it is hot. With
-    `points`, the left side is instants: start and end are one column, and a start of the right side is inside.
+    `points`, the left side is instants: start and end are one column, and a start of the right side is inside. Instants, and
+    left ranges that the caller says are `short` beside `width_s`, are all at the first level, so a range of the right side
+    is put into the buckets of its own level alone.
     """
     def at_level(c: str | Column, level: Column) -> Column:
         return F.call_function("shiftright", F.col(c) if isinstance(c, str) else c, (level * STEP_BITS).cast("int"))
 
+    low = points or short
+
     def cut(df: DataFrame, ends: tuple[str, str], tag: str) -> DataFrame:
         first, last = _bucket(F.col(ends[0]), width_s), _bucket(F.col(ends[1]), width_s)
         df = df.filter(F.col(ends[0]).isNotNull() & F.col(ends[1]).isNotNull() & (F.col(ends[0]) <= F.col(ends[1])))
@@ -97,7 +101,9 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_range: t
         for level in reversed(range(LEVELS - 1)):
             few = at_level("_last", F.lit(level)) - at_level("_first", F.lit(level)) <= 1 << STEP_BITS
             own = F.when(few, level).otherwise(own)
-        df = df.withColumn(f"_own_{tag}", own).withColumn("_level", F.explode(F.sequence(F.col(f"_own_{tag}"), F.lit(LEVELS - 1))))
+        own = F.lit(0) if low and tag == "l" else own
+        levels = F.col(f"_own_{tag}") if low and tag == "r" else F.explode(F.sequence(F.col(f"_own_{tag}"), F.lit(LEVELS - 1)))
+        df = df.withColumn(f"_own_{tag}", own).withColumn("_level", levels)
         df = df.withColumns({f"_{tag}": at_level("_first", F.col("_level")), "_last": at_level("_last", F.col("_level"))})
         return df.withColumn("_bucket", F.explode(F.sequence(f"_{tag}", "_last"))).drop("_first", "_last")
 
@@ -108,13 +114,16 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], left_range: t
     return both.filter(overlap).drop("_bucket", "_level", "_l", "_r", "_own_l", "_own_r")
 
 
-def covering(windows: DataFrame, segments: DataFrame, by: list[str], clamped: bool = True, width_s: float = 60.0) -> DataFrame:
-    """`windows` (from_utc, to_utc) with the segments that they overlap: by clamped extents, or for cutting by raw ones."""
+def covering(windows: DataFrame, segments: DataFrame, by: list[str], clamped: bool = True, width_s: float = 60.0, short: bool = False) -> DataFrame:
+    """`windows` (from_utc, to_utc) with the segments that they overlap: by clamped extents, or for cutting by raw ones.
+
+    `short` says that no window is much longer than `width_s`.
+    """
     if clamped:
         spans = extents(segments, by)
     else:
         spans = segments.withColumn("until_utc", seconds_later(F.col("start_utc"), F.col("duration_s")))
-    return overlap_join(windows, spans, by, ("from_utc", "to_utc"), ("start_utc", "until_utc"), width_s)
+    return overlap_join(windows, spans, by, ("from_utc", "to_utc"), ("start_utc", "until_utc"), width_s, short=short)
 
 
 def resolve(instants: DataFrame, segments: DataFrame, by: list[str], when: str = "when_utc", width_s: float = 60.0) -> DataFrame:
@@ -129,7 +138,8 @@ def resolve(instants: DataFrame, segments: DataFrame, by: list[str], when: str =
 def cut_plan(landings: DataFrame, segments: DataFrame, by: list[str], before_s: float = 3.0, after_s: float = 5.0) -> DataFrame:
     """For each landing (id, touchdown_utc): the pieces of segments that its clip is cut from, by raw extents."""
     windows = landings.filter("touchdown_utc is not null").select(*by, "id", seconds_later(F.col("touchdown_utc"), F.lit(-before_s)).alias("from_utc"), seconds_later(F.col("touchdown_utc"), F.lit(after_s)).alias("to_utc"))
-    found = covering(windows, segments, by, clamped=False)
+    width_s = max(60.0, before_s + after_s)
+    found = covering(windows, segments, by, clamped=False, width_s=width_s, short=True)
     offset = seconds_between(F.greatest("from_utc", "start_utc"), F.col("start_utc"))
     length = seconds_between(F.least("to_utc", "until_utc"), F.greatest("from_utc", "start_utc"))
     return found.select(*by, "id", "name", offset.alias("offset_s"), length.alias("duration_s"))

@@ -2,8 +2,9 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
-from groundmark.operators import fits, tracks
+from groundmark.operators import fits, timeline, tracks
 
 
 def _plan(df):
@@ -24,3 +25,15 @@ def test_parts_follow_the_number_of_samples(spark, monkeypatch):
     monkeypatch.setattr(fits, "SAMPLES_A_TASK", 10)
     samples = spark.sql("select id % 20 as track, id as index, id / 60d as t, id * 1d as world_x, id * 1d as world_y, 1d as gap_px, 1d as reach_px from range(400)")
     assert "RepartitionByExpression [track" in _plan(fits.outcomes(samples, "track")) and ", 40" in _plan(fits.outcomes(samples, "track"))
+
+
+@pytest.mark.parametrize("how", [{"points": True}, {"short": True}])
+def test_beside_short_ranges_others_are_dealt_to_one_level(spark, how):
+    left = spark.sql("select 1 as k, id as il, timestamp_seconds(id * 50) as al, timestamp_seconds(id * 50 + 8) as bl from range(200)")
+    right = spark.sql("select 1 as k, id as ir, timestamp_seconds(id * 77) as ar, timestamp_seconds(id * 77 + id * id) as br from range(100)")
+    ends = ("al", "al") if "points" in how else ("al", "bl")
+    found = timeline.overlap_join(left, right, ["k"], ends, ("ar", "br"), 60.0, **how)
+    assert _plan(found).count("Generate explode") == 3
+    size = 0 if "points" in how else 8
+    want = {(i, j) for i in range(200) for j in range(100) if i * 50 < j * 77 + j * j and (i * 50 + size > j * 77 or (not size and i * 50 == j * 77))}
+    assert {(r["il"], r["ir"]) for r in found.select("il", "ir").collect()} == want
