@@ -112,8 +112,9 @@ def decoded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 6
     base = F.concat(F.lit('{"id": "L'), F.col("event_id").cast("string"), F.lit('", "session": "s", "created_utc": "2026-09-13T12:00:00Z", "outcome": "measured"'))
     tail = F.when(k == 0, ', "kind": "landing"}').when(k == 1, "}").when(k == 2, ', "kind": "landing", "frame": "many"}').when(k == 3, ', "kind": "landing", "track": [{"segment": "a", "frame": 1, "t": 0.1, "u": 1, "v": 2, "world_x": 3, "world_y": 4, "clipped": false, "odd": 1}]}').when(k == 4, "").otherwise(', "kind": "landing", "label": "x", "status": "confirmed", "newer": {"a": 1}}')
-    good, rescued = decode.landing_records(e.select("event_type", F.concat(base, tail).alias("text")))
-    lanes = good.select("event_type", F.lit("").alias("reason"), (F.col("status") == "confirmed").alias("started")).unionByName(rescued.select("event_type", "reason", F.lit(False).alias("started")))
+    judged = decode.judged_landings(e.select("event_type", F.concat(base, tail).alias("text")))
+    started = F.col("reason").isNull() & (F.col("value.status") == "confirmed")
+    lanes = judged.select("event_type", F.coalesce("reason", F.lit("")).alias("reason"), started.alias("started"))
     return lanes.groupBy("reason", "event_type").agg(F.count("*").alias("n"), F.count_if("started").alias("started"))
 
 

@@ -30,11 +30,17 @@ def _names(values: list[str] | tuple[str, ...]) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast("array<string>")
 
 
-def _wrong(text: Column, kind: StructType) -> Column:
-    """The keys of numbers, instants and truth values whose value is none."""
-    raw, parsed = F.from_json(text, "map<string,string>"), F.from_json(text, kind)
+def _wrong(kind: StructType) -> Column:
+    """The keys of numbers, instants and truth values whose value is none, by the columns of `_read`."""
     plain = [f.name for f in kind if not isinstance(f.dataType, (ArrayType, MapType, StructType)) and f.dataType.typeName() != "string"]
-    return F.array_compact(F.array(*(F.when(F.try_element_at(raw, F.lit(c)).isNotNull() & parsed[c].isNull(), F.lit(c)) for c in plain)).cast("array<string>"))
+    none = lambda c: F.try_element_at("_raw", F.lit(c)).isNotNull() & F.col("_parsed")[c].isNull()
+    return F.array_compact(F.array(*(F.when(none(c), F.lit(c)) for c in plain)).cast("array<string>"))
+
+
+def _read(records: DataFrame, kind: StructType, text: str) -> DataFrame:
+    """`records` with each text read once: its keys, its values as texts and by `kind`."""
+    column = F.col(text)
+    return records.withColumns({"_keys": F.json_object_keys(column), "_raw": F.from_json(column, "map<string,string>"), "_parsed": F.from_json(column, kind)})
 
 
 def _reason(keys: Column, refusals: list[tuple[str, Column]]) -> Column:
@@ -45,11 +51,17 @@ def _reason(keys: Column, refusals: list[tuple[str, Column]]) -> Column:
     return F.when(keys.isNull(), "no object").otherwise(found)
 
 
-def _lanes(records: DataFrame, text: str, reason: Column, value: Column) -> Lanes:
-    others = [c for c in records.columns if c != text]
-    marked = records.withColumn("_reason", reason)
-    rows = marked.filter("_reason is null").withColumn("_record", value).select(*others, "_record.*")
-    return rows, marked.filter("_reason is not null").select(*others, F.col(text).alias("record"), F.col("_reason").alias("reason"))
+def _judged(records: DataFrame, reason: Column, value: Column, columns: list[str]) -> DataFrame:
+    """`columns` of `_read`'s rows with `reason`, null where the text is a record, and that `value`."""
+    return records.withColumns({"_reason": reason, "_value": value}).select(*columns, F.col("_reason").alias("reason"), F.col("_value").alias("value"))
+
+
+def _lanes(judged: DataFrame, text: str) -> Lanes:
+    others = [c for c in judged.columns if c not in (text, "reason", "value")]
+    # rows of an array, so that no condition on a reason moves below the reading and has it done again
+    marked = judged.select(*others, text, F.explode(F.array(F.struct("reason", "value"))).alias("_of"))
+    rows = marked.filter("_of.reason is null").select(*others, "_of.value.*")
+    return rows, marked.filter("_of.reason is not null").select(*others, F.col(text).alias("record"), F.col("_of.reason").alias("reason"))
 
 
 def _filled(f: StructField, parsed: Column, keys: Column, defaults: dict[str, Any]) -> Column:
@@ -59,33 +71,47 @@ def _filled(f: StructField, parsed: Column, keys: Column, defaults: dict[str, An
     return F.when(F.array_contains(keys, f.name), parsed[f.name]).otherwise(value.cast(f.dataType)).alias(f.name)
 
 
+def _tolerated(
+    records: DataFrame, schema: str, needs: tuple[str, ...] = (), defaults: dict[str, Any] | None = None, text: str = "text", refusals: list[tuple[str, Column]] | None = None
+) -> DataFrame:
+    kind = StructType.fromDDL(schema)
+    reason = _reason(F.col("_keys"), [("misses", F.array_except(_names(needs), F.col("_keys"))), *(refusals or []), ("does not fit", _wrong(kind))])
+    value = F.struct(*(_filled(f, F.col("_parsed"), F.col("_keys"), defaults or {}) for f in kind))
+    return _judged(_read(records, kind, text), reason, value, records.columns)
+
+
 def tolerant(
     records: DataFrame, schema: str, needs: tuple[str, ...] = (), defaults: dict[str, Any] | None = None, text: str = "text", refusals: list[tuple[str, Column]] | None = None
 ) -> Lanes:
     """(rows, rescued) of a column of JSON objects. A key that is there with a null stays null; only missing ones take a default."""
-    kind, column = StructType.fromDDL(schema), F.col(text)
-    keys, parsed = F.json_object_keys(column), F.from_json(column, kind)
-    reason = _reason(keys, [("misses", F.array_except(_names(needs), keys)), *(refusals or []), ("does not fit", _wrong(column, kind))])
-    return _lanes(records, text, reason, F.struct(*(_filled(f, parsed, keys, defaults or {}) for f in kind)))
+    return _lanes(_tolerated(records, schema, needs, defaults, text, refusals), text)
 
 
 def strict(records: DataFrame, schema: str, text: str = "text") -> Lanes:
     """(rows, rescued) of a column of JSON objects that must have just the keys of `schema`; blank texts are neither."""
-    kind, column = StructType.fromDDL(schema), F.col(text)
-    names, keys = _names([f.name for f in kind]), F.json_object_keys(column)
-    lines = records.filter(F.trim(F.coalesce(column, F.lit(""))) != "")
-    reason = _reason(keys, [("knows no", F.array_except(keys, names)), ("misses", F.array_except(names, keys)), ("does not fit", _wrong(column, kind))])
-    return _lanes(lines, text, reason, F.from_json(column, kind))
+    kind, keys = StructType.fromDDL(schema), F.col("_keys")
+    names = _names([f.name for f in kind])
+    lines = records.filter(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
+    reason = _reason(keys, [("knows no", F.array_except(keys, names)), ("misses", F.array_except(names, keys)), ("does not fit", _wrong(kind))])
+    return _lanes(_judged(_read(lines, kind, text), reason, F.col("_parsed"), records.columns), text)
 
 
-def landing_records(records: DataFrame, text: str = "text") -> Lanes:
-    """(landings, rescued): tolerant, but the points of a track must have the keys of a point, and no others."""
+def judged_landings(records: DataFrame, text: str = "text") -> DataFrame:
+    """`records` with `reason`, null where the text is a landing, and the landing as `value`: tolerant, but the points of a
+    track must have the keys of a point, and no others. Each text is read once."""
     names = [f.name for f in StructType.fromDDL(TRACK_POINT)]
     points = F.from_json(F.get_json_object(text, "$.track"), "array<string>")
     odd = lambda p: F.array_union(F.array_except(F.json_object_keys(p), _names(names)), F.array_except(_names([n for n in names if n not in POINT_OPTIONS]), F.json_object_keys(p)))
-    wrong = F.coalesce(F.array_distinct(F.flatten(F.transform(points, odd))), _names([]))
-    rows, rescued = tolerant(records, LANDING, LANDING_NEEDS, LANDING_DEFAULTS, text, [("has points off in", wrong)])
-    return rows.withColumn("track", F.transform("track", lambda p: p.withField("tyre_seen", F.coalesce(p["tyre_seen"], F.lit(False))))), rescued
+    wrong = F.coalesce(F.array_distinct(F.flatten(F.transform("_points", odd))), _names([]))
+    read = records.withColumn("_points", points)
+    judged = _tolerated(read, LANDING, LANDING_NEEDS, LANDING_DEFAULTS, text, [("has points off in", wrong)])
+    seen = F.transform(F.col("value.track"), lambda p: p.withField("tyre_seen", F.coalesce(p["tyre_seen"], F.lit(False))))
+    return judged.select(*records.columns, "reason", F.col("value").withField("track", seen).alias("value"))
+
+
+def landing_records(records: DataFrame, text: str = "text") -> Lanes:
+    """(landings, rescued) of `judged_landings`."""
+    return _lanes(judged_landings(records, text), text)
 
 
 def fix_records(records: DataFrame, text: str = "text") -> Lanes:

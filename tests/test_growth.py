@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from groundmark.operators import fits, timeline, tracks
+from groundmark.sources import decode
 
 
 def _plan(df):
@@ -37,3 +38,11 @@ def test_beside_short_ranges_others_are_dealt_to_one_level(spark, how):
     size = 0 if "points" in how else 8
     want = {(i, j) for i in range(200) for j in range(100) if i * 50 < j * 77 + j * j and (i * 50 + size > j * 77 or (not size and i * 50 == j * 77))}
     assert {(r["il"], r["ir"]) for r in found.select("il", "ir").collect()} == want
+
+
+def test_landings_are_judged_with_one_reading_of_a_text(spark):
+    rows = spark.createDataFrame([("a", "{}"), ("b", "x")], "k string, text string")
+    judged = decode.judged_landings(rows)
+    plan = _plan(judged.groupBy("reason").count())
+    assert plan.count("json_object_keys") <= 3 and plan.count("from_json") + plan.count("from_json(".upper()) <= 3
+    assert {r["k"]: r["reason"] for r in judged.collect()} == {"a": "misses created_utc, id, kind, outcome, session", "b": "no object"}
