@@ -19,6 +19,7 @@ Without labels there is one domain. Repeated rows are documents by themselves; e
 
 from __future__ import annotations
 
+import re
 import warnings
 import zlib
 from collections.abc import Iterator
@@ -49,14 +50,21 @@ TARGETS = {"quality=1,toxic=0": 0.958, "quality=0,toxic=0": 0.02, "quality=1,tox
 RIDGE = 0.02
 
 
+class _Kinds(dict):
+    """What `str.translate` puts for each character."""
+
+    def __missing__(self, code: int) -> int | str:
+        c = chr(code)
+        self[code] = "a" if c.isalpha() else "0" if c.isdigit() else code
+        return self[code]
+
+
+_KINDS, _REPEATS = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(piece: str) -> str:
     """A piece with letters as `a` and digits as `0`, and repeats of one sign as that sign."""
-    out = ""
-    for c in piece:
-        c = "a" if c.isalpha() else "0" if c.isdigit() else c
-        if c != out[-1:]:
-            out += c
-    return out
+    return "a" if piece.isalpha() else _REPEATS.sub(r"\1", piece.translate(_KINDS))
 
 
 class WordTable(SentenceTable):
@@ -68,11 +76,13 @@ class WordTable(SentenceTable):
         self.shapes = np.empty(0, np.int64)
 
     def encode(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        fresh = np.fromiter((zlib.crc32(k.strip(STRIP).lower().encode()) % WORDS for k in keys), np.int64, len(keys))
+        crc = zlib.crc32
+        fresh = np.array([crc(k.strip(STRIP).lower().encode()) for k in keys], np.int64) % WORDS
         self.words = np.concatenate((self.words, fresh))
-        shapes = np.fromiter((zlib.crc32(shape(k).encode()) % SHAPES for k in keys), np.int64, len(keys))
+        letters = crc(b"a")  # most pieces are letters alone
+        shapes = np.array([letters if k.isalpha() else crc(shape(k).encode()) for k in keys], np.int64) % SHAPES
         self.shapes = np.concatenate((self.shapes, shapes))
-        return np.empty(0, np.int32), super().encode(keys)[1]
+        return np.empty(0, np.int32), self.sizes(keys)[1]
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray, first: int, end: int) -> None:
         while end > len(self.lengths):

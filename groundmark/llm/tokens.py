@@ -200,11 +200,16 @@ class SentenceTable(PieceTable):
                 held += 1
         return [*out, " " * held + last]
 
-    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def sizes(self, keys: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """Ids of each key, and how many it has."""
         got = self.processor.encode(keys, num_threads=1)
-        lengths = np.array([len(x) for x in got], np.int64)
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
         for i in np.flatnonzero(lengths == 0):  # the key of a lone space mark
             got[i], lengths[i] = [self.mark], 1
+        return got, lengths
+
+    def encode(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got, lengths = self.sizes(keys)
         return np.fromiter(chain.from_iterable(got), np.int32, int(lengths.sum())), lengths
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import zlib
 from fractions import Fraction
 
@@ -264,3 +265,15 @@ def test_targets_out_of_reach_end_the_descent(spark):
     rows = spark.createDataFrame([(100, [0.9, 0.1]) for _ in range(50)], "n_tokens long, posterior array<double>")
     steps = mixing.descend(rows, np.array([0.0, 1.0]))
     assert len(steps) < mixing.ROUNDS
+
+
+def test_shapes_are_those_of_each_character_in_turn():
+    rng = random.Random(21)
+    signs = ["a", "Z", "é", "中", "7", "²", "½", "\n", "\t", "!", "-", "\x00", "🙂", "\u0301"]
+    for piece in ["", "word", "word.", "a1b22", "--!!", *("".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(2000))]:
+        out = ""
+        for c in piece:
+            c = "a" if c.isalpha() else "0" if c.isdigit() else c
+            if c != out[-1:]:
+                out += c
+        assert mixing.shape(piece) == out
