@@ -296,3 +296,23 @@ def test_quality_stage_with_a_clashing_column_and_no_rows(spark, no_docs):
     docs = spark.createDataFrame([(1, "some words " * 3, "en", "mine")], "doc_id long, text string, lang string, _quality_row string")
     assert fertility.stage_quality(spark, docs, "").columns == docs.columns
     assert fertility.stage_quality(spark, no_docs, "").collect() == []
+
+
+def test_no_similar_pair_of_short_lines_is_left_out(spark):
+    """Against all pairs of lines of up to `SHORT` characters, which differ in lengths and share most letters."""
+    import itertools
+
+    rng = random.Random(31)
+    lines = {"the.", "sthe.", "enou.", "anou.", "and!! ornd.", "and ornd.", "é", "abcd", "abcde"}
+    for n in (4, 5, 7, 8, 9, 10, 11, 12, 13, 14):
+        for _ in range(5):
+            base = [rng.choice("abcdefgh ") for _ in range(n)]
+            for _ in range(3):
+                for _ in range(2):
+                    base[rng.randrange(n)] = rng.choice(["x", "", "yz"])
+                lines.add("".join(base).strip())
+    lines = sorted(x for x in lines if 0 < len(x) <= line_dedup.SHORT)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(lines), 2) if similar(x, y)}
+    found = {tuple(sorted((r["a"]["doc_id"], r["b"]["doc_id"]))) for r in line_dedup.links(docs, line_dedup.classes(docs)).collect()}
+    assert len(want) > 20 and found == want
