@@ -75,6 +75,10 @@ class WordTable(SentenceTable):
         self.words = np.empty(0, np.int64)
         self.shapes = np.empty(0, np.int64)
 
+    def _keep(self, kept: np.ndarray) -> None:
+        self.words, self.shapes = self.words[kept], self.shapes[kept]
+        self.lengths[: len(kept)] = self.lengths[kept]
+
     def encode(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
         crc = zlib.crc32
         fresh = np.array([crc(k.strip(STRIP).lower().encode()) for k in keys], np.int64) % WORDS

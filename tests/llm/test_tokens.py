@@ -36,6 +36,26 @@ def test_cache_starts_anew_without_changing_ids():
         assert small.tokens([text])[0].tolist() == whole_byte(text)
 
 
+def test_a_word_is_one_key_with_all_signs_behind_it():
+    codec = type(BYTE)(vocabulary("byte_bpe_50k.json"))
+    texts = ["word, other word. word*** (word) don't! don't word\nword; 1.5, 1.5 é? é", "a word\u0301, ٣.中! ×, x's."]
+    ids, counts = codec.tokens(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [whole_byte(x) for x in texts]
+    words = [k for k in codec.slots if k.startswith("word")]
+    assert sorted(words) == ["word", "word\u0301,"]  # the mark is no letter, so its sign may be one pre-token with it
+
+
+def test_a_full_cache_keeps_what_is_used_again():
+    codec = type(BYTE)(vocabulary("byte_bpe_50k.json"), limit=40)
+    encoded = []
+    plain = codec.encode
+    codec.encode = lambda keys: encoded.extend(keys) or plain(keys)
+    for i in range(60):
+        text = f"often again w{i}a w{i}b w{i}c w{i}d"
+        assert codec.tokens([text])[0].tolist() == whole_byte(text)
+    assert len(codec.slots) <= 50 and encoded.count("again") == 1
+
+
 def expected_counts(rows):
     return sorted(((i, len((t or "").encode()), len(whole_piece(t or ""))) for i, t, *_ in rows), key=str)
 
