@@ -185,6 +185,17 @@ def test_majority_of_word_hashes(spark):
     assert line_dedup.classes(docs).first()["fp"] % 2**64 == want
 
 
+def test_methods_of_the_classes_are_small_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of over 8000 bytes."""
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan has no code yet
+    line_dedup.classes(docs).explain("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
 def test_bands_are_the_least_hashes_of_word_pairs(spark):
     """A line of each length around the seven words of a row, against the same by array functions of one row."""
     texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 2, 6, 7, 8, 13, 14, 15, 30)]
