@@ -327,3 +327,38 @@ def test_no_similar_pair_of_short_lines_is_left_out(spark):
     want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(lines), 2) if similar(x, y)}
     found = {tuple(sorted((r["a"]["doc_id"], r["b"]["doc_id"]))) for r in line_dedup.links(docs, line_dedup.classes(docs)).collect()}
     assert len(want) > 20 and found == want
+
+
+def test_similar_lines_of_a_band_are_joined_whatever_its_chief_is(spark):
+    import itertools
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    lines = []
+    for _ in range(40):
+        base = rng.sample(words, 12)
+        for _ in range(12):
+            line = list(base)
+            for k in rng.sample(range(12), rng.randrange(5)):
+                line[k] = rng.choice(words)
+            lines.append(" ".join(line))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    known = {r["doc_id"]: r for r in line_dedup.classes(docs).collect()}
+    near = {(i, j) for i, j in itertools.combinations(sorted(known), 2) if set(known[i]["bands"]) & set(known[j]["bands"]) and similar(lines[i], lines[j])}
+    near = {(i, j) for i, j in near if ((known[i]["fp"] ^ known[j]["fp"]) % 2**64).bit_count() <= line_dedup.BAND_BITS}
+    found = [(r["a"]["doc_id"], r["b"]["doc_id"]) for r in line_dedup.links(docs, line_dedup.classes(docs)).collect()]
+    groups = list(joined(found, known))
+    assert near and all(any({i, j} <= g for g in groups) for i, j in near)
+    assert all(similar(lines[i], lines[j]) for i, j in found)
+
+
+def test_long_lines_are_similar_by_their_edit_distance(spark):
+    """Letters that come and go with blanks cost the alignment of words more than they are edits."""
+    rng = random.Random(13)
+    line = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(200)]
+    other = [x if k % 8 else x[:3] + " " + x[3:] + " y" for k, x in enumerate(line)]
+    other[40:40] = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5)]
+    docs = spark.createDataFrame([(1, " ".join(line)), (2, " ".join(other))], "doc_id long, text string")
+    pairs = line_dedup.classes(docs).select(F.struct("h1", "h2", "doc_id", "pos").alias("x"))
+    pairs = pairs.alias("p").join(pairs.alias("q"), F.col("p.x.doc_id") < F.col("q.x.doc_id")).select(F.col("p.x").alias("a"), F.col("q.x").alias("b"))
+    assert similar(" ".join(line), " ".join(other)) and line_dedup.verify(docs, pairs).count() == 1
