@@ -129,7 +129,7 @@ def audit(documents: DataFrame, least_documents: int = LEAST_DOCUMENTS, ranks: i
     entry = F.struct("source", (F.col("n") + ADDED * F.col("v")).alias("total"))
     of_lang = of_group.groupBy("lang").agg(F.sort_array(F.collect_list(entry)).alias("all"), (F.sum("n") + ADDED * F.first("v")).alias("lang_total"))
 
-    joined = classes.join(of_lang, "lang")
+    joined = classes.join(F.broadcast(of_lang), "lang")
     at = F.map_from_entries("vector")
     wide = joined.select("lang", F.col("all.source").alias("sources"), F.col("all.total").alias("totals"), F.transform("all", lambda s: F.coalesce(F.try_element_at(at, s["source"]), F.lit(0))).alias("counts"), "terms")
     every = of_group.select("lang", F.col("source").alias("a")).join(of_group.select("lang", F.col("source").alias("b")), "lang").filter("a <> b")
@@ -140,7 +140,8 @@ def audit(documents: DataFrame, least_documents: int = LEAST_DOCUMENTS, ranks: i
     in_all = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x["count"])
     excess = F.transform("vector", lambda x: F.struct(x["source"].alias("source"), (share(x["count"], totals[x["source"]]) - share(F.col("in_all"), F.col("lang_total"))).alias("value")))
     above = joined.withColumn("in_all", in_all).select("lang", "vector", F.filter(excess, lambda x: x["value"] > 0).alias("above")).filter(F.size("above") > 0)
-    ranked = terms.join(above, ["lang", "vector"]).select("lang", F.explode("above").alias("x"), "term")
+    # the vectors are many times larger than their file, which Spark would take for small enough to be broadcast by the driver
+    ranked = terms.hint("merge").join(above, ["lang", "vector"]).select("lang", F.explode("above").alias("x"), "term")
     own = ranked.select("lang", F.col("x.source").alias("source"), F.lit("term").alias("part"), F.col("term").alias("item"), F.col("x.value").alias("value"))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     best = own.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks)

@@ -220,3 +220,11 @@ def test_share_columns_are_exact(spark):
     rows = [(3, 17), (10**13, 3 * 10**13), (0, 10**15)]
     got = spark.createDataFrame(rows, "c long, t long").select(divergence.share(F.col("c"), F.col("t")).alias("p")).collect()
     assert [r["p"] for r in got] == [1 + 1_000_000_000 * (c + 5) // t for c, t in rows]
+
+
+def test_terms_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(f"common own{'abc'[k % 3]}", "en", f"s{k % 3}") for k in range(30)], "text string, lang string, source string")
+    found = divergence.audit(docs, least_documents=2)
+    joins = [x.split("], [")[0] for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join [" in x]
+    assert [x.split("Join")[0].split()[-1] for x in joins if "vector" in x] == ["SortMerge"], joins
+    assert {(r["source"], r["item"]) for r in found.filter("part = 'term'").collect()} == {(f"s{k}", f"own{c}") for k, c in enumerate("abc")}
