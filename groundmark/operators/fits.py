@@ -10,6 +10,11 @@ Times count from a series' first sample and values from their mean.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,59 +73,94 @@ def _summed(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumns({"spread": spread, "step": step, "lo": edge(SIDE), "hi": edge(F.col("n") - SIDE + 1)})
 
 
-def _after(k: str) -> Column:
-    return F.col(f"a_{k}") - F.col(f"b_{k}")
-
-
-def _nodes(depth: bool, rising: bool = False) -> Column:
+def _nodes(x: dict[str, np.ndarray], model: str) -> np.ndarray:
     """The corners k between a row and the next that can have the least error: ends, beside the meeting point, and beside
-    where a shadow's leg stops to rise."""
-    nb, na, n = F.col("place"), F.col("n") - F.col("place"), F.col("n")
-    mean = lambda c, m: F.try_divide(c, m)
-    t1, y1, t2, y2 = mean(F.col("b_t"), nb), mean(F.col("b_y"), nb), mean(_after("t"), na), mean(_after("y"), na)
-    s1 = F.try_divide(F.col("b_ty") - F.col("b_t") * y1, F.col("b_tt") - F.col("b_t") * t1)
-    s2 = F.try_divide(_after("ty") - _after("t") * y2, _after("tt") - _after("t") * t2)
-    if depth:
-        points = [F.try_divide((y2 - s2 * t2) - (y1 - s1 * t1), s1 - s2)]
-    elif rising:
-        points = [t2 + F.try_divide(y1 - y2, s2), F.try_divide(n * _after("ty") - F.col("a_y") * _after("t"), n * _after("y") - F.col("a_y") * na)]
+    where a shadow's leg starts or stops to rise."""
+    n, nb, na = x["n"], x["place"], x["n"] - x["place"]
+    after = {k: x[f"a_{k}"] - x[f"b_{k}"] for k in TERMS}
+    t1, y1, t2, y2 = x["b_t"] / nb, x["b_y"] / nb, after["t"] / na, after["y"] / na
+    s1 = (x["b_ty"] - x["b_t"] * y1) / (x["b_tt"] - x["b_t"] * t1)
+    s2 = (after["ty"] - after["t"] * y2) / (after["tt"] - after["t"] * t2)
+    if model == "hinge":
+        points = [((y2 - s2 * t2) - (y1 - s1 * t1)) / (s1 - s2)]
+    elif model == "departure":
+        points = [t2 + (y1 - y2) / s2, (n * after["ty"] - x["a_y"] * after["t"]) / (n * after["y"] - x["a_y"] * na)]
     else:
-        points = [t1 + F.try_divide(y2 - y1, s1), F.try_divide(n * F.col("b_ty") - F.col("a_y") * F.col("b_t"), n * F.col("b_y") - F.col("a_y") * nb)]
-    inside = lambda x: F.greatest(F.col("_begin"), F.least(F.col("_end"), x))
-    beside = [inside(f((c - F.col("lo")) / F.col("step")).cast("double")) for c in points for f in (F.floor, F.ceil)]
-    return F.array_distinct(F.array_compact(F.array(F.col("_begin"), F.col("_end"), *beside)))
+        points = [t1 + (y2 - y1) / s1, (n * x["b_ty"] - x["a_y"] * x["b_t"]) / (n * x["b_y"] - x["a_y"] * nb)]
+    beside = [np.fmax(x["_begin"], np.fmin(x["_end"], f((c - x["lo"]) / x["step"]))) for c in points for f in (np.floor, np.ceil)]
+    return np.stack([x["_begin"], x["_end"], *beside], axis=1)
+
+
+def _fitted(x: dict[str, np.ndarray], model: str) -> dict[str, np.ndarray]:
+    """Parameters and error of the model with its corner at each of the nodes of each row; nan where there is none."""
+    k = _nodes(x, model)
+    x = {name: v[:, None] for name, v in x.items()}
+    after = {c: x[f"a_{c}"] - x[f"b_{c}"] for c in TERMS}
+    c, n, nb, na = x["lo"] + k * x["step"], x["n"], x["place"], x["n"] - x["place"]
+    e1, e2, ey = x["b_t"] - c * nb, x["b_tt"] - 2 * c * x["b_t"] + c * c * nb, x["b_ty"] - c * x["b_y"]
+    d1, d2, dy = after["t"] - c * na, after["tt"] - 2 * c * after["t"] + c * c * na, after["ty"] - c * after["y"]
+    none = np.full(k.shape, np.nan)
+    if model == "hinge":
+        whole = n - e1 * e1 / e2 - d1 * d1 / d2
+        k0 = (x["a_y"] - e1 * ey / e2 - d1 * dy / d2) / whole
+        k1, k2, slope, good = (ey - e1 * k0) / e2, (dy - d1 * k0) / d2, none, (e2 > 0) & (d2 > 0) & (whole != 0)
+        error = x["a_yy"] - k0 * x["a_y"] - k1 * ey - k2 * dy
+    else:
+        leg1, leg2, legy = (-e1, e2, -ey) if model == "landing" else (d1, d2, dy)
+        den = n * leg2 - leg1 * leg1
+        slope = (n * legy - leg1 * x["a_y"]) / den
+        k0, k1, k2, good = (x["a_y"] - slope * leg1) / n, none, none, (den > 0) & (slope > 0)
+        error = x["a_yy"] - k0 * x["a_y"] - slope * legy
+    return {"k": k, "c": c, "k0": k0, "k1": k1, "k2": k2, "slope": slope, "sse": error, "good": good}
 
 
 def _cornered(rows: DataFrame, key: str) -> DataFrame:
     """A row for each corner that may be a series' best, with model, k, place c, parameters and error; a series without has
-    its rows once, with null models."""
+    a row with a null model.
+
+    Corners of one batch that are worse than another there by more than `DIGITS` bear are not written.
+    """
     lo, step = F.col("lo"), F.col("step")
     last = F.ceil((F.col("hi") + step / 2 - lo) / step) - 1
     to = lambda x: F.ceil((x - lo) / step)
     fits = (F.col("n") >= 2 * SIDE) & (step > 0)
     rows = rows.withColumn("_begin", F.when(fits, F.greatest(F.lit(0), to(F.col("t0")))).cast("double"))
     rows = rows.withColumn("_end", F.when(fits, F.least(last, F.coalesce(to(F.col("later")) - 1, last))).cast("double"))
-    models = lambda nodes, m: F.transform(nodes, lambda k: F.struct(F.lit(m).alias("model"), k.alias("k")))
-    shadow = F.concat(models(_nodes(False), "landing"), models(_nodes(False, True), "departure"))
-    nodes = F.when(F.col("_begin") <= F.col("_end"), F.when(F.col("part") == DEPTH, models(_nodes(True), "hinge")).otherwise(shadow))
-    rows = rows.withColumn("_c", F.explode_outer(nodes)).select("*", "_c.*").drop("_c", "_begin", "_end").withColumn("c", lo + F.col("k") * step)
-    c, n, nb, na = F.col("c"), F.col("n"), F.col("place"), F.col("n") - F.col("place")
-    legs = {
-        "e1": F.col("b_t") - c * nb, "e2": F.col("b_tt") - 2 * c * F.col("b_t") + c * c * nb, "ey": F.col("b_ty") - c * F.col("b_y"),
-        "d1": _after("t") - c * na, "d2": _after("tt") - 2 * c * _after("t") + c * c * na, "dy": _after("ty") - c * _after("y"),
-    }
-    rows = rows.withColumns(legs)
-    e1, e2, ey, d1, d2, dy = (F.col(x) for x in legs)
-    is_, landing = F.col("model") == "hinge", F.col("model") == "landing"
-    k0 = (F.col("a_y") - e1 * ey / e2 - d1 * dy / d2) / (n - e1 * e1 / e2 - d1 * d1 / d2)
-    leg1, leg2, legy = F.when(landing, -e1).otherwise(d1), F.when(landing, e2).otherwise(d2), F.when(landing, -ey).otherwise(dy)
-    den = n * leg2 - leg1 * leg1
-    rows = rows.withColumn("_good", F.when(is_, (e2 > 0) & (d2 > 0)).otherwise(den > 0))
-    rows = rows.withColumn("slope", F.when(F.col("_good") & ~is_, (n * legy - leg1 * F.col("a_y")) / den))
-    rows = rows.withColumn("k0", F.when(F.col("_good"), F.when(is_, k0).otherwise((F.col("a_y") - F.col("slope") * leg1) / n)))
-    rows = rows.withColumn("k1", F.when(F.col("_good") & is_, (ey - e1 * F.col("k0")) / e2)).withColumn("k2", F.when(F.col("_good") & is_, (dy - d1 * F.col("k0")) / d2))
-    error = F.when(is_, F.col("a_yy") - F.col("k0") * F.col("a_y") - F.col("k1") * ey - F.col("k2") * dy).otherwise(F.col("a_yy") - F.col("k0") * F.col("a_y") - F.col("slope") * legy)
-    return rows.withColumn("sse", F.when(F.col("_good") & (is_ | (F.col("slope") > 0)), error))
+    kept = [key, "part", "n", "place", "first_t", "last_t0", "mean_y", "spread", "t0", "y0", *(f"{x}_{k}" for x in "ab" for k in TERMS)]
+    numbers = ("n", "place", "lo", "step", "_begin", "_end", *(f"{x}_{k}" for x in "ab" for k in TERMS))
+    added = ("k", "c", "k0", "k1", "k2", "slope", "sse")
+    rows = rows.select(*kept, *(c for c in numbers if c not in kept))
+    none = lambda kind: F.lit(None).cast(kind)
+    schema = rows.select(*kept, none("string").alias("model"), *(none("double").alias(c) for c in added)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = [batch.column(c).dictionary_encode("encode").indices.to_numpy() for c in (key, "part")]
+            series = np.cumsum(np.any([np.diff(c, prepend=c[:1]) != 0 for c in code], axis=0))
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in numbers}
+            depth, open_ = pc.equal(batch.column("part"), DEPTH).to_numpy(zero_copy_only=False), x["_begin"] <= x["_end"]
+            at, models, found = [], [], []
+            for model in ("hinge", "landing", "departure"):
+                own = np.flatnonzero(open_ & (depth if model == "hinge" else ~depth))
+                with np.errstate(all="ignore"):
+                    fit = _fitted({c: v[own] for c, v in x.items()}, model)
+                error = np.where(fit.pop("good") & ~np.isnan(fit["sse"]), fit["sse"], np.inf)
+                least = np.full(series[-1] + 1, np.inf)
+                np.minimum.at(least, series[own], error.min(axis=1, initial=np.inf))
+                i, j = np.nonzero((error < np.inf) & (error <= least[series[own]][:, None] + 2 * 10.0**-DIGITS))
+                at.append(own[i])
+                models += [model] * len(i)
+                found.append(np.stack([fit[c][i, j] for c in added]))
+            bare = np.setdiff1d(series, series[np.concatenate(at)])
+            at.append(np.searchsorted(series, bare))
+            found.append(np.full((len(added), len(bare)), np.nan))
+            values = np.concatenate(found, axis=1)
+            columns = [*(batch.column(c).take(pa.array(np.concatenate(at))) for c in kept), pa.array([*models, *[None] * len(bare)], pa.string())]
+            yield pa.record_batch([*columns, *(pa.array(v, mask=np.isnan(v)) for v in values)], names=[*kept, "model", *added])
+
+    return rows.mapInArrow(run, schema)
 
 
 def series_fits(rows: DataFrame, key: str) -> DataFrame:

@@ -20,7 +20,6 @@ from ..sources.shared import stored
 from .fits import outcomes
 from .matching import not_seen
 from .tracks import anchors, curves, plausible
-from .viewing import band_median
 
 PROFILE = (
     "track string, segment string, frame int, t double, clipped boolean, wheel_u double, lowest_u double, "
@@ -114,23 +113,45 @@ def wheel_points(profiles: DataFrame, key: str = "track") -> DataFrame:
     return rows.mapInArrow(runs, schema)
 
 
+def _band_medians(row: np.ndarray, band: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
+    """`band_median` of many rows at once: `row` and `value` of all their columns, and which of these are in the band."""
+    present = np.flatnonzero(band & np.isfinite(value))
+    n = np.bincount(row[present], minlength=rows)
+    ranked = np.append(value[present][np.lexsort((value[present], row[present]))], np.nan)
+    start = np.cumsum(n) - n
+    low, high = (ranked[np.where(n > 0, start + k, -1)] for k in ((n - 1) // 2, n // 2))
+    enough = n >= np.maximum(3, np.bincount(row[band], minlength=rows) // 3)
+    return pa.array((low + high) / 2, mask=~enough)
+
+
 def located(frames: DataFrame, matrix: Sequence[Sequence[float]]) -> DataFrame:
     """Frames of `wheel_points` as track points: place on the ground, gap and reach of the shadow in a band about the wheel.
 
     A frame whose profile has no column near the wheel, or whose point leaves the plane, has no row. A series needs a value
     in a third of the band's columns, and in three. The reach is taken from the belly, so it loses what lies between the
-    belly and the wheel.
+    belly and the wheel. The columns are read many frames at a time, as functions on arrays take each value by itself.
     """
-    near = F.array_min(F.transform("columns", lambda x: F.abs(x["u"] - F.col("u"))))
-    rows = frames.filter(near <= MISSING_PX)
-
-    def series(name: str) -> Column:
-        return band_median(F.transform("columns", lambda x: F.struct(x["u"].alias("u"), x[name].alias("value"))), F.col("u"), BAND_PX)
+    frames = frames.drop("tyres", "wheel_u", "lowest_u")
+    none = F.lit(None).cast("double")
+    schema = frames.drop("columns").select("*", none.alias("gap_px"), none.alias("_reach"), none.alias("_belly")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.column("columns")
+            lengths = pc.fill_null(pc.list_value_length(columns), 0).to_numpy(zero_copy_only=False)
+            row, flat = np.repeat(np.arange(len(lengths)), lengths), columns.flatten()
+            number = lambda c: pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(float)  # noqa: E731, B023
+            away = np.abs(number("u") - batch.column("u").to_numpy(zero_copy_only=False).astype(float)[row])
+            near = np.bincount(row[away <= MISSING_PX], minlength=len(lengths)) > 0
+            series = [_band_medians(row, away <= BAND_PX, number(c), len(lengths)) for c in ("gap", "reach", "belly")]
+            kept = [c for c in batch.schema.names if c != "columns"]
+            out = pa.record_batch([*(batch.column(c) for c in kept), *series], names=[*kept, "gap_px", "_reach", "_belly"])
+            yield out.filter(pa.array(near))
 
     wx, wy = project("u", "v", matrix)
-    rows = rows.withColumns({"gap_px": series("gap"), "_reach": series("reach"), "_belly": series("belly"), "world_x": wx, "world_y": wy})
+    rows = frames.mapInArrow(run, schema).withColumns({"world_x": wx, "world_y": wy})
     reach = F.when(F.col("_reach").isNotNull(), F.greatest(F.lit(0.0), F.col("_reach") - F.coalesce(F.col("v") - F.col("_belly"), F.lit(0.0))))
-    return rows.withColumn("reach_px", reach).filter(finite("world_x", "world_y")).drop("columns", "tyres", "wheel_u", "lowest_u", "_reach", "_belly")
+    return rows.withColumn("reach_px", reach).filter(finite("world_x", "world_y")).drop("_reach", "_belly")
 
 
 def track_landings(

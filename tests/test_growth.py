@@ -46,3 +46,17 @@ def test_landings_are_judged_with_one_reading_of_a_text(spark):
     plan = _plan(judged.groupBy("reason").count())
     assert plan.count("json_object_keys") <= 3 and plan.count("from_json") + plan.count("from_json(".upper()) <= 3
     assert {r["k"]: r["reason"] for r in judged.collect()} == {"a": "misses created_utc, id, kind, outcome, session", "b": "no object"}
+
+
+def test_of_a_track_only_corners_that_can_be_best_are_written(spark):
+    """Not every node of every sample becomes a row, and bands are not read by functions on arrays."""
+    from groundmark.operators import landings
+
+    rows = [("a", i, i / 60, abs(i - 90) / 30 + (i * 37 % 11) / 1000, 5.0 + max(0, 90 - i)) for i in range(200)]
+    samples = spark.createDataFrame(rows, "track string, index int, t double, world_y double, gap_px double")
+    summed = fits._summed(fits.long(samples, "track", {fits.DEPTH: "world_y", "gap": "gap_px"}), "track")
+    found = fits._cornered(summed, "track").collect()
+    assert {r["model"] for r in found} == {"hinge", "landing"} and len(found) <= 20
+    frames = landings.wheel_points(spark.createDataFrame([], landings.PROFILE))
+    plan = _plan(landings.located(frames, ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))))
+    assert "transform(" not in plan and "filter(" not in plan
